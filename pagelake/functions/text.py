@@ -14,6 +14,9 @@ from pagelake.fixed_values import LINK_TRIM, NULL_TOKENS
 # Unicode white space, as both ends of a text are trimmed of it.
 _SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 _ENTITY = r"&#?[^&;\s]+;"
+# The named entities of HTML 4, and what browsers read for the numbers 128 to 159.
+_NAMED = "\n".join(f"{name}={chr(code)}" for name, code in name2codepoint.items())
+_CP1252 = bytes(range(0x80, 0xA0)).decode("cp1252", "replace").replace("\ufffd", "?")
 
 
 def list_first_item(arr: Column) -> Column:
@@ -76,28 +79,17 @@ def _entity_char(entity: Column) -> Column:
     number = F.when(digits != "", digits.cast("bigint")).when(
         hexits != "", F.conv(hexits, 16, 10).cast("bigint")
     )
-    low = F.array(*[F.lit(_cp1252(n)) for n in range(0x80, 0xA0)])
-    numeric = F.when(
-        number.between(0x80, 0x9F), F.get(low, (number - 0x80).cast("int"))
-    ).when((number < 0xD800) | number.between(0xE000, 0x10FFFF), _char(number))
-    common = F.when(body == "amp", F.lit("&"))
-    for name in ("quot", "lt", "gt", "nbsp"):
-        common = common.when(body == name, F.lit(chr(name2codepoint[name])))
-    table = F.create_map(
-        *[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))]
+    low = F.substring(F.lit(_CP1252), (number - 0x7F).cast("int"), F.lit(1))
+    numeric = F.when(number.between(0x80, 0x9F), F.nullif(low, F.lit("?"))).when(
+        (number < 0xD800) | number.between(0xE000, 0x10FFFF), _char(number)
     )
+    common = F.when(body == "amp", F.lit("&")).when(body == "quot", F.lit('"'))
+    table = F.str_to_map(F.lit(_NAMED), F.lit("\n"), F.lit("="))
     return F.when(body.startswith("#"), numeric).otherwise(
         common.otherwise(F.try_element_at(table, body))
     )
 
 
-def _cp1252(number: int) -> str | None:
-    try:
-        return bytes([number]).decode("cp1252")
-    except UnicodeDecodeError:
-        return None
-
-
 def _char(code_point: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(code_point), 8, "0")), "UTF-32")
 

@@ -49,8 +49,12 @@ def _without_dots(path: Column) -> Column:
 
 
 def clean_url(base: Column, link: Column) -> Column:
-    """A link as found in a page, trimmed, unescaped and resolved."""
-    return resolve_url(base, remove_entities(clean_link(link)))
+    """A link as found in a page, trimmed, unescaped and resolved.
+
+    The cleaned link is bound once, since resolving names it many times.
+    """
+    cleaned = F.array(remove_entities(clean_link(link)))
+    return F.get(F.transform(cleaned, lambda ref: resolve_url(base, ref)), F.lit(0))
 
 
 def netloc(url: Column) -> Column:

@@ -1,13 +1,14 @@
 """Pages to links and records.
 
 Flat elements are read with regular expressions in the JVM. Where containers matter, one
-small ``html.parser`` pass per page returns raw text and attributes, and every rule about
+small pass over the tags of a page returns raw text and attributes, and every rule about
 them is a column expression.
 """
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,8 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelake import fixed_values as fixed
-from pagelake.functions.text import deduplication, label_value, strip, strip_null
-from pagelake.functions.urls import clean_url
+from pagelake.functions.text import (
+    clean_link,
+    deduplication,
+    label_value,
+    remove_entities,
+    strip,
+    strip_null,
+)
+from pagelake.functions.urls import resolve_url
 
 _ANCHOR = r'(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>([^<]*)'
 
@@ -24,16 +32,18 @@ _ANCHOR = r'(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>([^<]*)'
 def extract_links(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """B1: every anchor with a quoted href: ``(src_url, pos, href, text)`` in document order,
     and the ``keep`` columns of its page. The markup ends in the scan stage."""
-    found = pages.select(
+    anchors = pages.select(
         F.col("url").alias("src_url"),
         *keep,
-        F.arrays_zip(
-            F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(1)).alias("href"),
-            F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(2)).alias("text"),
-        ).alias("links"),
-    )
-    return found.select("src_url", *keep, F.posexplode("links").alias("pos", "link")).select(
-        "src_url", *keep, "pos", F.col("link.href").alias("href"), F.col("link.text").alias("text")
+        # outer: an inner explode would test the array first, and so search the page twice
+        F.posexplode_outer(F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(0))).alias("pos", "_a"),
+    ).where(F.col("pos").isNotNull())
+    return anchors.select(
+        "src_url",
+        *keep,
+        "pos",
+        F.regexp_extract("_a", _ANCHOR, 1).alias("href"),
+        F.regexp_extract("_a", _ANCHOR, 2).alias("text"),
     )
 
 
@@ -69,15 +79,34 @@ def detail_links(links: DataFrame, cls_part: str | None = fixed.DETAIL_CLASS_PAR
 
 def resolved(links: DataFrame) -> DataFrame:
     """Links with ``url``: the href cleaned and resolved against its page."""
-    return links.withColumn("url", clean_url(F.col("src_url"), F.col("href")))
+    cleaned = links.withColumn("_ref", remove_entities(clean_link(F.col("href"))))
+    return cleaned.withColumn("url", resolve_url(F.col("src_url"), F.col("_ref"))).drop("_ref")
+
+
+def listing_requests(
+    pages: DataFrame,
+    text: str = fixed.NEXT_TEXT,
+    outer_cls: str = fixed.NEXT_OUTER_CLASS,
+    cls_part: str = fixed.DETAIL_CLASS_PART,
+) -> DataFrame:
+    """B2 and B3 at once: what listing pages ask for: ``(src_url, url, kind)``.
+
+    ``kind`` is ``list`` for the next page and ``detail`` for the others. Each page is
+    parsed once and its links chosen inside their array, so nothing is shuffled.
+    """
+    parsed = pages.select(F.col("url").alias("src_url"), _parsed_links(F.col("html")).alias("links"))
+    onward = F.filter(
+        "links",
+        lambda a: (a["text"] == text) & (a["outer_cls"] == outer_cls) & a["cls"].isNotNull(),
+    )
+    listed = F.filter("links", lambda a: a["cls"].contains(cls_part))
 
+    def asked(links: Column, kind: str) -> Column:
+        return F.transform(links, lambda a: F.struct(a["href"].alias("href"), F.lit(kind).alias("kind")))
 
-def listing_requests(pages: DataFrame) -> DataFrame:
-    """What a listing page asks for next: ``(src_url, url, kind)``, kind ``list`` or ``detail``."""
-    links = container_links(pages)
-    forward = resolved(next_link(links)).select("src_url", "url", F.lit("list").alias("kind"))
-    details = resolved(detail_links(links)).select("src_url", "url", F.lit("detail").alias("kind"))
-    return forward.unionByName(details)
+    both = F.concat(asked(F.slice(onward, 1, 1), "list"), asked(listed, "detail"))
+    found = parsed.select("src_url", F.inline(F.filter(both, lambda a: a["href"] != "")))
+    return resolved(found).select("src_url", "url", "kind")
 
 
 def select_first(html: Column, tag: str, cls: str | None = None, attribute: str | None = None) -> Column:
@@ -155,47 +184,62 @@ _DETAIL = T.StructType(
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SELF_CLOSING = frozenset("p li tr td th option dt dd".split())
+_READ = frozenset(("a", "div", "img"))
 
 
-class _Page(HTMLParser):
-    """Elements of a page as dicts: tag, attrs, parent, children, texts (direct text nodes)."""
+_TAG = re.compile(
+    r"""<!--.*?-->|<(?P<raw>script|style)\b.*?</(?P=raw)\s*>"""
+    r"""|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>""",
+    re.I | re.S,
+)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+
+
+def _attributes(source: str) -> dict:
+    found = {}
+    for name, double, single, bare in _ATTRIBUTE.findall(source):
+        found.setdefault(name.lower(), unescape(double or single or bare))
+    return found
+
+
+class _Page:
+    """Elements of a page in document order, as dicts: tag, attrs, parent, children, and
+    texts (direct text nodes). Forgives unclosed and unopened tags."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.root = {"tag": "", "attrs": {}, "parent": None, "children": [], "texts": []}
+        root = {"tag": "", "attrs": {}, "parent": None, "children": [], "texts": []}
         self.elements: list[dict] = []
-        self._open = [self.root]
-        self._in_text = False
-        self.feed(html)
-        self.close()
-
-    def handle_starttag(self, tag, attrs):
-        self._in_text = False
-        if self._open[-1]["tag"] == tag and tag in _SELF_CLOSING:
-            self._open.pop()
-        elif self._open[-1]["tag"] == "p" and tag == "div":
-            self._open.pop()
-        parent = self._open[-1]
-        node = {"tag": tag, "attrs": dict(attrs), "parent": parent, "children": [], "texts": []}
+        opened, at = [root], 0
+        for found in _TAG.finditer(html):
+            self._text(opened[-1], html[at : found.start()])
+            at = found.end()
+            if found["tag"]:
+                self._tag(opened, found["tag"].lower(), found["end"], found["attrs"])
+        self._text(opened[-1], html[at:])
+
+    @staticmethod
+    def _text(node: dict, text: str) -> None:
+        if text:
+            node["texts"].append(unescape(text) if "&" in text else text)
+
+    def _tag(self, opened: list[dict], tag: str, end: str, attrs: str) -> None:
+        if end:
+            for depth in range(len(opened) - 1, 0, -1):
+                if opened[depth]["tag"] == tag:
+                    del opened[depth:]
+                    return
+            return
+        if opened[-1]["tag"] in _SELF_CLOSING and opened[-1]["tag"] == tag:
+            opened.pop()
+        elif opened[-1]["tag"] == "p" and tag == "div":
+            opened.pop()
+        parent = opened[-1]
+        wanted = _attributes(attrs) if tag in _READ and attrs else {}
+        node = {"tag": tag, "attrs": wanted, "parent": parent, "children": [], "texts": []}
         parent["children"].append(node)
         self.elements.append(node)
         if tag not in _VOID:
-            self._open.append(node)
-
-    def handle_endtag(self, tag):
-        self._in_text = False
-        for depth in range(len(self._open) - 1, 0, -1):
-            if self._open[depth]["tag"] == tag:
-                del self._open[depth:]
-                return
-
-    def handle_data(self, data):
-        texts = self._open[-1]["texts"]
-        if self._in_text:
-            texts[-1] += data
-        else:
-            texts.append(data)
-        self._in_text = True
+            opened.append(node)
 
 
 def _first(values):
@@ -276,11 +320,16 @@ _ARROW_DETAIL = pa.struct(
 )
 
 
+# Marked as not deterministic, so that a filter on the result does not parse a page again.
 @F.arrow_udf(_LINKS)
-def _parsed_links(html: pa.Array) -> pa.Array:
+def _page_links(html: pa.Array) -> pa.Array:
     return pa.array([_links_of(h) for h in html.to_pylist()], _ARROW_LINKS)
 
 
 @F.arrow_udf(_DETAIL)
-def _parsed_detail(html: pa.Array) -> pa.Array:
+def _page_detail(html: pa.Array) -> pa.Array:
     return pa.array([_detail_of(h) for h in html.to_pylist()], _ARROW_DETAIL)
+
+
+_parsed_links = _page_links.asNondeterministic()
+_parsed_detail = _page_detail.asNondeterministic()
