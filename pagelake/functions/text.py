@@ -146,9 +146,9 @@ def strip(text: Column) -> Column:
 def fmt_g(x: Column) -> Column:
     """C20: the number with six significant digits, as C prints ``%g``.
 
-    The size of the number selects a format with the decimals that are left for it. Whole
-    numbers from 1e6 are first rounded half to even; a fraction whose seventh and last
-    digit is 5 is rounded up.
+    The size of the number selects a format with the decimals that are left for it. Numbers
+    are first rounded by their exact binary value, ties to even. (Below 1e-4, a number
+    whose seventh and last digit is 5 is rounded up.)
     """
     x = x.cast("double")
     size = F.abs(x)
@@ -160,12 +160,11 @@ def fmt_g(x: Column) -> Column:
     even = F.when((size < 1e15) & (size == whole), rounded.otherwise(whole).cast("double"))
     scientific = F.format_string("%.5e", F.when(size >= 1e6, F.coalesce(even, size)).otherwise(size))
 
-    fixed = F.when(size >= 99999.95, F.format_string("%.0f", size))
-    for decimals in range(1, 9):
-        fixed = fixed.when(
-            size >= float(f"9.999995e{4 - decimals}"), F.format_string(f"%.{decimals}f", size)
-        )
-    fixed = fixed.otherwise(F.format_string("%.9f", size))
+    decimals = F.when(size >= 99999.95, 0)
+    for count in range(1, 10):
+        decimals = decimals.when(size >= float(f"9.999995e{4 - count}"), count)
+    pattern = F.concat(F.lit("%."), decimals.cast("string"), F.lit("f"))
+    fixed = F.printf(pattern, _rounded(size, F.pow(F.lit(10.0), decimals)))
     short = F.when(fixed.contains("."), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
 
     far = (size >= 999999.5) | (size < 9.999995e-5)
@@ -177,3 +176,14 @@ def fmt_g(x: Column) -> Column:
         .when(size == 0, F.lit("0"))
         .otherwise(F.concat(sign, body))
     )
+
+
+def _rounded(size: Column, scale: Column) -> Column:
+    """``size`` (1e-4 to 1e6) as a multiple of ``1 / scale``, by its exact value, ties to even.
+
+    The number is split at 2**-20, so that its distance to the midpoint comes out exact.
+    """
+    low = F.floor(size * scale).cast("double")
+    high = F.floor(size * 1048576.0) / F.lit(1048576.0)
+    beyond = (high * scale - (low + 0.5)) + (size - high) * scale
+    return (low + F.when(beyond > 0, 1.0).when(beyond == 0, low % 2).otherwise(0.0)) / scale

@@ -50,9 +50,8 @@ def classify_fetch(
         .otherwise(fixed.DOWNLOADED)
     )
     return (
-        named.withColumn("filename", F.col("_file.name"))
+        named.withColumns({"filename": F.col("_file.name"), "reason": reason})
         .drop("_file")
-        .withColumn("reason", reason)
         .withColumn("ok", F.col("reason").isin(fixed.CACHED, fixed.DOWNLOADED))
     )
 

@@ -171,14 +171,21 @@ def metric_points(ops: DataFrame, ignore: list[str] = ()) -> DataFrame:
 def merge_spiders(ops: DataFrame, width: int = 1 << 20) -> DataFrame:
     """``(seq, key, name, value, ts)``: the value all spiders share after each operation,
     under the name of the spider that made it. Each key has operations of one kind:
-    ``inc``, ``max`` or ``min``.
+    ``inc``, ``max`` or ``min``; ``inc`` begins at the ``start`` of the first one.
     """
     value = F.col("value").cast("bigint")
+    start = F.col("start").cast("bigint") if "start" in ops.columns else F.lit(0).cast("bigint")
+    first = F.struct("seq", F.coalesce(start, F.lit(0)).alias("start"))
     after = running(
         ops,
         ["key"],
         "seq",
-        {"_sum": ("sum", value), "_max": ("max", value), "_min": ("min", value)},
+        {
+            "_first": ("min", first),
+            "_sum": ("sum", value),
+            "_max": ("max", value),
+            "_min": ("min", value),
+        },
         width=width,
     )
     shared = F.when(F.col("op") == "max", F.col("_max")).when(F.col("op") == "min", F.col("_min"))
@@ -186,7 +193,7 @@ def merge_spiders(ops: DataFrame, width: int = 1 << 20) -> DataFrame:
         "seq",
         "key",
         metric_name(F.col("key"), F.col("spider")).alias("name"),
-        shared.otherwise(F.col("_sum")).alias("value"),
+        shared.otherwise(F.col("_first.start") + F.col("_sum")).alias("value"),
         "ts",
     )
 

@@ -6,9 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.plans import page_queries
-
-_MODULES = [page_queries]
+from pagelake.plans import (
+    frontier_queries,
+    media_queries,
+    page_queries,
+    record_queries,
+    stat_queries,
+    text_queries,
+)
+
+_MODULES = [
+    page_queries,
+    text_queries,
+    frontier_queries,
+    media_queries,
+    record_queries,
+    stat_queries,
+]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -98,7 +98,7 @@ def bundle_by_key(files: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     return placed.groupBy("host", "key", "part").applyInArrow(_bundle, schema)
 
 
-def _bundle(key, table: pa.Table) -> pa.Table:
+def _bundle(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     buffer = io.BytesIO()
     ordered = table.sort_by("_name")
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
