@@ -148,9 +148,13 @@ def fmt_g(x: Column) -> Column:
 
     The size of the number selects a format with the decimals that are left for it. Numbers
     are first rounded by their exact binary value, ties to even. (Below 1e-4, a number
-    whose seventh and last digit is 5 is rounded up.)
+    whose seventh and last digit is 5 is rounded up.) The number is bound once by
+    ``transform``: written out, its many uses make a method the JVM does not compile.
     """
-    x = x.cast("double")
+    return F.get(F.transform(F.array(x.cast("double")), _six_digits), F.lit(0))
+
+
+def _six_digits(x: Column) -> Column:
     size = F.abs(x)
 
     whole = size.try_cast("bigint")
@@ -163,9 +167,8 @@ def fmt_g(x: Column) -> Column:
     decimals = F.when(size >= 99999.95, 0)
     for count in range(1, 10):
         decimals = decimals.when(size >= float(f"9.999995e{4 - count}"), count)
-    pattern = F.concat(F.lit("%."), decimals.cast("string"), F.lit("f"))
-    fixed = F.printf(pattern, _rounded(size, F.pow(F.lit(10.0), decimals)))
-    short = F.when(fixed.contains("."), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
+    fixed = F.get(F.transform(F.array(decimals), lambda d: _with_decimals(size, d)), F.lit(0))
+    short = F.regexp_replace(fixed, r"\.0+$|(\.[0-9]*[1-9])0+$", "$1")
 
     far = (size >= 999999.5) | (size < 9.999995e-5)
     body = F.when(far, F.regexp_replace(scientific, r"\.?0+e", "e")).otherwise(short)
@@ -178,6 +181,11 @@ def fmt_g(x: Column) -> Column:
     )
 
 
+def _with_decimals(size: Column, decimals: Column) -> Column:
+    pattern = F.concat(F.lit("%."), decimals.cast("string"), F.lit("f"))
+    return F.printf(pattern, _rounded(size, F.pow(F.lit(10.0), decimals)))
+
+
 def _rounded(size: Column, scale: Column) -> Column:
     """``size`` (1e-4 to 1e6) as a multiple of ``1 / scale``, by its exact value, ties to even.
 

@@ -161,7 +161,11 @@ def _download(cells: Column) -> Column:
 
 
 def split_rejects(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Whole records, and ``(original_url, reason)`` of those a missing part rejects."""
+    """Whole records, and ``(original_url, reason)`` of those a missing part rejects.
+
+    Store the result of ``extract_detail`` first when both are used; the pages are parsed
+    once then.
+    """
     whole = records.where(F.col("reject").isNull()).drop("reject")
     lost = records.where(F.col("reject").isNotNull()).select(
         "original_url", F.col("reject").alias("reason")
@@ -184,80 +188,70 @@ _DETAIL = T.StructType(
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SELF_CLOSING = frozenset("p li tr td th option dt dd".split())
-_READ = frozenset(("a", "div", "img"))
-
-
-_TAG = re.compile(
-    r"""<!--.*?-->|<(?P<raw>script|style)\b.*?</(?P=raw)\s*>"""
-    r"""|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>""",
+_TOKEN = re.compile(
+    r"""<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>"""
+    r"""|<(/?)([a-z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|([^<]+|<)""",
     re.I | re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 
 
-def _attributes(source: str) -> dict:
-    found = {}
-    for name, double, single, bare in _ATTRIBUTE.findall(source):
-        found.setdefault(name.lower(), unescape(double or single or bare))
-    return found
-
-
-class _Page:
-    """Elements of a page in document order, as dicts: tag, attrs, parent, children, and
-    texts (direct text nodes). Forgives unclosed and unopened tags."""
+class _Node:
+    """An element: tag, source of its attributes, parent, children, direct text nodes."""
 
-    def __init__(self, html: str):
-        root = {"tag": "", "attrs": {}, "parent": None, "children": [], "texts": []}
-        self.elements: list[dict] = []
-        opened, at = [root], 0
-        for found in _TAG.finditer(html):
-            self._text(opened[-1], html[at : found.start()])
-            at = found.end()
-            if found["tag"]:
-                self._tag(opened, found["tag"].lower(), found["end"], found["attrs"])
-        self._text(opened[-1], html[at:])
+    __slots__ = ("tag", "source", "parent", "children", "texts")
 
-    @staticmethod
-    def _text(node: dict, text: str) -> None:
-        if text:
-            node["texts"].append(unescape(text) if "&" in text else text)
+    def __init__(self, tag, source, parent):
+        self.tag, self.source, self.parent = tag, source, parent
+        self.children, self.texts = [], []
 
-    def _tag(self, opened: list[dict], tag: str, end: str, attrs: str) -> None:
-        if end:
-            for depth in range(len(opened) - 1, 0, -1):
-                if opened[depth]["tag"] == tag:
-                    del opened[depth:]
-                    return
-            return
-        if opened[-1]["tag"] in _SELF_CLOSING and opened[-1]["tag"] == tag:
-            opened.pop()
-        elif opened[-1]["tag"] == "p" and tag == "div":
-            opened.pop()
-        parent = opened[-1]
-        wanted = _attributes(attrs) if tag in _READ and attrs else {}
-        node = {"tag": tag, "attrs": wanted, "parent": parent, "children": [], "texts": []}
-        parent["children"].append(node)
-        self.elements.append(node)
-        if tag not in _VOID:
-            opened.append(node)
+    def attribute(self, wanted):
+        if wanted in self.source.lower():
+            for name, double, single, bare in _ATTRIBUTE.findall(self.source):
+                if name.lower() == wanted:
+                    return unescape(double or single or bare)
+        return None
 
+    def text(self):
+        return unescape(self.texts[0]) if self.texts else None
 
-def _first(values):
-    return next(iter(values), None)
+    def below(self, tag):
+        return [c for c in self.children if c.tag == tag]
 
 
-def _children(node: dict, tag: str) -> list[dict]:
-    return [c for c in node["children"] if c["tag"] == tag]
+def _elements(html: str) -> list[_Node]:
+    """Elements of a page in document order. Forgives unclosed and unopened tags."""
+    top = root = _Node("", "", None)
+    found, cut = [], True
+    for end, tag, source, text in _TOKEN.findall(html):
+        if text:
+            # a lone "<" goes on with the text around it; a tag or comment cuts it
+            if cut or not top.texts:
+                top.texts.append(text)
+            else:
+                top.texts[-1] += text
+            cut = False
+            continue
+        cut = True
+        tag = tag.lower()
+        if end:
+            node = top
+            while node is not root and node.tag != tag:
+                node = node.parent
+            top = node.parent if node is not root else top
+        elif tag:
+            if (top.tag == tag and tag in _SELF_CLOSING) or (top.tag == "p" and tag == "div"):
+                top = top.parent
+            node = _Node(tag, source, top)
+            top.children.append(node)
+            found.append(node)
+            if tag not in _VOID:
+                top = node
+    return found
 
 
-def _first_of_class(page: _Page, cls: str) -> list[dict]:
-    """For every parent, its first div of exactly this class, in document order."""
-    seen, chosen = set(), []
-    for e in page.elements:
-        if e["tag"] == "div" and e["attrs"].get("class") == cls and id(e["parent"]) not in seen:
-            seen.add(id(e["parent"]))
-            chosen.append(e)
-    return chosen
+def _first(values):
+    return next((v for v in values if v is not None), None)
 
 
 def _links_of(html: str | None) -> list[dict] | None:
@@ -265,48 +259,52 @@ def _links_of(html: str | None) -> list[dict] | None:
         return None
 
     def cls(node):
-        return node["attrs"].get("class") or "" if node is not None and node["tag"] == "div" else None
-
-    return [
-        {
-            "href": a["attrs"]["href"] or "",
-            "text": _first(a["texts"]),
-            "cls": cls(a["parent"]),
-            "outer_cls": cls(a["parent"]["parent"]),
-        }
-        for a in _Page(html).elements
-        if a["tag"] == "a" and "href" in a["attrs"]
-    ]
+        return (node.attribute("class") or "") if node is not None and node.tag == "div" else None
+
+    found = []
+    for node in _elements(html):
+        href = node.attribute("href") if node.tag == "a" else None
+        if href is not None:
+            parent = node.parent
+            found.append(
+                {"href": href, "text": node.text(), "cls": cls(parent), "outer_cls": cls(parent.parent)}
+            )
+    return found
 
 
 def _detail_of(html: str | None) -> dict | None:
     if html is None:
         return None
-    page = _Page(html)
+    classed = [
+        (node.attribute("class"), node)
+        for node in _elements(html)
+        if node.tag == "div" and "class" in node.source.lower()
+    ]
 
-    def text(cls):
-        return _first(t for e in _first_of_class(page, cls) for t in e["texts"])
+    def firsts(cls):
+        """For every parent, its first div of exactly this class."""
+        seen = set()
+        for found, node in classed:
+            if found == cls and id(node.parent) not in seen:
+                seen.add(id(node.parent))
+                yield node
 
     def cell(div):
-        links = _children(div, "a")
+        links = div.below("a")
         return {
-            "text": _first(div["texts"]),
-            "href": _first(a["attrs"]["href"] for a in links if "href" in a["attrs"]),
-            "link_text": _first(t for a in links for t in a["texts"]),
+            "text": div.text(),
+            "href": _first(a.attribute("href") for a in links),
+            "link_text": _first(a.text() for a in links),
         }
 
-    images = [i for e in _first_of_class(page, fixed.COVER_CLASS) for i in _children(e, "img")]
-    blocks = [
-        e
-        for e in page.elements
-        if e["tag"] == "div" and fixed.DOWNLOAD_CLASS_PART in (e["attrs"].get("class") or "")
-    ]
+    images = [i for e in firsts(fixed.COVER_CLASS) for i in e.below("img")]
+    blocks = [node for found, node in classed if fixed.DOWNLOAD_CLASS_PART in (found or "")]
     return {
-        "name": text(fixed.NAME_CLASS),
-        "author": text(fixed.AUTHOR_CLASS),
-        "description": text(fixed.DESCRIPTION_CLASS),
-        "cover": _first(i["attrs"]["src"] for i in images if "src" in i["attrs"]),
-        "rows": [[cell(d) for d in _children(b, "div")] for b in blocks],
+        "name": _first(e.text() for e in firsts(fixed.NAME_CLASS)),
+        "author": _first(e.text() for e in firsts(fixed.AUTHOR_CLASS)),
+        "description": _first(e.text() for e in firsts(fixed.DESCRIPTION_CLASS)),
+        "cover": _first(i.attribute("src") for i in images),
+        "rows": [[cell(d) for d in b.below("div")] for b in blocks],
     }
 
 

@@ -181,8 +181,12 @@ def attach_cover(
     """
     good = images.where(
         F.col("ok") & (F.col("width") >= min_width) & (F.col("height") >= min_height)
-    ).select(F.col("url").alias("_cover"), F.col("path").alias("_path"))
-    asked = F.when(F.col("book_covor_image_url") != "", F.col("book_covor_image_url"))
+    ).select(F.concat(F.lit("url "), "url").alias("_cover"), F.col("path").alias("_path"))
+    # records without a cover get a key of their own: as one key they could be a third of all
+    url = F.coalesce("book_covor_image_url", F.lit(""))
+    asked = F.when(url != "", F.concat(F.lit("url "), url)).otherwise(
+        F.concat(F.lit("none "), "original_url")
+    )
     path = F.when(F.col("_path").isNotNull(), F.concat(F.lit(base.rstrip("/") + "/"), "_path"))
     return (
         items.drop("book_covor_image_path")

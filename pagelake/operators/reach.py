@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions.urls import canonical_url
 from pagelake.operators.membership import not_in
-from pagelake.session import new_path
+from pagelake.session import new_path, written
 
 
 def crawl_reach(seeds: DataFrame, links: DataFrame, max_depth: int = 0) -> DataFrame:
@@ -18,18 +18,26 @@ def crawl_reach(seeds: DataFrame, links: DataFrame, max_depth: int = 0) -> DataF
     ``list`` link comes before a ``detail`` link, then the smallest source. ``max_depth`` 0
     means no limit.
 
-    Breadth-first rounds. Each round is written to the shared folder, so its size is
-    known to the next join: while the round is below the broadcast threshold, the links
+    Breadth-first rounds. The links and then each round are written to the shared folder,
+    so their sizes are known to the next join: while the round is below the broadcast threshold, the links
     and the URLs already reached are scanned but not shuffled. A page with a third of all
     links is no hot key then; in a large round the skew join of adaptive execution splits
     it. Only the row count of a round comes back to the driver.
     """
     spark = seeds.sparkSession
     base = new_path(spark, "reach")
-    edges = links.select(
-        canonical_url(F.col("src_url")).alias("_page"), "src_url", "url", "kind"
+    edges = written(
+        links.select(
+            canonical_url(F.col("src_url")).alias("_from"),
+            "src_url",
+            canonical_url(F.col("url")).alias("_page"),
+            "url",
+            "kind",
+        ),
+        "links",
     )
     start = seeds.select(
+        canonical_url(F.col("url")).alias("_page"),
         "url",
         F.lit(0).alias("depth"),
         F.lit(None).cast("string").alias("via"),
@@ -44,17 +52,16 @@ def crawl_reach(seeds: DataFrame, links: DataFrame, max_depth: int = 0) -> DataF
         if current.isEmpty() or (max_depth and depth >= max_depth):
             return reached.select("url", "depth", "via")
         depth += 1
-        pages = current.where(F.col("kind") == "list").select("_page")
-        found = edges.join(pages, "_page", "left_semi").select(
-            "url", F.lit(depth).alias("depth"), F.col("src_url").alias("via"), "kind"
+        pages = current.where(F.col("kind") == "list").select(F.col("_page").alias("_from"))
+        found = edges.join(pages, "_from", "left_semi").select(
+            "_page", "url", F.lit(depth).alias("depth"), F.col("src_url").alias("via"), "kind"
         )
         fresh = not_in(_first_per_url(found), reached, "_page")
 
 
 def _first_per_url(found: DataFrame) -> DataFrame:
-    keyed = found.withColumn("_page", canonical_url(F.col("url")))
     listed_first = F.when(F.col("kind") == "list", 0).otherwise(1)
     first = F.min(F.struct(listed_first.alias("_late"), "via", "url", "depth", "kind"))
-    return keyed.groupBy("_page").agg(first.alias("_f")).select(
+    return found.groupBy("_page").agg(first.alias("_f")).select(
         "_page", "_f.url", "_f.depth", "_f.via", "_f.kind"
     )

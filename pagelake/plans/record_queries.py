@@ -10,7 +10,7 @@ from pagelake.operators import records as rc
 from pagelake.operators.extract import extract_detail
 from pagelake.plans.load import book_stages, run_stages, status_counts, success_report
 from pagelake.plans.page_queries import _DETAIL_SQL, detail_pages
-from pagelake.session import new_path
+from pagelake.session import new_path, written
 from pagelake.sources import blobs as bl
 from pagelake.sources.archives import bundle_by_key, expand_archives
 from pagelake.sources.book_tables import write_book_detail, write_book_detail_sharded
@@ -162,7 +162,7 @@ def index_lookup(spark, sf):
 
 def _stage_inputs(spark, sf):
     """Parsed detail pages, pictures by customer, and files that are good for some customers."""
-    records = extract_detail(detail_pages(spark, sf))
+    records = written(extract_detail(detail_pages(spark, sf)), "records")
     customers = _read(spark, sf, "customer").select(
         F.col("c_custkey").cast("string").alias("c"), F.col("c_acctbal").alias("balance")
     )

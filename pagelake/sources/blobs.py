@@ -17,10 +17,14 @@ from pagelake.sources.book_tables import read_if_present
 
 
 def blob_files(
-    blobs: DataFrame, chunk_bytes: int = CHUNK_BYTES, now: Column | None = None
+    blobs: DataFrame,
+    chunk_bytes: int = CHUNK_BYTES,
+    now: Column | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """A5: the row that describes each blob ``(key, filename, content)``."""
     return blobs.select(
+        *keep,
         F.col("key").alias("_id"),
         F.octet_length("content").cast("bigint").alias("length"),
         F.lit(chunk_bytes).alias("chunk_size"),
@@ -58,10 +62,12 @@ def write_blobs(
     if stored is not None:
         first = not_in(first, stored.select(F.col("_id").alias("key")), "key")
     new = blobs.join(first, ["key", order], "left_semi")
+    described = blob_files(blobs, chunk_bytes, now, keep=(order,)).withColumn("key", F.col("_id"))
+    files = described.join(first, ["key", order], "left_semi").drop("key", order)
     chunks = blob_chunks(new, chunk_bytes).repartition("files_id", F.expr("n div 64"))
     # chunks first: a file row then never points at chunks that are not there
     chunks.sortWithinPartitions("files_id", "n").write.mode("append").parquet(f"{path}/chunks")
-    blob_files(new, chunk_bytes, now).write.mode("append").parquet(f"{path}/files")
+    files.write.mode("append").parquet(f"{path}/files")
 
 
 def read_blob_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
