@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
 from html.entities import name2codepoint
 
 import pyarrow as pa
@@ -164,13 +166,13 @@ def _six_digits(x: Column) -> Column:
     even = F.when((size < 1e15) & (size == whole), rounded.otherwise(whole).cast("double"))
     scientific = F.format_string("%.5e", F.when(size >= 1e6, F.coalesce(even, size)).otherwise(size))
 
-    decimals = F.when(size >= 99999.95, 0)
+    decimals = F.when(size >= _at_least("99999.95"), 0)
     for count in range(1, 10):
-        decimals = decimals.when(size >= float(f"9.999995e{4 - count}"), count)
+        decimals = decimals.when(size >= _at_least(f"9.999995e{4 - count}"), count)
     fixed = F.get(F.transform(F.array(decimals), lambda d: _with_decimals(size, d)), F.lit(0))
     short = F.regexp_replace(fixed, r"\.0+$|(\.[0-9]*[1-9])0+$", "$1")
 
-    far = (size >= 999999.5) | (size < 9.999995e-5)
+    far = (size >= 999999.5) | (size < _at_least("9.999995e-5"))
     body = F.when(far, F.regexp_replace(scientific, r"\.?0+e", "e")).otherwise(short)
     sign = F.when(x < 0, "-").otherwise("")
     return (
@@ -181,6 +183,12 @@ def _six_digits(x: Column) -> Column:
     )
 
 
+def _at_least(decimal: str) -> float:
+    """The smallest double that is not below the decimal number."""
+    nearest = float(decimal)
+    return nearest if Fraction(nearest) >= Fraction(decimal) else math.nextafter(nearest, math.inf)
+
+
 def _with_decimals(size: Column, decimals: Column) -> Column:
     pattern = F.concat(F.lit("%."), decimals.cast("string"), F.lit("f"))
     return F.printf(pattern, _rounded(size, F.pow(F.lit(10.0), decimals)))
