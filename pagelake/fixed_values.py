@@ -84,6 +84,7 @@ EMPTY_CONTENT = "empty-content"
 INVALID_TYPE = "invalid-content_type"
 NO_FILENAME = "noaccess-filename"
 TRANSPORT_ERROR = "Error downloading"
+UNREADABLE_NAME = "unreadable-filename"
 CACHED = "cached"
 DOWNLOADED = "downloaded"
 UPTODATE = "uptodate"

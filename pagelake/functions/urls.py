@@ -12,7 +12,7 @@ _SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*:"
 
 
 def resolve_url(base: Column, ref: Column) -> Column:
-    """``ref`` read relative to ``base`` (RFC 3986)."""
+    """``ref`` read relative to ``base`` (RFC 3986); with a scheme it is absolute."""
     root = F.regexp_extract(base, f"^({_SCHEME}//[^/?#]*)", 1)
     base_path = F.regexp_extract(base, f"^{_SCHEME}//[^/?#]*([^?#]*)", 1)
     directory = F.regexp_extract(base_path, r"^(.*/)", 1)

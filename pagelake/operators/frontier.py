@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from pagelake import fixed_values as fixed
 from pagelake.functions.urls import fingerprint, netloc
-from pagelake.operators.membership import not_in
 from pagelake.operators.ordered import rank_in_key
 
 
@@ -36,7 +35,7 @@ def dedup_batch(reqs: DataFrame, key: str = "fp", order: str = "seq") -> DataFra
 
 def unseen(reqs: DataFrame, seen: DataFrame) -> DataFrame:
     """D3: requests whose ``fp`` is not in ``seen``; append their fp to it afterwards."""
-    return not_in(reqs, seen, "fp")
+    return reqs.join(seen.select("fp"), "fp", "left_anti").select(*reqs.columns)
 
 
 def enqueue(reqs: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,8 @@ response body except ``classify_fetch``, which only looks at its length.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,25 +28,30 @@ def allowed_type(content_type: Column, allowed: list[str] = fixed.FILE_CONTENT_T
     return F.coalesce(content_type, F.lit("")).isin(allowed)
 
 
+def blob_key(url: Column) -> Column:
+    """Key of a file in the blob store."""
+    return url_key(url, "_")
+
+
 def classify_fetch(
     captures: DataFrame,
-    allowed: list[str] = fixed.FILE_CONTENT_TYPES,
-    name: Column | None = None,
+    accept: Callable[[Column], Column] = allowed_type,
+    name: Callable[[Column, Column], Column] = file_name,
 ) -> DataFrame:
     """Captures with ``reason``, ``filename`` and ``ok``.
 
-    The tests run in a fixed order: status, body, type, name. ``name`` replaces the rule
-    that finds the file name: a struct of ``name`` and ``failed``.
+    The tests run in a fixed order: status, body, type, name. ``accept`` replaces the test
+    of the type header, ``name`` the rule that finds the file name from URL and header.
     """
     headers = F.col("headers")
-    found = file_name(F.col("url"), headers["Content-Disposition"]) if name is None else name
-    named = captures.withColumn("_file", found)
+    named = captures.withColumn("_file", name(F.col("url"), headers["Content-Disposition"]))
     no_name = F.coalesce(F.col("_file.name"), F.lit("")) == ""
     reason = (
         F.when(F.col("status").isNull(), fixed.TRANSPORT_ERROR)
         .when(F.col("status") != 200, fixed.DOWNLOAD_ERROR)
         .when(F.coalesce(F.octet_length("body"), F.lit(0)) == 0, fixed.EMPTY_CONTENT)
-        .when(~allowed_type(headers["Content-Type"], allowed), fixed.INVALID_TYPE)
+        .when(~accept(headers["Content-Type"]), fixed.INVALID_TYPE)
+        .when(F.col("_file.failed"), fixed.UNREADABLE_NAME)
         .when(no_name, fixed.NO_FILENAME)
         .when(F.coalesce(F.array_contains("flags", fixed.CACHED), F.lit(False)), fixed.CACHED)
         .otherwise(fixed.DOWNLOADED)
@@ -56,12 +63,14 @@ def classify_fetch(
     )
 
 
-def media_results(classified: DataFrame, sep: str = "_") -> DataFrame:
+def media_results(
+    classified: DataFrame, key: Callable[[Column], Column] = blob_key
+) -> DataFrame:
     """Outcomes of classified captures: ``(ok, url, key, checksum, reason)``."""
     return classified.select(
         "ok",
         "url",
-        F.when(F.col("ok"), url_key(F.col("url"), sep)).alias("key"),
+        F.when(F.col("ok"), key(F.col("url"))).alias("key"),
         F.when(F.col("ok"), F.md5("body")).alias("checksum"),
         "reason",
     )
@@ -149,26 +158,34 @@ def fetch_plan(
     captured: DataFrame,
     now: Column,
     days: int = fixed.EXPIRES_DAYS,
-    sep: str = "_",
+    key: Callable[[Column], Column] = blob_key,
 ) -> DataFrame:
     """``(key, url)`` still to fetch: missing or stale, and not fetched already.
 
     ``captured(url, ok)``: outcomes of this run. A record that already has a good or a
     reusable file asks for nothing behind it.
     """
-    wanted = candidate_urls(items).withColumn("key", url_key(F.col("url"), sep))
-    aged = freshness(wanted, files, now, days)
-    known = aged.join(captured.select("url", F.col("ok").alias("_ok")), "url", "left")
-    usable = (F.col("state") == fixed.UPTODATE) | F.coalesce(F.col("_ok"), F.lit(False))
-    first = known.groupBy("original_url").agg(
-        F.min(F.when(usable, F.col("pos"))).alias("_usable_at")
-    )
-    open_ones = known.where((F.col("state") != fixed.UPTODATE) & F.col("_ok").isNull())
+    candidates = candidate_urls(items)
+    # a URL many records share is judged once
+    urls = candidates.select("url").distinct()
+    tried = captured.select("url", F.col("ok").alias("_ok"))
+    known = urls.join(tried, "url", "left").withColumn("key", key(F.col("url")))
+    aged = freshness(known, files, now, days)
+    reused = F.col("state") == fixed.UPTODATE
+    judged = aged.select(
+        "url",
+        "key",
+        (reused | F.coalesce(F.col("_ok"), F.lit(False))).alias("usable"),
+        (~reused & F.col("_ok").isNull()).alias("wanted"),
+    )
+    placed = candidates.join(judged, "url")
+    first = placed.where("usable").groupBy("original_url").agg(F.min("pos").alias("_usable_at"))
     return (
-        open_ones.join(first, "original_url")
+        placed.where("wanted")
+        .join(first, "original_url", "left")
         .where(F.col("_usable_at").isNull() | (F.col("pos") < F.col("_usable_at")))
-        .groupBy("key")
-        .agg(F.min("url").alias("url"))
+        .select("key", "url")
+        .distinct()
     )
 
 

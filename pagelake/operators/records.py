@@ -149,5 +149,5 @@ def inverted_index(records: DataFrame, field: str, record_id: str = "record_id")
     A popular value stays many rows, never one collected list.
     """
     is_list = records.schema[field].dataType.typeName() == "array"
-    value = F.explode(field) if is_list else F.col(field)
+    value = F.explode(F.array_distinct(field)) if is_list else F.col(field)
     return records.select(value.alias("value"), F.col(record_id).alias("record_id")).distinct()

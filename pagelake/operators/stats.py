@@ -155,7 +155,8 @@ def metric_points(ops: DataFrame, ignore: list[str] = ()) -> DataFrame:
     """``(name, value, ts, seq)`` sent out for operations.
 
     A ``set`` is sent when its value is a number and its key is not ignored; the other
-    operations always are. ``value`` is the value after the operation.
+    operations always are. ``value`` is sent as it stands: for counters, give the value
+    after the operation (``merge_spiders``).
     """
     number = F.col("value").try_cast("double")
     hidden = F.col("key").isin(list(ignore)) if ignore else F.lit(False)

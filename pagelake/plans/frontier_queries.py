@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelake.operators import frontier as fr
 from pagelake.operators.reach import crawl_reach
-from pagelake.session import new_path
+from pagelake.session import new_path, spread
 from pagelake.streaming.dedup import dedup_stream
 
 
@@ -35,7 +35,7 @@ def order_requests(orders: DataFrame) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
-    return fr.with_fingerprint(order_requests(_read(spark, sf, "orders")))
+    return fr.with_fingerprint(order_requests(spread(_read(spark, sf, "orders"))))
 
 
 _REQUESTS_SQL = """

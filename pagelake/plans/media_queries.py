@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelake import fixed_values as fixed
 from pagelake.operators import media as md
+from pagelake.session import spread
 
 NOW = "2001-08-02 00:00:00"
 
@@ -39,7 +40,7 @@ def line_items(spark, sf) -> DataFrame:
     downloads = F.when(
         F.col("l_linestatus") == "F", F.array(row(), row(by_supplier), row(by_part, by_supplier))
     ).otherwise(F.array(row(by_part, by_supplier), row(by_part)))
-    return _read(spark, sf, "lineitem").select(
+    return spread(_read(spark, sf, "lineitem")).select(
         F.concat(F.lit("http://books.example.org/"), line).alias("original_url"),
         downloads.alias("book_download"),
     )
@@ -140,7 +141,7 @@ def captures(spark, sf) -> DataFrame:
         lambda _, v: v.isNotNull(),
     )
     ending = F.when(F.col("value") > 20, ".zip").otherwise(".php")
-    return _read(spark, sf, "events").select(
+    return spread(_read(spark, sf, "events")).select(
         "event_id",
         F.concat(url, ending).alias("url"),
         status.alias("status"),

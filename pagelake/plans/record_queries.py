@@ -10,7 +10,7 @@ from pagelake.operators import records as rc
 from pagelake.operators.extract import extract_detail
 from pagelake.plans.load import book_stages, run_stages, status_counts, success_report
 from pagelake.plans.page_queries import _DETAIL_SQL, detail_pages
-from pagelake.session import new_path, written
+from pagelake.session import new_path, spread, written
 from pagelake.sources import blobs as bl
 from pagelake.sources.archives import bundle_by_key, expand_archives
 from pagelake.sources.book_tables import write_book_detail, write_book_detail_sharded
@@ -153,7 +153,7 @@ def index(spark, sf):
 
 def index_lookup(spark, sf):
     """Books of authors looked up in bulk: which document has which label's language."""
-    docs = _read(spark, sf, "documents").select(
+    docs = spread(_read(spark, sf, "documents")).select(
         F.split("text", " ").alias("author"), F.col("doc_id").alias("record_id")
     )
     wanted = _read(spark, sf, "region").select(F.lower(F.substring("r_name", 1, 2)).alias("value")).distinct()

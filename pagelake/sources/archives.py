@@ -72,20 +72,21 @@ def bundle_by_key(files: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     ``part_bytes`` of content is cut into several zips by a hash of the path, each holding
     about that much, so that no key has to fit into one task; all others are part 0.
     """
-    name = F.substring_index("path", "/", -1)
-    last = files.groupBy("host", "key", name.alias("_name")).agg(F.max("path").alias("path"))
-    kept = files.withColumn("_name", name).join(last, ["host", "key", "_name", "path"], "left_semi")
-    parts = (
-        kept.groupBy("host", "key")
-        .agg(F.sum(F.octet_length("content").cast("bigint")).alias("_bytes"))
-        .select("host", "key", F.ceil(F.greatest("_bytes", F.lit(1)) / part_bytes).alias("_parts"))
+    name = F.substring_index("path", "/", -1).alias("_name")
+    size = F.octet_length("content").cast("bigint").alias("_size")
+    # which file goes where is settled on names and sizes, before any content moves
+    last = files.select("host", "key", name, "path", size).groupBy("host", "key", "_name").agg(
+        F.max(F.struct("path", "_size")).alias("_last")
     )
-    placed = kept.join(parts, ["host", "key"]).select(
-        "host",
-        "key",
-        F.pmod(F.xxhash64("path"), F.col("_parts")).cast("int").alias("part"),
-        "_name",
-        "content",
+    last = last.select("host", "key", "_name", "_last.path", "_last._size")
+    parts = last.groupBy("host", "key").agg(
+        F.ceil(F.greatest(F.sum("_size"), F.lit(1)) / part_bytes).alias("_parts")
+    )
+    place = last.join(parts, ["host", "key"]).select(
+        "host", "key", "path", "_name", F.pmod(F.xxhash64("path"), "_parts").cast("int").alias("part")
+    )
+    placed = files.join(place, ["host", "key", "path"]).select(
+        "host", "key", "part", "_name", "content"
     )
     schema = T.StructType(
         [

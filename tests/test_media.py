@@ -25,6 +25,7 @@ ZIP = {"Content-Type": "application/zip"}
         ("http://h/a.zip", 200, {}, b"x", [], "invalid-content_type"),
         ("http://h/a.zip", 200, None, b"x", None, "invalid-content_type"),
         ("http://h/a", 200, ZIP, b"x", [], "noaccess-filename"),
+        ("http://h/a.zip", 200, {**ZIP, "Content-Disposition": "filename*=a.zip"}, b"x", [], "unreadable-filename"),
         ("http://h/a.zip", 200, ZIP, b"x", [], "downloaded"),
         ("http://h/a.zip", 200, ZIP, b"x", ["cached"], "cached"),
         ("http://h/a.zip", None, None, None, None, "Error downloading"),
