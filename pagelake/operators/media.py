@@ -3,6 +3,9 @@
 ``candidates`` are ``(original_url, pos, url)``; ``outcomes`` are
 ``(ok, url, key, checksum, reason)``, one row per URL. None of these operators reads a
 response body except ``classify_fetch``, which only looks at its length.
+
+The optimizer sizes an exploded table by the file it comes from, and might broadcast one
+that is many times larger. Inner joins of candidates therefore ask for a merge join.
 """
 
 from __future__ import annotations
@@ -119,7 +122,7 @@ def first_success(candidates: DataFrame, outcomes: DataFrame) -> DataFrame:
 
     Records without any success are absent; ``attach_file`` keeps them.
     """
-    good = candidates.join(
+    good = candidates.hint("merge").join(
         outcomes.where("ok").select("url", "key", "checksum"), "url"
     )
     chosen = F.min_by(F.struct("key", "url", "checksum"), "pos").alias("_f")
@@ -146,7 +149,8 @@ def attempts(candidates: DataFrame, outcomes: DataFrame) -> DataFrame:
         F.min(F.when(F.col("ok"), F.col("pos"))).alias("_first_ok")
     )
     return (
-        candidates.join(first, "original_url")
+        candidates.hint("merge")
+        .join(first, "original_url")
         .where(F.col("_first_ok").isNull() | (F.col("pos") <= F.col("_first_ok")))
         .select(*candidates.columns)
     )
@@ -178,7 +182,7 @@ def fetch_plan(
         (reused | F.coalesce(F.col("_ok"), F.lit(False))).alias("usable"),
         (~reused & F.col("_ok").isNull()).alias("wanted"),
     )
-    placed = candidates.join(judged, "url")
+    placed = candidates.hint("merge").join(judged, "url")
     first = placed.where("usable").groupBy("original_url").agg(F.min("pos").alias("_usable_at"))
     return (
         placed.where("wanted")

@@ -103,7 +103,8 @@ _ORDER_CANDIDATES_SQL = """
 cands as (
   select l_orderkey as original_url, 'http://p.example.org/' || l_partkey || '.zip' as url,
          l_linenumber, l_partkey, l_suppkey,
-         row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as pos
+         -- equal lines have one place
+         rank() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as pos
   from lineitem),
 tried as (select c.*, o.ok from cands c join outcomes o using (url))
 """

@@ -68,3 +68,8 @@ def test_batches_are_limited_before_the_shuffle(plans):
 
 def test_keys_agree():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_exploded_candidates_are_not_broadcast(plans):
+    for name in ("first_success", "attempts", "fetch_plan"):
+        assert "BuildLeft" not in plans[name], name
