@@ -98,12 +98,15 @@ def with_store_path(df: DataFrame, base: str, url: str = "book_file_url") -> Dat
     )
 
 
-def write_path_store(files: DataFrame, path: str, buckets: int = 64, splits: int = 8) -> None:
+def write_path_store(
+    files: DataFrame, path: str, buckets: int = 64, splits: int | None = None
+) -> None:
     """Files ``(url, filename, content)`` in folders of a fixed number of host buckets.
 
-    A bucket is written by ``splits`` tasks, chosen by key, so that one big host does not
-    end up in one task.
+    A bucket is written by up to ``splits`` tasks, chosen by key: as many as the session has
+    shuffle partitions, so that one big host spreads over all of them.
     """
+    splits = splits or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = files.select(
         url_key(F.col("url")).alias("key"),
         "filename",

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.fixed_values import SHARD_KEYS, SHARDS
+from pagelake.fixed_values import SHARD_KEYS
 from pagelake.operators.records import fill_defaults, insert_unique, stamp
 
 
@@ -35,20 +35,23 @@ def write_book_detail(
 def write_book_detail_sharded(
     items: DataFrame,
     path: str,
-    shards: int = SHARDS,
+    shards: int | None = None,
     keys: tuple[str, ...] = SHARD_KEYS,
     now: Column | None = None,
 ) -> None:
     """A4: append records in ranges of ``keys``, under one folder per day.
 
+    There are ``shards`` ranges (``fixed_values.SHARDS`` for a small store), or else as
+    many as the session has shuffle partitions, merged where they turn out small.
     The record id ends the range key, so that many records with one time and name still
     spread over all shards. Sorted files let a reader skip by their min and max values.
     """
     shaped = stamp(fill_defaults(items, "sharded"), now)
     ordered = [*keys, "record_id"]
+    ranges = [F.col(c) for c in ordered] if shards is None else [shards, *ordered]
     (
         shaped.withColumn("update_date", F.to_date("update_time"))
-        .repartitionByRange(shards, *ordered)
+        .repartitionByRange(*ranges)
         .sortWithinPartitions("update_date", *ordered)
         .write.mode("append")
         .partitionBy("update_date")
