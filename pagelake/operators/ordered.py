@@ -2,8 +2,9 @@
 
 A window over a whole hot key would sort it in one task. Here each key is cut into buckets
 of its unique sequence number: a bucket of width ``w`` holds at most ``w`` rows, whatever
-the key. Bucket totals are summed with map-side combine, run up over the few buckets of a
-key, and joined back to windows that stay inside one bucket.
+the key. Bucket totals are summed with map-side combine, run up over the buckets of a key
+in the same way, and joined back to windows that stay inside one bucket. After two levels
+of the default width, the whole range of a bigint is at most 2**23 totals per key.
 """
 
 from __future__ import annotations
@@ -32,36 +33,56 @@ def running(
     Rows of a key are taken by the ``lead`` columns (name, descending?) and then by
     ``seq``, which must be unique.
     """
-    bucketed = df.withColumn("_bucket", F.floor(F.col(seq) / width).cast("bigint"))
-    bucketed = bucketed.withColumns({f"_in_{n}": v for n, (_, v) in values.items()})
-    group = [*keys, *[name for name, _ in lead], "_bucket"]
-    in_key = [F.col(n).desc() if down else F.col(n).asc() for n, down in lead]
+    return _running(df, keys, seq, values, lead, width, levels=2, last=0)
+
+
+def _running(
+    df: DataFrame,
+    keys: list[str],
+    seq: str,
+    values: dict[str, tuple[str, Column]],
+    lead: list[tuple[str, bool]],
+    width: int,
+    levels: int,
+    last: int,
+) -> DataFrame:
+    """Values over the rows up to this one (``last`` 0) or before it (``last`` -1)."""
+    bucket = f"_bucket{levels}"
+    inputs = {f"_in{levels}_{n}": v for n, (_, v) in values.items()}
+    bucketed = df.withColumn(bucket, F.floor(F.col(seq) / width).cast("bigint")).withColumns(inputs)
+    group = [*keys, *[name for name, _ in lead], bucket]
+
+    def over(window, prefix: str) -> dict[str, Column]:
+        return {
+            n: _AGGREGATES[kind](f"{prefix}{levels}_{n}").over(window)
+            for n, (kind, _) in values.items()
+        }
 
     totals = bucketed.groupBy(*group).agg(
-        *[_AGGREGATES[kind](f"_in_{n}").alias(f"_total_{n}") for n, (kind, _) in values.items()]
-    )
-    earlier = W.partitionBy(*keys).orderBy(*in_key, "_bucket").rowsBetween(
-        W.unboundedPreceding, -1
+        *[_AGGREGATES[k](f"_in{levels}_{n}").alias(f"_all{levels}_{n}") for n, (k, _) in values.items()]
     )
-    before = totals.select(
-        *[F.col(g).alias(f"_b_{g}") for g in group],
-        *[
-            _AGGREGATES[kind](f"_total_{n}").over(earlier).alias(f"_before_{n}")
-            for n, (kind, _) in values.items()
-        ],
+    if levels > 1:
+        above = {n: (kind, F.col(f"_all{levels}_{n}")) for n, (kind, _) in values.items()}
+        earlier = _running(totals, keys, bucket, above, lead, width, levels - 1, last=-1)
+    else:
+        in_key = [F.col(n).desc() if down else F.col(n).asc() for n, down in lead]
+        ordered = W.partitionBy(*keys).orderBy(*in_key, bucket)
+        earlier = totals.withColumns(over(ordered.rowsBetween(W.unboundedPreceding, -1), "_all"))
+    before = earlier.select(
+        *[F.col(g).alias(f"_b{levels}_{g}") for g in group],
+        *[F.col(n).alias(f"_before{levels}_{n}") for n in values],
     )
-    inside = W.partitionBy(*group).orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*group).orderBy(seq).rowsBetween(W.unboundedPreceding, last)
     local = bucketed.withColumns(
-        {f"_local_{n}": _AGGREGATES[kind](f"_in_{n}").over(inside) for n, (kind, _) in values.items()}
+        {f"_local{levels}_{n}": c for n, c in over(inside, "_in").items()}
     )
     same = reduce(
-        lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_b_{g}")) for g in group]
+        lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_b{levels}_{g}")) for g in group]
     )
-    out = local.join(before, same)
-    return out.select(
+    return local.join(before, same).select(
         *df.columns,
         *[
-            _combined(kind, F.col(f"_before_{n}"), F.col(f"_local_{n}")).alias(n)
+            _combined(kind, F.col(f"_before{levels}_{n}"), F.col(f"_local{levels}_{n}")).alias(n)
             for n, (kind, _) in values.items()
         ],
     )

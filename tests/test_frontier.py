@@ -74,7 +74,9 @@ def test_slots_follow_priority_then_arrival(spark):
 
 def test_running_values_with_null_keys(spark):
     rng = random.Random(5)
-    rows = [(i, rng.choice([None, "a", "b"]), rng.choice([None, *range(-9, 9)])) for i in range(500)]
+    # dense and sparse sequence numbers
+    numbers = [*range(400), *rng.sample(range(2**40, 2**62), 100)]
+    rows = [(i, rng.choice([None, "a", "b"]), rng.choice([None, *range(-9, 9)])) for i in numbers]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "seq bigint, k string, v bigint")
     value = F.col("v")
