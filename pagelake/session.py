@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FOLDER: dict[str, str] = {}
-
 
 def local_session(cores: str = "8", name: str = "pagelake") -> SparkSession:
     """Session for tests and bench runs on one machine."""
@@ -26,20 +23,9 @@ def local_session(cores: str = "8", name: str = "pagelake") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors reach, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder; a cluster without
-    it is refused, because a folder of one machine would be lost with that machine.
-    """
+    """The folder all executors reach: ``spark.checkpoint.dir``, else the warehouse folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_FOLDER:
-        _LOCAL_FOLDER[app] = tempfile.mkdtemp(prefix="pagelake-")
-    return _LOCAL_FOLDER[app]
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -64,4 +50,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table made by ``written`` that no later plan reads."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
