@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import exact_dedup, packing, quality_rules, secret_scan, simhash, url_filter
+from pagelake.llm import bpe, exact_dedup, packing, quality_rules, secret_scan, simhash, url_filter
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -50,6 +50,13 @@ from parts left join best on parts.host = best.host and parts.path = best.path
 """
 
 
+def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of each document's ids and of the bytes they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = bpe.coded(table(spark, sf, "documents"), path, public_tokenizers.PATTERN, digests=True)
+    return found.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
+
+
 def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Which row of each group of equal texts is kept."""
     return exact_dedup.exact_duplicates(table(spark, sf, "documents"))
@@ -127,6 +134,7 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
     "op2_url_filter": (op2_url_filter, _OP2_SQL),
+    "op3_byte_bpe": (op3_byte_bpe, None),
     "op4_exact_dedup": (op4_exact_dedup, _OP4_SQL),
     "op7_quality_rules": (op7_quality_rules, None),
     "op9_secret_scan": (op9_secret_scan, _OP9_SQL),
