@@ -122,9 +122,8 @@ class BpeCodec:
     def _learn(self, words: set[str]) -> None:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        missing = [w for w in words if w not in self.known]
         short = []
-        for word in missing:
+        for word in words.difference(self.known):
             data = word.encode()
             if data in self.ranks:
                 self.known[word] = self.ranks[data].to_bytes(4, "little")
@@ -141,15 +140,7 @@ class BpeCodec:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
         split = [self.pattern.findall(text or "") for text in texts]
-        words = set().union(*split) if split else set()
-        keep = CACHED_WORDS // 2
-        if len(words) > keep:  # more words than are remembered: one text after another
-            out = []
-            for matches in split:
-                self._learn(set(matches))
-                out.append(b"".join([self.known[w] for w in matches]))
-            return out
-        self._learn(words)
+        self._learn(set().union(*split))
         return [b"".join([self.known[w] for w in matches]) for matches in split]
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:

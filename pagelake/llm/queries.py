@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import bpe, exact_dedup, packing, quality_rules, secret_scan, simhash, url_filter
+from pagelake.llm import bpe, exact_dedup, language_id, packing, quality_model, quality_rules, secret_scan, simhash, url_filter
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -72,6 +72,11 @@ from folded window w as (partition by text_sha256)
 """
 
 
+def op5_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Calibrated probability that a document is of good quality."""
+    return quality_model.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Base counts and the verdict of the compression bands."""
     return quality_rules.judge(table(spark, sf, "documents")).select(
@@ -79,6 +84,14 @@ def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Main language of each document and its share of the letters."""
+    docs = table(spark, sf, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    found = language_id.identified(docs, model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Counts and places of all secrets in each document."""
     found = secret_scan.scan(table(spark, sf, "documents").select("doc_id", "text"))
@@ -136,7 +149,9 @@ QUERIES = {
     "op2_url_filter": (op2_url_filter, _OP2_SQL),
     "op3_byte_bpe": (op3_byte_bpe, None),
     "op4_exact_dedup": (op4_exact_dedup, _OP4_SQL),
+    "op5_quality_classifier": (op5_quality_classifier, None),
     "op7_quality_rules": (op7_quality_rules, None),
+    "op8_language_id": (op8_language_id, None),
     "op9_secret_scan": (op9_secret_scan, _OP9_SQL),
     "op10_best_fit_packing": (op10_best_fit_packing, None),
 }
