@@ -191,7 +191,7 @@ def _label_batches(shared):
                     if word not in known:
                         known[word] = (model.word_scores(word), sum(c.isalpha() for c in word))
             scores = [np.array([known[w][0] for w in words], np.float32).reshape(len(words), len(langs)) for words in split]
-            letters = [np.array([known[w][1] for w in words], np.int64) for words in split]
+            letters = [_letters_once(words, known) for words in split]
             rows = [_labelled(langs, path, n) for path, n in zip(viterbi(scores), letters, strict=True)]
             columns = zip(*rows, strict=True)
             types = [pa.string(), pa.float64(), _SPANS]
@@ -202,8 +202,17 @@ def _label_batches(shared):
     return run
 
 
+def _letters_once(words: list[str], known: dict) -> np.ndarray:
+    """Letters of each word where it first stands, 0 where it is repeated: a line that fills a
+    text over and over has one vote."""
+    out = np.zeros(len(words), np.int64)
+    for word, place in {w: i for i, w in reversed(list(enumerate(words)))}.items():
+        out[place] = known[word][1]
+    return out
+
+
 def _labelled(langs: list[str], path: np.ndarray, letters: np.ndarray) -> tuple[str, float, list[dict]]:
-    """The language with most letters, its share of them, and runs of words of one language."""
+    """The language with most letters (each word once), its share of them, and runs of words of one language."""
     if not letters.sum():
         return UNKNOWN, 0.0, []
     shares = np.bincount(path, weights=letters, minlength=len(langs))

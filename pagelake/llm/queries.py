@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import bpe, exact_dedup, language_id, packing, quality_model, quality_rules, secret_scan, simhash, url_filter
+from pagelake.llm import bpe, exact_dedup, language_id, lm_score, packing, quality_model, quality_rules, secret_scan, simhash, url_filter
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -77,6 +77,13 @@ def op5_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality_model.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op6_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Pseudo-likelihood of each document under a network trained on all of them."""
+    docs = table(spark, sf, "documents")
+    words = lm_score.lexicon(docs)
+    return lm_score.score(docs, words, lm_score.train(docs, words))
+
+
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Base counts and the verdict of the compression bands."""
     return quality_rules.judge(table(spark, sf, "documents")).select(
@@ -150,6 +157,7 @@ QUERIES = {
     "op3_byte_bpe": (op3_byte_bpe, None),
     "op4_exact_dedup": (op4_exact_dedup, _OP4_SQL),
     "op5_quality_classifier": (op5_quality_classifier, None),
+    "op6_lm_score": (op6_lm_score, None),
     "op7_quality_rules": (op7_quality_rules, None),
     "op8_language_id": (op8_language_id, None),
     "op9_secret_scan": (op9_secret_scan, _OP9_SQL),
