@@ -15,6 +15,7 @@ from pagelake.session import written
 KEY_BITS = 60
 MAX_DEPTH = 16
 BUCKET_ENTRIES = 4096
+SALTS = 32
 
 
 def entries(docs: DataFrame, key_bits: int = KEY_BITS) -> DataFrame:
@@ -105,8 +106,8 @@ _CHAIN_SCHEMA = pa.schema(
 def chains(docs: DataFrame, pages: DataFrame, key_bits: int = KEY_BITS) -> DataFrame:
     """(key, sha, chain, keep_id, group_size) of all texts whose key more than one document has.
 
-    Only those documents' texts are read again. Equal texts are combined where they are read;
-    each bucket's owner task then walks its key range and compares the bytes of the texts
+    Only those documents' texts are read again. A key is met in ``SALTS`` places, so the texts of
+    a large group are spread over tasks and combined there before they meet; each bucket's owner task then walks its key range and compares the bytes of the texts
     that share a key. ``chain`` is the text's place in its key's chain: above 0 for different
     texts with one key.
     """
@@ -114,9 +115,11 @@ def chains(docs: DataFrame, pages: DataFrame, key_bits: int = KEY_BITS) -> DataF
     sha = F.sha2("text", 256)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), folded(F.col("text")).alias("text")).withColumn("sha", sha)
     whole = F.conv(F.substring("sha", 1, 15), 16, 10).cast("bigint")
+    salted = crowded.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     found = (
         texts.withColumn("key", F.shiftright(whole, KEY_BITS - key_bits))
-        .join(crowded, "key")
+        .withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+        .join(salted, ["key", "salt"])
         .groupBy("bucket", "key", "sha", "text")
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     )
