@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ END_ID = 0
 LARGE_SHARE = 8
 """Lengths above a ``LARGE_SHARE``-th of the capacity are large."""
 GROUPS = (24, 96, 192)
-CACHED_WORDS = 150_000
+CACHED_WORDS = 400_000
 MAX_COLUMNS = 1500
 
 
@@ -29,27 +30,70 @@ class WordEncoder:
     """Ids of texts, from the ids of their white-space separated words.
 
     The tokenizer drops white space and never joins characters across it, so a text's ids
-    are those of its words in order. Ids of at most ``CACHED_WORDS`` words are remembered.
+    are those of its words in order. A word of Latin characters is lower-cased and cut here as
+    the tokenizer's file says, and its parts go to the tokenizer's model; any other word goes
+    through the whole tokenizer. Ids of at most ``CACHED_WORDS`` words are remembered.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.known_parts: dict[str, bytes] = {}
+
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        """Python also splits at four control characters that the tokenizer takes for symbols."""
+        return _SOLID(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
+    def _part(self, part: str) -> bytes:
+        found = self.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_NAMES))
+        ids = self.known_parts[part] = b"".join([token.id.to_bytes(4, "little") for token in found])
+        return ids
+
+    def _learn(self, words: set[str]) -> None:
+        known, parts = self.known, self.known_parts
+        if len(known) > CACHED_WORDS:
+            known.clear()
+            parts.clear()
+        others = []
+        for word in words.difference(known):
+            if _LATIN(word):
+                known[word] = b"".join([parts.get(p) or self._part(p) for p in _PARTS(word.lower())])
+            else:
+                others.append(word)
+        for word, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            known[word] = np.array(found.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(text or "").split() for text in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        missing = list({word for words in split for word in words if word not in self.known})
-        for start in range(0, len(missing), 10_000):
-            part = missing[start : start + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
+        """Ids of each text; null is empty."""
+        split = [self._words(text or "") for text in texts]
+        self._learn(set().union(*split))
         known = self.known
         return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
 
 
+#: How the tokenizer's file cuts normalised words.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+#: Characters up to Latin Extended-B: composed already, with lower-case forms of their own.
+_LATIN = regex.compile("[\0-\u024f]*").fullmatch
+
+
+_SOLID = regex.compile(r"\S+").findall
+
+
+def _byte_names() -> dict[int, int]:
+    """Byte-level vocabularies write a byte as the character of that code if it is visible, and
+    the others in order from code 256."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_BYTE_NAMES = _byte_names()
+
+
 _PIECES = (
     "doc_id bigint, piece int, start bigint, length bigint, ids binary, ids_crc32 bigint, task int, place bigint"
 )
