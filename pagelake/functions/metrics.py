@@ -17,6 +17,7 @@ def metric_name(key: Column, spider: Column, prefix: str = METRIC_PREFIX) -> Col
 
 
 def metric_line(name: Column, value: Column, ts: Column | None = None) -> Column:
-    """``name value epoch``; the epoch is now where no time is given."""
+    """``name value epoch``; the epoch is now where no time is given, the line null
+    without a name or a value."""
     moment = F.current_timestamp() if ts is None else F.coalesce(ts, F.current_timestamp())
-    return F.concat_ws(" ", name, fmt_g(value), F.unix_timestamp(moment).cast("string"))
+    return F.concat(name, F.lit(" "), fmt_g(value), F.lit(" "), F.unix_timestamp(moment).cast("string"))

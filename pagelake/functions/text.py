@@ -76,10 +76,11 @@ def remove_entities(text: Column) -> Column:
 
 def _entity_char(entity: Column) -> Column:
     body = F.substring(entity, F.lit(2), F.length(entity) - 2)
-    digits = F.regexp_extract(body, r"^#([0-9]{1,7})$", 1)
-    hexits = F.regexp_extract(body, r"^#[xX]([0-9A-Fa-f]{1,6})$", 1)
-    number = F.when(digits != "", digits.cast("bigint")).when(
-        hexits != "", F.conv(hexits, 16, 10).cast("bigint")
+    digits = F.regexp_extract(body, r"^#0*([0-9]+)$", 1)
+    hexits = F.regexp_extract(body, r"^#[xX]0*([0-9A-Fa-f]+)$", 1)
+    # longer numbers, without leading zeros, are beyond the last code point
+    number = F.when((digits != "") & (F.length(digits) <= 7), digits.cast("bigint")).when(
+        (hexits != "") & (F.length(hexits) <= 6), F.conv(hexits, 16, 10).cast("bigint")
     )
     low = F.substring(F.lit(_CP1252), (number - 0x7F).cast("int"), F.lit(1))
     numeric = F.when(number.between(0x80, 0x9F), F.nullif(low, F.lit("?"))).when(
@@ -104,16 +105,17 @@ def checksum(body: Column) -> Column:
 def decode_body(body: Column, encoding: Column, extra: bool = False) -> Column:
     """Text of ``body`` in the encoding its row names; null where bytes do not fit.
 
-    UTF-8 and Latin-1 are decoded in the JVM. ``extra=True`` adds every other charset
+    UTF-8, ASCII and Latin-1 are decoded in the JVM. ``extra=True`` adds every other charset
     through an Arrow batch function, which then sees only the rows that need it.
     """
     charset = F.lower(F.coalesce(encoding, F.lit("utf-8")))
-    utf8 = charset.isin("utf-8", "utf8", "ascii", "us-ascii")
+    utf8 = charset.isin("utf-8", "utf8")
+    ascii7 = charset.isin("ascii", "us-ascii")
     latin = charset.isin("iso-8859-1", "latin-1", "latin1")
-    known = F.when(utf8, F.try_validate_utf8(body)).when(latin, F.decode(body, "ISO-8859-1"))
+    known = F.when(utf8 | (ascii7 & F.hex(body).rlike("^([0-7].)*$")), F.try_validate_utf8(body)).when(latin, F.decode(body, "ISO-8859-1"))
     if not extra:
         return known
-    other = ~utf8 & ~latin
+    other = ~utf8 & ~ascii7 & ~latin
     decoded = _decode_batch(F.when(other, body), F.when(other, charset))
     return F.when(other, decoded).otherwise(known)
 

@@ -19,7 +19,7 @@ def resolve_url(base: Column, ref: Column) -> Column:
     directory = F.when(directory == "", "/").otherwise(directory)
     path = F.regexp_extract(ref, r"^([^?#]*)", 1)
     tail = F.regexp_extract(ref, r"(?s)^[^?#]*(.*)$", 1)
-    beside = F.regexp_replace(F.concat(directory, path), "/{2,}", "/")
+    beside = F.concat(directory, path)
     return (
         F.when(ref.isNull() | (ref == ""), F.when(ref.isNotNull(), base))
         .when(ref.rlike("^" + _SCHEME), ref)

@@ -8,6 +8,7 @@ them is a column expression.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -26,23 +27,32 @@ from pagelake.functions.text import (
 )
 from pagelake.functions.urls import resolve_url
 
-_ANCHOR = r'(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>([^<]*)'
+# Every part that is not closed runs to the end of the page, so that no search starts again.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
+_ANCHOR = r"""(?is)<a(?=[\s/])((?:[^>"']++|"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))*+)(?:>|\z)([^<]*+)"""
+_OTHER_ATTRIBUTES = r"""(?>[\s/]++|(?!href[\s=])[^\s=/"'>]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']++))?+)*+"""
+_HREF = rf"""(?is)^{_OTHER_ATTRIBUTES}href\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
 
 
 def extract_links(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """B1: every anchor with a quoted href: ``(src_url, pos, href, text)`` in document order,
-    and the ``keep`` columns of its page. The markup ends in the scan stage."""
+    """B1: every anchor with an href: ``(src_url, pos, href, text)`` in document order, and the
+    ``keep`` columns of its page. The href may stand in double, single or no quotes; comments,
+    scripts and styles hold no anchors. The markup ends in the scan stage."""
+    visible = F.regexp_replace("html", _HIDDEN, "")
+    tags = F.regexp_extract_all(visible, F.lit(_ANCHOR), F.lit(0))
+    linked = F.filter(tags, lambda a: F.regexp_extract(a, _ANCHOR, 1).rlike(_HREF))
     anchors = pages.select(
         F.col("url").alias("src_url"),
         *keep,
         # outer: an inner explode would test the array first, and so search the page twice
-        F.posexplode_outer(F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(0))).alias("pos", "_a"),
+        F.posexplode_outer(linked).alias("pos", "_a"),
     ).where(F.col("pos").isNotNull())
+    source = F.regexp_extract("_a", _ANCHOR, 1)
     return anchors.select(
         "src_url",
         *keep,
         "pos",
-        F.regexp_extract("_a", _ANCHOR, 1).alias("href"),
+        F.concat(*[F.regexp_extract(source, _HREF, i) for i in (1, 2, 3)]).alias("href"),
         F.regexp_extract("_a", _ANCHOR, 2).alias("text"),
     )
 
@@ -121,7 +131,7 @@ def select_first(html: Column, tag: str, cls: str | None = None, attribute: str
     elif cls is None:
         pattern = rf'(?is)<{tag}\s(?:[^>]*\s)?{attribute}="([^"]*)"'
     else:
-        raise ValueError("an attribute of an element with a class needs extract_detail")
+        pattern = rf'(?is)<{tag}\s(?=(?:[^>]*\s)?class="{cls}")(?:[^>]*\s)?{attribute}="([^"]*)"'
     return F.get(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.lit(0))
 
 
@@ -189,8 +199,8 @@ _DETAIL = T.StructType(
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SELF_CLOSING = frozenset("p li tr td th option dt dd".split())
 _TOKEN = re.compile(
-    r"""<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>"""
-    r"""|<(/?)([a-z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|([^<]+|<)""",
+    r"""<!--.*?(?:-->|\Z)|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|\Z)"""
+    r"""|<(/?)([a-z][^\s/>]*)((?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)|([^<]+|<)""",
     re.I | re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
@@ -220,9 +230,14 @@ class _Node:
 
 
 def _elements(html: str) -> list[_Node]:
-    """Elements of a page in document order. Forgives unclosed and unopened tags."""
+    """Elements of a page in document order. Forgives unclosed and unopened tags.
+
+    A comment, script or tag that is not closed runs to the end of the page, and an end tag
+    is looked for only while an element of that tag is open, so the time is linear.
+    """
     top = root = _Node("", "", None)
     found, cut = [], True
+    still_open = Counter()
     for end, tag, source, text in _TOKEN.findall(html):
         if text:
             # a lone "<" goes on with the text around it; a tag or comment cuts it
@@ -235,17 +250,20 @@ def _elements(html: str) -> list[_Node]:
         cut = True
         tag = tag.lower()
         if end:
-            node = top
-            while node is not root and node.tag != tag:
-                node = node.parent
-            top = node.parent if node is not root else top
+            while still_open[tag]:
+                still_open[top.tag] -= 1
+                closed, top = top.tag, top.parent
+                if closed == tag:
+                    break
         elif tag:
             if (top.tag == tag and tag in _SELF_CLOSING) or (top.tag == "p" and tag == "div"):
+                still_open[top.tag] -= 1
                 top = top.parent
             node = _Node(tag, source, top)
             top.children.append(node)
             found.append(node)
             if tag not in _VOID:
+                still_open[tag] += 1
                 top = node
     return found
 

@@ -21,8 +21,12 @@ from pagelake.functions.urls import url_key
 
 
 def candidate_urls(items: DataFrame) -> DataFrame:
-    """Every distinct file URL of a record, in order: ``(original_url, pos, url)``."""
-    urls = F.array_distinct(F.flatten(F.transform("book_download", lambda d: d["url"])))
+    """Every distinct file URL of a record, in order: ``(original_url, pos, url)``.
+
+    Null rows of the list and rows without URLs are skipped.
+    """
+    lists = F.filter(F.transform("book_download", lambda d: d["url"]), lambda u: u.isNotNull())
+    urls = F.array_distinct(F.flatten(lists))
     return items.select("original_url", F.posexplode(F.filter(urls, lambda u: u.isNotNull())).alias("pos", "url"))
 
 
@@ -31,6 +35,12 @@ def allowed_type(content_type: Column, allowed: list[str] = fixed.FILE_CONTENT_T
     return F.coalesce(content_type, F.lit("")).isin(allowed)
 
 
+def header(name: str) -> Column:
+    """The first header of that name, in any letter case; null when absent."""
+    same = F.map_filter("headers", lambda k, v: F.lower(k) == name.lower())
+    return F.get(F.map_values(same), F.lit(0))
+
+
 def blob_key(url: Column) -> Column:
     """Key of a file in the blob store."""
     return url_key(url, "_")
@@ -46,14 +56,13 @@ def classify_fetch(
     The tests run in a fixed order: status, body, type, name. ``accept`` replaces the test
     of the type header, ``name`` the rule that finds the file name from URL and header.
     """
-    headers = F.col("headers")
-    named = captures.withColumn("_file", name(F.col("url"), headers["Content-Disposition"]))
+    named = captures.withColumn("_file", name(F.col("url"), header("Content-Disposition")))
     no_name = F.coalesce(F.col("_file.name"), F.lit("")) == ""
     reason = (
         F.when(F.col("status").isNull(), fixed.TRANSPORT_ERROR)
         .when(F.col("status") != 200, fixed.DOWNLOAD_ERROR)
         .when(F.coalesce(F.octet_length("body"), F.lit(0)) == 0, fixed.EMPTY_CONTENT)
-        .when(~accept(headers["Content-Type"]), fixed.INVALID_TYPE)
+        .when(~accept(header("Content-Type")), fixed.INVALID_TYPE)
         .when(F.col("_file.failed"), fixed.UNREADABLE_NAME)
         .when(no_name, fixed.NO_FILENAME)
         .when(F.coalesce(F.array_contains("flags", fixed.CACHED), F.lit(False)), fixed.CACHED)
@@ -198,11 +207,14 @@ def attach_cover(
 ) -> DataFrame:
     """``book_covor_image_path`` of records: absolute path of the cover, else ``''``.
 
-    ``images(url, ok, path, width, height)``, one row per URL.
+    ``images(url, ok, path, width, height)``, one row per URL. An image without a size is
+    refused only where a minimum is set.
     """
-    good = images.where(
-        F.col("ok") & (F.col("width") >= min_width) & (F.col("height") >= min_height)
-    ).select(F.concat(F.lit("url "), "url").alias("_cover"), F.col("path").alias("_path"))
+    large = F.lit(True)
+    for side, least in (("width", min_width), ("height", min_height)):
+        if least:
+            large = large & (F.col(side) >= least)
+    good = images.where(F.col("ok") & large).select(F.concat(F.lit("url "), "url").alias("_cover"), F.col("path").alias("_path"))
     # records without a cover get a key of their own: as one key they could be a third of all
     url = F.coalesce("book_covor_image_url", F.lit(""))
     asked = F.when(url != "", F.concat(F.lit("url "), url)).otherwise(

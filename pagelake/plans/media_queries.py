@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pagelake import fixed_values as fixed
 from pagelake.operators import media as md
-from pagelake.session import spread
 
 NOW = "2001-08-02 00:00:00"
 
@@ -40,7 +39,7 @@ def line_items(spark, sf) -> DataFrame:
     downloads = F.when(
         F.col("l_linestatus") == "F", F.array(row(), row(by_supplier), row(by_part, by_supplier))
     ).otherwise(F.array(row(by_part, by_supplier), row(by_part)))
-    return spread(_read(spark, sf, "lineitem")).select(
+    return _read(spark, sf, "lineitem").select(
         F.concat(F.lit("http://books.example.org/"), line).alias("original_url"),
         downloads.alias("book_download"),
     )
@@ -142,7 +141,7 @@ def captures(spark, sf) -> DataFrame:
         lambda _, v: v.isNotNull(),
     )
     ending = F.when(F.col("value") > 20, ".zip").otherwise(".php")
-    return spread(_read(spark, sf, "events")).select(
+    return _read(spark, sf, "events").select(
         "event_id",
         F.concat(url, ending).alias("url"),
         status.alias("status"),
@@ -193,7 +192,7 @@ def fresh_files(spark, sf):
         F.md5(F.max("o_orderkey").cast("string")).alias("checksum"),
     )
     now = F.lit(NOW).cast("timestamp")
-    return md.freshness(wanted, files.where("upload_date < '2001-07-30'"), now)
+    return md.freshness(wanted, files, now)
 
 
 def _stored_files(spark, sf):
@@ -304,7 +303,7 @@ QUERIES = {
         f"""
         with files as (
           select o_custkey as key, max(o_orderdate) as d, md5(cast(max(o_orderkey) as varchar)) as c
-          from orders group by 1 having max(o_orderdate) < timestamp '2001-07-30')
+          from orders group by 1)
         select c_custkey as key,
                case when d is null then 'missing'
                     when epoch(timestamp '{NOW}') - epoch(d) > 30 * 86400 then 'stale'

@@ -19,7 +19,7 @@ from pagelake.functions.urls import (
 from pagelake.fixed_values import CACHE_PREFIX
 from pagelake.operators import extract as ex
 from pagelake.plans.crawl import frontier_requests, host_frontier
-from pagelake.session import new_path, spread
+from pagelake.session import new_path
 from pagelake.sources.blobs import with_store_path
 from pagelake.sources.captures import captures_from_pages, seeds
 
@@ -125,7 +125,7 @@ def first_elements(spark, sf):
 
 def listing_pages(spark: SparkSession, sf: str) -> DataFrame:
     """A listing page per order: one link on, one detail link, one empty, one outside."""
-    orders = spread(spark.read.parquet(f"{sf}/orders.parquet"))
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
     key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     following = (F.col("o_orderkey") + 1).cast("string")
     onward = F.concat(
@@ -162,7 +162,7 @@ from orders
 
 def detail_pages(spark: SparkSession, sf: str) -> DataFrame:
     """A detail page per order; its status decides which parts are missing."""
-    orders = spread(spark.read.parquet(f"{sf}/orders.parquet"))
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
     key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     status, rank = F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1)
     anchor = F.concat(F.lit('<div><a href="http://f.org/'), customer, F.lit('.rar">1</a></div>'))
@@ -260,7 +260,7 @@ def clean_urls(spark, sf):
 def resolved_urls(spark, sf):
     """Each link against its page in every form of reference."""
     found = ex.extract_links(pages(spark, sf))
-    word = F.substring("href", 2, 1000000)
+    word = F.expr("substring(href, 2)")
     forms = {
         "rooted": F.col("href"),
         "schemeless": F.concat(F.lit("//other.example.org"), F.col("href")),

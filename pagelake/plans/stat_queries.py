@@ -54,14 +54,24 @@ ops as (
 _NAME_SQL = "case when spider is null then 'scrapy.' || key else 'scrapy.spider.' || spider || '.' || key end"
 
 
+_KEYED_SQL = f"""{_OPS_SQL},
+keyed as (select * replace (key || ':' || coalesce(spider, 'none') as key) from ops)
+"""
+
+
+def _keyed(df):
+    """One key per kind and spider: some keys are in one epoch only."""
+    return df.withColumn("key", F.concat_ws(":", "key", F.coalesce("spider", F.lit("none"))))
+
+
 def _prior(spark, sf, value):
-    """Statistics before the second epoch, over the users of the first."""
-    early = ops(spark, sf).where("epoch = 1 and key in ('signup', 'view', 'error')")
+    """Statistics of the first epoch."""
+    early = _keyed(ops(spark, sf)).where("epoch = 1")
     return early.groupBy("key").agg(F.expr(value).alias("value"))
 
 
 def _later(spark, sf):
-    return st.clear_stats(ops(spark, sf), 2).where("key <> 'error'")
+    return st.clear_stats(_keyed(ops(spark, sf)), 2)
 
 
 def _two_runs(function, prior_value):
@@ -73,9 +83,9 @@ def _two_runs(function, prior_value):
 
 def _two_runs_sql(prior, combined, later):
     return f"""
-    with {_OPS_SQL},
-    old as (select key, {prior} as o from ops where epoch = 1 and key in ('signup', 'view', 'error') group by key),
-    new as (select key, {later} as n from ops where epoch = 2 and key <> 'error' group by key)
+    with {_KEYED_SQL},
+    old as (select key, {prior} as o from keyed where epoch = 1 group by key),
+    new as (select key, {later} as n from keyed where epoch = 2 group by key)
     select coalesce(old.key, new.key) as key, cast({combined} as bigint) as value
     from old full join new on old.key = new.key
     """
@@ -238,11 +248,11 @@ QUERIES = {
     "set_stats": (
         merged_map,
         f"""
-        with {_OPS_SQL},
-        old as (select key, max(value) as o from ops where epoch = 1 and key in ('signup', 'view', 'error') group by key),
+        with {_KEYED_SQL},
+        old as (select key, max(value) as o from keyed where epoch = 1 group by key),
         new as (
-          select key, arg_max(value, seq) as n from ops where epoch = 2 and key <> 'error' group by key
-          union all select key || '_id', max(seq) from ops where epoch = 2 and key <> 'error' group by key)
+          select key, arg_max(value, seq) as n from keyed where epoch = 2 group by key
+          union all select key || '_id', max(seq) from keyed where epoch = 2 group by key)
         select coalesce(old.key, new.key) as key, coalesce(n, o) as value
         from old full join new on old.key = new.key
         """,

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pagelake.functions import files as names
 from pagelake.functions import text as tx
 from pagelake.functions.urls import netloc
-from pagelake.session import spread
 
 
 def _read(spark, sf, table):
@@ -104,7 +103,7 @@ def _responses(spark, sf):
     ).when(
         rank == "5", F.concat(F.lit("http://files.example.org/a+b%20"), key, F.lit(".Zip"))
     ).otherwise(F.concat(F.lit("http://files.example.org/"), key, F.lit(".html?f=a.txt")))
-    return spread(_read(spark, sf, "orders")).select("o_orderkey", url.alias("url"), header.alias("header"))
+    return _read(spark, sf, "orders").select("o_orderkey", url.alias("url"), header.alias("header"))
 
 
 def file_names(spark, sf):
@@ -146,7 +145,7 @@ def numbers(spark, sf):
         "tenths": F.col("o_custkey") / F.lit(10.0),
     }
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), x.alias("x")) for k, x in sizes.items()])
-    numbers = spread(_read(spark, sf, "orders")).select("o_orderkey", F.inline(pairs))
+    numbers = _read(spark, sf, "orders").select("o_orderkey", F.inline(pairs))
     return numbers.select("o_orderkey", "kind", tx.fmt_g(F.col("x")).alias("text"))
 
 

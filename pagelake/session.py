@@ -33,15 +33,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/pagelake/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` on all cores when its input has fewer splits than that, before costly work.
-
-    A large input has more splits than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` stored as a table in the shared folder and read back.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +55,7 @@ def _expand(batches):
                     for info in archive.infolist():
                         if not info.is_dir():
                             yield _member(path, info.filename, archive.read(info), None)
-            except (zipfile.BadZipFile, RuntimeError, NotImplementedError, ValueError) as bad:
+            except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, ValueError) as bad:
                 yield _member(path, None, None, type(bad).__name__)
 
 

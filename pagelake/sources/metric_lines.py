@@ -9,8 +9,8 @@ from pagelake.functions.metrics import metric_line
 
 
 def metric_lines(points: DataFrame) -> DataFrame:
-    """One ``line`` per point ``(name, value, ts)``."""
-    return points.select(metric_line(F.col("name"), F.col("value"), F.col("ts")).alias("line"))
+    """One ``line`` per point ``(name, value, ts)`` that has a name and a value."""
+    return points.where("name is not null and value is not null").select(metric_line(F.col("name"), F.col("value"), F.col("ts")).alias("line"))
 
 
 def write_metric_lines(points: DataFrame, path: str, mode: str = "append") -> None:
