@@ -60,7 +60,11 @@ class WordEncoder:
         others = []
         for word in words.difference(known):
             if _LATIN(word):
-                known[word] = b"".join([parts.get(p) or self._part(p) for p in _PARTS(word.lower())])
+                low = word.lower()
+                if low.isalpha():
+                    known[word] = parts.get(low) or self._part(low)
+                else:
+                    known[word] = b"".join([parts.get(p) or self._part(p) for p in _cut(low)])
             else:
                 others.append(word)
         for word, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
@@ -80,6 +84,13 @@ _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 _LATIN = regex.compile("[\0-\u024f]*").fullmatch
 
 
+
+
+def _cut(word: str) -> list[str]:
+    """Parts of a word; most are letters and one mark, and need no pattern."""
+    return [word[:-1], word[-1]] if word[-1] in ".,;:!?" and word[:-1].isalpha() else _PARTS(word)
+
+
 _SOLID = regex.compile(r"\S+").findall
 
 
