@@ -71,7 +71,7 @@ def chunk_bounds(n_bytes: int) -> list[tuple[int, int]]:
     starts = list(range(0, n_bytes, CHUNK_BYTES))
     if len(starts) > 1 and n_bytes - starts[-1] < MIN_CHUNK_BYTES:
         starts.pop()
-    return list(zip(starts, [*starts[1:], n_bytes], strict=True))
+    return list(zip(starts, [*starts[1:], n_bytes][: len(starts)], strict=True))
 
 
 def measure(text: str | None, compressor: zstandard.ZstdCompressor) -> tuple:
