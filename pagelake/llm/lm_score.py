@@ -116,8 +116,9 @@ class Network:
         self.hidden_bias -= step * below.sum(axis=0)
         for i in range(len(WINDOW)):
             order = np.argsort(around[:, i], kind="stable")
-            classes, first = np.unique(around[order, i], return_index=True)
-            self.context[i][classes] -= step * np.add.reduceat(below[order], first, axis=0)
+            column = around[order, i]
+            first = np.flatnonzero(np.diff(column, prepend=-1))
+            self.context[i][column[first]] -= step * np.add.reduceat(below[order], first, axis=0)
 
 
 def windows(classes: list[np.ndarray]) -> np.ndarray:
