@@ -17,6 +17,7 @@ from pagelake.llm.common import id_remainder, text_slices
 HELD_OUT_DIVISOR = 3
 HELD_OUT_REMAINDER = 1
 GRAM_SIZES = (1, 2, 3)
+CODE_BITS = 21
 MAX_GRAMS = 4000
 """N-grams kept of each language, the most frequent; this bounds the model that is broadcast."""
 SMOOTHING = 0.5
@@ -38,13 +39,12 @@ SCRIPTS = (
 )
 
 
-def script(word: str) -> str:
-    """Script of the word's first letter; empty if it has no letter, ``other`` beyond the ranges."""
-    for character in word:
-        if character.isalpha():
-            code = ord(character)
-            return next((name for name, first, last in SCRIPTS if first <= code <= last), "other")
-    return ""
+def script(letter: str) -> str:
+    """Script of a letter; empty for other characters, ``other`` beyond the ranges."""
+    if not letter.isalpha():
+        return ""
+    code = ord(letter)
+    return next((name for name, first, last in SCRIPTS if first <= code <= last), "other")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -52,9 +52,68 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def grams(word: str) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + n] for n in GRAM_SIZES for i in range(len(padded) - n + 1)]
+@dataclass
+class Letters:
+    """Code points of many words, a space before and after each."""
+
+    codes: np.ndarray
+    owner: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[str]) -> Letters:
+        codes = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        return cls(codes, np.repeat(np.arange(len(words)), sizes), np.cumsum(sizes) - sizes)
+
+    def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, keys) of the n-grams inside words; a key holds 21 bits of each code point."""
+        n = max(0, len(self.codes) - size + 1)
+        places = np.flatnonzero(self.owner[:n] == self.owner[size - 1 :])
+        keys = np.zeros(len(places), np.int64)
+        for i in range(size):
+            keys = keys << CODE_BITS | self.codes[places + i]
+        return places, keys
+
+    def scripts(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(names, place among the names of each word's first letter, number of letters of each word).
+
+        The first name is the empty one, of words without a letter.
+        """
+        seen, place = np.unique(self.codes, return_inverse=True)
+        of_seen = [script(chr(c)) for c in seen.tolist()]
+        names = ["", *sorted(set(of_seen) - {""})]
+        kinds = np.array([names.index(k) for k in of_seen], np.int64)[place]
+        at = np.where(kinds > 0, np.arange(len(kinds)), len(kinds))
+        first = np.minimum.reduceat(at, self.starts)
+        return names, np.append(kinds, 0)[first], np.add.reduceat((kinds > 0).astype(np.int64), self.starts)
+
+
+def gram_key(gram: str) -> int:
+    key = 0
+    for character in gram:
+        key = key << CODE_BITS | ord(character)
+    return key
+
+
+def gram_of(key: int) -> str:
+    """The n-gram of a key; no word holds a character of code 0."""
+    out = ""
+    while key:
+        out, key = chr(key & (1 << CODE_BITS) - 1) + out, key >> CODE_BITS
+    return out
+
+
+def _counts(words: Counter) -> Iterator[tuple[str, str, int]]:
+    """(kind, item, n) of the scripts and n-grams of counted words."""
+    letters, n = Letters.of(list(words)), np.fromiter(words.values(), np.int64, len(words))
+    names, kinds, _ = letters.scripts()
+    yield from (("script", name, int(c)) for name, c in zip(names, np.bincount(kinds, n, len(names)), strict=True) if c)
+    for size in GRAM_SIZES:
+        places, keys = letters.grams(size)
+        seen, place = np.unique(keys, return_inverse=True)
+        sums = np.bincount(place, n[letters.owner[places]], len(seen))
+        yield from (("gram", gram_of(key), int(c)) for key, c in zip(seen.tolist(), sums, strict=True))
 
 
 def _gram_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,14 +121,9 @@ def _gram_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     words: dict[str, Counter] = defaultdict(Counter)
 
     def counted() -> pa.RecordBatch:
-        rows: dict[tuple[str, str, str], int] = Counter()
-        for lang, seen in words.items():
-            for word, n in seen.items():
-                rows[lang, "script", script(word)] += n
-                for gram in grams(word):
-                    rows[lang, "gram", gram] += n
+        rows = [(lang, *row) for lang, seen in words.items() if seen for row in _counts(seen)]
         words.clear()
-        columns = list(zip(*((*k, n) for k, n in rows.items()), strict=True)) or [[]] * 4
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
         types = [pa.string(), pa.string(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "kind", "item", "n"])
 
@@ -90,15 +144,57 @@ class Model:
     missing: np.ndarray
     scripts: dict[str, np.ndarray]
 
-    def word_scores(self, word: str) -> np.ndarray:
-        """Mean log-probability per n-gram, times the word's length; languages that do not write
-        in the word's script are left out. A word without letters says nothing."""
-        kind = script(word)
-        if not kind:
-            return np.zeros(len(self.langs), np.float32)
-        found = [self.grams.get(g, self.missing) for g in grams(word)]
-        total = np.sum(found, axis=0) / len(GRAM_SIZES)
-        return np.where(self.scripts.get(kind, True), total, total.min() - 20.0).astype(np.float32)
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the n-grams in order, and their rows of log-probabilities, ``missing`` last."""
+        keys = np.array([gram_key(g) for g in self.grams], np.int64)
+        order = np.argsort(keys)
+        logs = np.array([*self.grams.values(), self.missing], np.float32).reshape(-1, len(self.langs))
+        return keys[order], logs[np.append(order, len(keys))]
+
+
+class WordTable:
+    """Scores and letters of the words met so far, each scored once.
+
+    A score is the mean log-probability per n-gram, times the word's length; languages that
+    do not write in the word's script are left out. A word without letters says nothing.
+    """
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.keys, self.logs = model.table()
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.scores = np.zeros((0, len(self.model.langs)), np.float32)
+        self.letters = np.zeros(0, np.int64)
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Place of each word in ``scores`` and ``letters``; new words are added."""
+        if len(self.place) > CACHED_WORDS:
+            self.clear()
+        new = list(set(words).difference(self.place))
+        if new:
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+            scores, letters = self._scored(new)
+            self.scores, self.letters = np.concatenate([self.scores, scores]), np.concatenate([self.letters, letters])
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+    def _scored(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        letters = Letters.of(words)
+        names, kinds, counts = letters.scripts()
+        total = np.zeros((len(words), len(self.model.langs)), np.float32)
+        for size in GRAM_SIZES:
+            places, keys = letters.grams(size)
+            row = np.searchsorted(self.keys, keys)
+            row[np.append(self.keys, -1)[row] != keys] = len(self.keys)
+            owner = letters.owner[places]
+            for i in range(len(self.model.langs)):
+                total[:, i] += np.bincount(owner, self.logs[row, i], len(words)) / len(GRAM_SIZES)
+        everywhere = np.ones(len(self.model.langs), bool)
+        written = np.array([self.model.scripts.get(name, everywhere) for name in names])[kinds]
+        scores = np.where(written, total, total.min(axis=1, keepdims=True) - 20.0)
+        return np.where((kinds > 0)[:, None], scores, 0.0).astype(np.float32), counts
 
 
 def fit(docs: DataFrame) -> Model:
@@ -142,36 +238,45 @@ def viterbi(scores: list[np.ndarray], penalty: float = SWITCH_PENALTY) -> list[n
     stays, then the first language, is taken.
     """
     order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
-    sizes = np.array([len(scores[i]) for i in order])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    flat = np.concatenate([scores[i] for i in order]) if order else np.zeros((0, 1), np.float32)
-    stays = np.zeros(flat.shape, bool)
-    source = np.zeros(len(flat), np.int64)
-    active = int((sizes > 0).sum())
-    best = flat[starts[:active]].astype(np.float64)
-    final = best.copy()
-    for step in range(1, int(sizes[0]) if len(sizes) else 0):
-        active = int(np.searchsorted(-sizes, -step, side="left"))
-        best = best[:active]
-        rows = starts[:active] + step
-        leader = best.argmax(axis=1)
-        jump = best[np.arange(active), leader] - penalty
-        stays[rows] = stay = best >= jump[:, None]
-        source[rows] = leader
-        best = np.where(stay, best, jump[:, None]) + flat[rows]
-        final[:active] = best
-    labels = np.zeros(len(flat), np.int64)
-    count = int((sizes > 0).sum())
-    state = final[:count].argmax(axis=1) if count else np.zeros(0, np.int64)
-    for step in range((int(sizes[0]) if len(sizes) else 0) - 1, -1, -1):
-        active = int(np.searchsorted(-sizes, -step, side="left"))
-        rows = starts[:active] + step
-        labels[rows] = state[:active]
+    sizes = np.array([len(scores[i]) for i in order], np.int64)
+    longest = int(sizes.max(initial=0))
+    if not longest:
+        return [np.zeros(0, np.int64) for _ in scores]
+    active = np.cumsum(np.bincount(sizes, minlength=longest + 1)[::-1])[::-1][1:].tolist()  # texts that have each step
+    ends = np.cumsum([0, *active])
+    starts, ends = ends[:-1].tolist(), ends[1:].tolist()
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    step_of = np.arange(len(text)) - (np.cumsum(sizes) - sizes)[text]
+    row = np.array(starts, np.int64)[step_of] + text  # words of one step are neighbours
+    width = scores[0].shape[1]
+    by_step = np.zeros((len(text), width))
+    by_step[row] = np.concatenate([scores[i] for i in order])
+    stays = np.zeros(by_step.shape, bool)
+    source = np.zeros(len(by_step), np.int64)
+    state = np.zeros(active[0], np.int64)
+    best = by_step[: len(state)]
+    for step in range(1, longest):
+        n, rows = active[step], slice(starts[step], ends[step])
+        if n < len(best):
+            state[n : len(best)] = best[n:].argmax(axis=1)
+            best = best[:n]
+        jump = best.max(axis=1, keepdims=True) - penalty
+        best.argmax(axis=1, out=source[rows])
+        np.greater_equal(best, jump, out=stays[rows])
+        best = np.maximum(best, jump) + by_step[rows]
+    state[: len(best)] = best.argmax(axis=1)
+    labels, each, flat_stays = np.zeros(len(by_step), np.int64), np.arange(len(state)) * width, stays.reshape(-1)
+    for step in range(longest - 1, -1, -1):
+        n, first = active[step], starts[step]
+        now = state[:n]
+        labels[first : first + n] = now
         if step:
-            state[:active] = np.where(stays[rows, state[:active]], state[:active], source[rows])
+            kept = flat_stays[first * width + each[:n] + now]
+            np.copyto(now, source[first : first + n], where=~kept)
+    in_order = np.split(labels[row], np.cumsum(sizes)[:-1])
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(order)
-    for place, i in enumerate(order):
-        out[i] = labels[starts[place] : starts[place] + sizes[place]]
+    for i, path in zip(order, in_order, strict=True):
+        out[i] = path
     return out
 
 
@@ -180,19 +285,15 @@ _SPANS = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32())]))
 
 def _label_batches(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, gram_table, missing, scripts = shared.value
-        model, known = Model(langs, gram_table, missing, scripts), {}
+        model = Model(*shared.value)
+        table = WordTable(model)
         for ids, texts in text_slices(batches):
-            if len(known) > CACHED_WORDS:
-                known.clear()
-            split = [words_of(t) if langs else [] for t in texts]
-            for words in split:
-                for word in set(words):
-                    if word not in known:
-                        known[word] = (model.word_scores(word), sum(c.isalpha() for c in word))
-            scores = [np.array([known[w][0] for w in words], np.float32).reshape(len(words), len(langs)) for words in split]
-            letters = [_letters_once(words, known) for words in split]
-            rows = [_labelled(langs, path, n) for path, n in zip(viterbi(scores), letters, strict=True)]
+            split = [words_of(t) if model.langs else [] for t in texts]
+            ends = np.cumsum([len(words) for words in split])
+            places = table.places([w for words in split for w in words])
+            scores = np.split(table.scores[places], ends[:-1])
+            letters = np.split(np.where(_first_in_text(places, ends), table.letters[places], 0), ends[:-1])
+            rows = [_labelled(model.langs, path, n) for path, n in zip(viterbi(scores), letters, strict=True)]
             columns = zip(*rows, strict=True)
             types = [pa.string(), pa.float64(), _SPANS]
             yield pa.RecordBatch.from_arrays(
@@ -202,12 +303,12 @@ def _label_batches(shared):
     return run
 
 
-def _letters_once(words: list[str], known: dict) -> np.ndarray:
-    """Letters of each word where it first stands, 0 where it is repeated: a line that fills a
-    text over and over has one vote."""
-    out = np.zeros(len(words), np.int64)
-    for word, place in {w: i for i, w in reversed(list(enumerate(words)))}.items():
-        out[place] = known[word][1]
+def _first_in_text(places: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where a word first stands in its text: a line that fills a text over and over has one vote."""
+    text = np.searchsorted(ends, np.arange(len(places)), side="right")
+    _, first = np.unique(text * (places.max(initial=0) + 1) + places, return_index=True)
+    out = np.zeros(len(places), bool)
+    out[first] = True
     return out
 
 
