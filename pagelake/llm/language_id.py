@@ -148,7 +148,7 @@ class Model:
         """Keys of the n-grams in order, and their rows of log-probabilities, ``missing`` last."""
         keys = np.array([gram_key(g) for g in self.grams], np.int64)
         order = np.argsort(keys)
-        logs = np.array([*self.grams.values(), self.missing], np.float32).reshape(-1, len(self.langs))
+        logs = np.array([*self.grams.values(), self.missing], np.float32).reshape(len(keys) + 1, len(self.langs))
         return keys[order], logs[np.append(order, len(keys))]
 
 
