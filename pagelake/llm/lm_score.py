@@ -94,20 +94,32 @@ class Network:
         parts = np.split(self.flat, np.cumsum(sizes)[:-1])
         self.context, self.hidden_bias, self.out, self.out_bias = (p.reshape(s) for p, s in zip(parts, self.shapes, strict=True))
 
-    def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hidden values, log-probabilities of the classes) for rows of classes around a word."""
+    def powers(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For rows of classes around a word: hidden values, scores of the classes with 0 for the
+        best, their exponentials, and the sums of these."""
         pre = self.hidden_bias + sum(self.context[i][around[:, i]] for i in range(len(WINDOW)))
-        hidden = np.tanh(pre)
-        scores = hidden @ self.out + self.out_bias
+        hidden = np.tanh(pre, out=pre)
+        scores = hidden @ self.out
+        scores += self.out_bias
         scores -= scores.max(axis=1, keepdims=True)
-        scores -= np.log(np.exp(scores).sum(axis=1, keepdims=True))
-        return hidden, scores
+        powers = np.exp(scores)
+        return hidden, scores, powers, powers.sum(axis=1, keepdims=True)
+
+    def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hidden values, log-probabilities of the classes) for rows of classes around a word."""
+        hidden, scores, _, sums = self.powers(around)
+        return hidden, scores - np.log(sums)
+
+    def log_probability(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log-probability of each row's class ``target``."""
+        _, scores, _, sums = self.powers(around)
+        return scores[np.arange(len(target)), target] - np.log(sums[:, 0])
 
     def learn(self, around: np.ndarray, target: np.ndarray, rate: float = LEARNING_RATE) -> None:
         """One step of gradient descent."""
         n = len(target)
-        hidden, logs = self.forward(around)
-        slope = np.exp(logs)
+        hidden, _, slope, sums = self.powers(around)
+        slope /= sums
         slope[np.arange(n), target] -= 1
         below = (slope @ self.out.T) * (1 - hidden * hidden)
         step = rate / n
@@ -115,7 +127,7 @@ class Network:
         self.out_bias -= step * slope.sum(axis=0)
         self.hidden_bias -= step * below.sum(axis=0)
         for i in range(len(WINDOW)):
-            order = np.argsort(around[:, i], kind="stable")
+            order = np.argsort(around[:, i].astype(np.int16), kind="stable")
             column = around[order, i]
             first = np.flatnonzero(np.diff(column, prepend=-1))
             self.context[i][column[first]] -= step * np.add.reduceat(below[order], first, axis=0)
@@ -196,8 +208,7 @@ def _score_batches(shared, flat: np.ndarray):
             around, logs = windows(classes), np.zeros(len(target))
             for start in range(0, len(target), BATCH):
                 end = start + BATCH
-                _, found = net.forward(around[start:end])
-                logs[start:end] = found[np.arange(len(found)), target[start:end]]
+                logs[start:end] = net.log_probability(around[start:end], target[start:end])
             ends = np.cumsum([len(c) for c in classes])
             sums = np.diff(np.concatenate([[0.0], np.cumsum(logs + own)])[np.concatenate([[0], ends])])
             counts = pa.array([len(c) for c in classes], pa.int64())
