@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import posixpath
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelake.fixed_values import CHUNK_BYTES
 from pagelake.functions.files import file_ext
@@ -15,6 +17,9 @@ from pagelake.operators.membership import not_in
 from pagelake.schemas import BLOB_CHUNK, BLOB_FILE
 from pagelake.sources.book_tables import read_if_present
 
+WRITE_ID = T.StructField("write_id", T.StringType())
+"""Stored files and chunks carry the id of the call that wrote them."""
+
 
 def blob_files(
     blobs: DataFrame,
@@ -54,8 +59,11 @@ def write_blobs(
     """A5: store ``(seq, key, filename, content)`` under ``path``; a key is stored once.
 
     Keys already stored are refused, and of a key repeated in ``blobs`` the first counts;
-    both are decided on ``(key, seq)`` alone before any content moves.
+    both are decided on ``(key, seq)`` alone before any content moves. Chunks of a call that
+    ended before its files were stored have a ``write_id`` that no file has, so a repeated
+    call stores its own and readers do not see them.
     """
+    write_id = F.lit(uuid.uuid4().hex).alias(WRITE_ID.name)
     spark = blobs.sparkSession
     first = blobs.groupBy("key").agg(F.min(order).alias(order))
     stored = read_if_present(spark, f"{path}/files")
@@ -66,27 +74,36 @@ def write_blobs(
     files = described.join(first, ["key", order], "left_semi").drop("key", order)
     chunks = blob_chunks(new, chunk_bytes).repartition("files_id", F.expr("n div 64"))
     # chunks first: a file row then never points at chunks that are not there
-    chunks.sortWithinPartitions("files_id", "n").write.mode("append").parquet(f"{path}/chunks")
-    files.write.mode("append").parquet(f"{path}/files")
+    sorted_chunks = chunks.sortWithinPartitions("files_id", "n").select("*", write_id)
+    sorted_chunks.write.mode("append").parquet(f"{path}/chunks")
+    files.select("*", write_id).write.mode("append").parquet(f"{path}/files")
 
 
 def read_blob_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The files and the chunks stored under ``path``."""
     return (
-        spark.read.schema(BLOB_FILE).parquet(f"{path}/files"),
-        spark.read.schema(BLOB_CHUNK).parquet(f"{path}/chunks"),
+        spark.read.schema(T.StructType([*BLOB_FILE.fields, WRITE_ID])).parquet(f"{path}/files"),
+        spark.read.schema(T.StructType([*BLOB_CHUNK.fields, WRITE_ID])).parquet(f"{path}/chunks"),
     )
 
 
 def read_blobs(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Blobs put together again: the file row, ``content`` and whether its md5 fits."""
-    whole = chunks.groupBy("files_id").agg(
+    """Blobs put together again: the file row, ``content`` and whether its md5 fits.
+
+    Chunks belong to a file of the same id and, where both tables have it, ``write_id``.
+    """
+    told = WRITE_ID.name in files.columns and WRITE_ID.name in chunks.columns
+    writer = chunks[WRITE_ID.name] if told else F.lit(None).cast("string")
+    whole = chunks.groupBy("files_id", writer.alias("_writer")).agg(
         F.expr("listagg(data) within group (order by n)").alias("content")
     )
+    same = F.col("_id") == F.col("files_id")
+    if told:
+        same &= F.col(WRITE_ID.name).eqNullSafe(F.col("_writer"))
     content = F.coalesce("content", F.lit("").cast("binary"))
     return (
-        files.join(whole, F.col("_id") == F.col("files_id"), "left")
-        .select(*files.columns, content.alias("content"))
+        files.join(whole, same, "left")
+        .select(*[c for c in files.columns if c != WRITE_ID.name], content.alias("content"))
         .withColumn("intact", F.md5("content") == F.col("md5"))
     )
 

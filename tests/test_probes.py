@@ -10,6 +10,7 @@ from pagelake.functions.text import decode_body, remove_entities
 from pagelake.functions.urls import resolve_url
 from pagelake.operators import extract as ex
 from pagelake.operators import media as md
+from pagelake.sources import blobs
 from pagelake.sources.metric_lines import metric_lines
 
 MALFORMED = {
@@ -87,3 +88,16 @@ def test_images_without_a_size(spark):
     images = spark.createDataFrame([("u", True, "p.jpg", None, None)], "url string, ok boolean, path string, width int, height int")
     assert md.attach_cover(items, images, "/b").first().book_covor_image_path == "/b/p.jpg"
     assert md.attach_cover(items, images, "/b", min_width=1).first().book_covor_image_path == ""
+
+
+def test_chunks_of_an_interrupted_call_are_not_read(spark, tmp_path):
+    path = str(tmp_path)
+    one = spark.createDataFrame([(1, "k", "a.txt", bytearray(b"hello"))], "seq int, key string, filename string, content binary")
+    lost = blobs.blob_chunks(one, 2).withColumn("write_id", F.lit("ended early"))
+    lost.write.parquet(f"{path}/chunks")
+    for _ in range(2):
+        blobs.write_blobs(one, path, 2)
+    found = blobs.read_blobs(*blobs.read_blob_tables(spark, path)).collect()
+    assert [(bytes(r.content), r.intact) for r in found] == [(b"hello", True)]
+    plain = blobs.read_blobs(blobs.blob_files(one, 2), blobs.blob_chunks(one, 2)).first()
+    assert (bytes(plain.content), plain.intact) == (b"hello", True)
