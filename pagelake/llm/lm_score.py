@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,11 @@ WINDOW = (-2, -1, 1, 2)
 HIDDEN = 24
 ROUNDS = 2
 BATCH = 4096
+BLOCK = 512
+"""Rows of a batch that are worked on at once, so that their scores stay in a core's cache."""
 LEARNING_RATE = 0.5
+SAFE_SCORE = 80.0
+"""Exponentials up to here, and sums of a row of them, fit 32-bit floats; hidden values are within one."""
 SUMMED_GROUPS = 16
 SEED = 11
 
@@ -37,20 +40,34 @@ def tail_class(word: bytes) -> int:
     return 1 + OWN_CLASSES + zlib.crc32(word[-3:]) % TAIL_CLASSES
 
 
-@dataclass
+class _Places(dict):
+    """Place of each listed word; any other word has the place of its class among the rare ones."""
+
+    def __init__(self, words: Iterable[bytes]):
+        super().__init__((w, N_CLASSES + i) for i, w in enumerate(words))
+
+    def __missing__(self, word: bytes) -> int:
+        return tail_class(word)
+
+
 class Lexicon:
     """Classes of the most frequent words, and log p(word | class)."""
 
-    words: dict[bytes, tuple[int, float]]
-    rare: np.ndarray
+    def __init__(self, words: dict[bytes, tuple[int, float]], rare: np.ndarray):
+        self.words, self.rare = words, rare
+        self._place = _Places(words)
+        self._classes = np.array([*range(N_CLASSES), *(c for c, _ in words.values())], np.int64)
+        self._logs = np.array([*rare, *(p for _, p in words.values())])
+
+    def places(self, text: str | None) -> np.ndarray:
+        """Row of each word in the tables of classes and logarithms; words are in lower case (A-Z)."""
+        words = (text or "").encode().lower().split()
+        return np.fromiter(map(self._place.__getitem__, words), np.int32, len(words))
 
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Class and log p(word | class) of each word; words are in lower case (A-Z)."""
-        found = [self.words.get(w) or (c := tail_class(w), self.rare[c]) for w in (text or "").encode().lower().split()]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        classes, logs = zip(*found, strict=True)
-        return np.array(classes, np.int64), np.array(logs)
+        """Class and log p(word | class) of each word."""
+        places = self.places(text)
+        return self._classes[places], self._logs[places]
 
 
 def lexicon(docs: DataFrame) -> Lexicon:
@@ -95,15 +112,20 @@ class Network:
         self.context, self.hidden_bias, self.out, self.out_bias = (p.reshape(s) for p, s in zip(parts, self.shapes, strict=True))
 
     def powers(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For rows of classes around a word: hidden values, scores of the classes with 0 for the
-        best, their exponentials, and the sums of these."""
-        pre = self.hidden_bias + sum(self.context[i][around[:, i]] for i in range(len(WINDOW)))
-        hidden = np.tanh(pre, out=pre)
+        """For rows of classes around a word: hidden values, scores of the classes, their
+        exponentials, and the sums of these. Scores that could overflow are lowered by the
+        best of their row."""
+        hidden = self.context[0].take(around[:, 0], axis=0)
+        for i in range(1, len(WINDOW)):
+            hidden += self.context[i].take(around[:, i], axis=0)
+        hidden += self.hidden_bias
+        np.tanh(hidden, out=hidden)
         scores = hidden @ self.out
         scores += self.out_bias
-        scores -= scores.max(axis=1, keepdims=True)
+        if (np.abs(self.out).sum(axis=0) + np.abs(self.out_bias)).max() > SAFE_SCORE:
+            scores -= scores.max(axis=1, keepdims=True)
         powers = np.exp(scores)
-        return hidden, scores, powers, powers.sum(axis=1, keepdims=True)
+        return hidden, scores, powers, (powers @ np.ones(N_CLASSES, np.float32))[:, None]
 
     def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hidden values, log-probabilities of the classes) for rows of classes around a word."""
@@ -112,19 +134,28 @@ class Network:
 
     def log_probability(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each row's class ``target``."""
-        _, scores, _, sums = self.powers(around)
-        return scores[np.arange(len(target)), target] - np.log(sums[:, 0])
+        found = np.empty(len(target))
+        for start in range(0, len(target), BLOCK):
+            rows = slice(start, start + BLOCK)
+            _, scores, _, sums = self.powers(around[rows])
+            found[rows] = scores[np.arange(len(scores)), target[rows]] - np.log(sums[:, 0])
+        return found
 
     def learn(self, around: np.ndarray, target: np.ndarray, rate: float = LEARNING_RATE) -> None:
         """One step of gradient descent."""
         n = len(target)
-        hidden, _, slope, sums = self.powers(around)
-        slope /= sums
-        slope[np.arange(n), target] -= 1
-        below = (slope @ self.out.T) * (1 - hidden * hidden)
+        below, out, out_bias = np.empty((n, HIDDEN), np.float32), np.zeros_like(self.out), np.zeros_like(self.out_bias)
+        for start in range(0, n, BLOCK):
+            rows = slice(start, start + BLOCK)
+            hidden, _, slope, sums = self.powers(around[rows])
+            slope /= sums
+            slope[np.arange(len(slope)), target[rows]] -= 1
+            below[rows] = (slope @ self.out.T) * (1 - hidden * hidden)
+            out += hidden.T @ slope
+            out_bias += slope.sum(axis=0)
         step = rate / n
-        self.out -= step * (hidden.T @ slope)
-        self.out_bias -= step * slope.sum(axis=0)
+        self.out -= step * out
+        self.out_bias -= step * out_bias
         self.hidden_bias -= step * below.sum(axis=0)
         for i in range(len(WINDOW)):
             order = np.argsort(around[:, i].astype(np.int16), kind="stable")
@@ -205,10 +236,7 @@ def _score_batches(shared, flat: np.ndarray):
             read = [words.read(t) for t in texts]
             classes = [c for c, _ in read]
             target, own = np.concatenate(classes), np.concatenate([p for _, p in read])
-            around, logs = windows(classes), np.zeros(len(target))
-            for start in range(0, len(target), BATCH):
-                end = start + BATCH
-                logs[start:end] = net.log_probability(around[start:end], target[start:end])
+            logs = net.log_probability(windows(classes), target)
             ends = np.cumsum([len(c) for c in classes])
             sums = np.diff(np.concatenate([[0.0], np.cumsum(logs + own)])[np.concatenate([[0], ends])])
             counts = pa.array([len(c) for c in classes], pa.int64())
