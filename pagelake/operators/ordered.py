@@ -3,14 +3,14 @@
 A window over a whole hot key would sort it in one task. Here each key is cut into buckets
 of its unique sequence number: a bucket of width ``w`` holds at most ``w`` rows, whatever
 the key. Bucket totals are summed with map-side combine, run up over the buckets of a key
-in the same way, and joined back to windows that stay inside one bucket. After two levels
+in the same way, and joined back to windows that stay inside one bucket, on the same
+partitioning: rows are shuffled once. A bucket is named by a struct, which equals another
+with the same nulls, so null keys need no test of their own. After two levels
 of the default width, the whole range of a bigint is at most 2**23 totals per key.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,17 +69,15 @@ def _running(
         ordered = W.partitionBy(*keys).orderBy(*in_key, bucket)
         earlier = totals.withColumns(over(ordered.rowsBetween(W.unboundedPreceding, -1), "_all"))
     before = earlier.select(
-        *[F.col(g).alias(f"_b{levels}_{g}") for g in group],
+        F.struct(*group).alias(f"_b{levels}_group"),
         *[F.col(n).alias(f"_before{levels}_{n}") for n in values],
     )
-    inside = W.partitionBy(*group).orderBy(seq).rowsBetween(W.unboundedPreceding, last)
-    local = bucketed.withColumns(
+    mine, theirs = f"_group{levels}", f"_b{levels}_group"
+    inside = W.partitionBy(mine).orderBy(seq).rowsBetween(W.unboundedPreceding, last)
+    local = bucketed.withColumn(mine, F.struct(*group)).withColumns(
         {f"_local{levels}_{n}": c for n, c in over(inside, "_in").items()}
     )
-    same = reduce(
-        lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_b{levels}_{g}")) for g in group]
-    )
-    return local.join(before, same).select(
+    return local.join(before, F.col(mine) == F.col(theirs)).select(
         *df.columns,
         *[
             _combined(kind, F.col(f"_before{levels}_{n}"), F.col(f"_local{levels}_{n}")).alias(n)

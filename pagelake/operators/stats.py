@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from pagelake import fixed_values as fixed
 from pagelake.functions.metrics import metric_name
-from pagelake.operators.ordered import running
 
-FOLD_WIDTH = 4096
+FOLD_WIDTH = 1024
+FOLD_LEVELS = 4
+"""Runs of ``width`` numbers, of ``width`` runs, and so on: 1024 ** 4 numbers in four levels.
+Higher numbers stay right; then more than ``width`` runs of a key meet at the last level."""
+_RUN = ["a", "lo", "hi", "absent"]
 
 
 def _merged(new: DataFrame, prior: DataFrame | None, how) -> DataFrame:
@@ -62,30 +65,25 @@ def set_stats(prior: DataFrame, updates: DataFrame) -> DataFrame:
     return set_value(entries, prior)
 
 
-def fold_ops(ops: DataFrame, prior: DataFrame | None = None, width: int = FOLD_WIDTH) -> DataFrame:
+def fold_ops(
+    ops: DataFrame, prior: DataFrame | None = None, width: int = FOLD_WIDTH, levels: int = FOLD_LEVELS
+) -> DataFrame:
     """Value of each key after all its operations, applied in order.
 
     Each operation, and any run of them, is ``x -> least(hi, greatest(lo, x + a))`` plus a
     value for a key that did not exist. Runs of at most ``width`` sequence numbers are
     combined, then runs of runs, until each key has one: a hot key never meets in one task.
     """
-    value = F.col("value").cast("bigint")
-    start = F.col("start").cast("bigint") if "start" in ops.columns else F.lit(0).cast("bigint")
-    is_set, is_inc = F.col("op") == "set", F.col("op") == "inc"
-    runs = ops.select(
-        "key",
-        F.col("seq").cast("bigint").alias("seq"),
-        F.when(is_inc, value).otherwise(F.lit(0)).alias("a"),
-        F.when(is_set | (F.col("op") == "max"), value).alias("lo"),
-        F.when(is_set | (F.col("op") == "min"), value).alias("hi"),
-        F.when(is_inc, F.coalesce(start, F.lit(0)) + value).otherwise(value).alias("absent"),
-    )
-    last = ops.agg(F.max("seq")).first()[0] or 0
-    while True:
-        runs = _combined_runs(runs, width)
-        last //= width
-        if last == 0:
-            break
+    runs = ops.select("key", F.col("seq").cast("bigint").alias("seq"), *_own_run(ops))
+    for level in range(levels, 0, -1):
+        steps = F.sort_array(F.collect_list(F.struct("seq", *_RUN)))
+        whole = F.aggregate(F.slice("_steps", 2, F.size("_steps")), F.get("_steps", F.lit(0)), _followed_by)
+        runs = (
+            runs.groupBy("key", _bucket(width, level).alias("_bucket"))
+            .agg(steps.alias("_steps"))
+            .select("key", F.col("_bucket").alias("seq"), whole.alias("_run"))
+            .select("key", "seq", *[f"_run.{c}" for c in _RUN])
+        )
     if prior is None:
         return runs.select("key", F.col("absent").alias("value"))
     old = prior.select("key", F.col("value").alias("_old"))
@@ -99,22 +97,59 @@ def fold_ops(ops: DataFrame, prior: DataFrame | None = None, width: int = FOLD_W
     )
 
 
-def _combined_runs(runs: DataFrame, width: int) -> DataFrame:
-    """One run per key and ``width`` numbers, combined from theirs in order."""
-    bucket = F.floor(F.col("seq") / width).cast("bigint").alias("_bucket")
-    steps = F.sort_array(F.collect_list(F.struct("seq", "a", "lo", "hi", "absent")))
-    return (
-        runs.groupBy("key", bucket)
-        .agg(steps.alias("_steps"))
-        .select(
-            "key",
-            F.col("_bucket").alias("seq"),
-            F.aggregate(
-                F.slice("_steps", 2, F.size("_steps")), F.get("_steps", F.lit(0)), _followed_by
-            ).alias("_run"),
-        )
-        .select("key", "seq", "_run.a", "_run.lo", "_run.hi", "_run.absent")
+def _own_run(ops: DataFrame) -> list[Column]:
+    """The run of each single operation."""
+    value = F.col("value").cast("bigint")
+    start = F.col("start").cast("bigint") if "start" in ops.columns else F.lit(0).cast("bigint")
+    is_set, is_inc = F.col("op") == "set", F.col("op") == "inc"
+    return [
+        F.when(is_inc, value).otherwise(F.lit(0)).alias("a"),
+        F.when(is_set | (F.col("op") == "max"), value).alias("lo"),
+        F.when(is_set | (F.col("op") == "min"), value).alias("hi"),
+        F.when(is_inc, F.coalesce(start, F.lit(0)) + value).otherwise(value).alias("absent"),
+    ]
+
+
+def _bucket(width: int, level: int) -> Column:
+    """The bucket of a sequence number; the last level has one for each key."""
+    return F.floor(F.col("seq") / width).cast("bigint") if level > 1 else F.lit(0).cast("bigint")
+
+
+def _running_runs(runs: DataFrame, carried: list[str], width: int, levels: int) -> DataFrame:
+    """``(key, seq, *carried, _before, _own)``: the run of all operations of a key before each.
+
+    Prefixes are made inside each bucket; what lies before the bucket comes from the level
+    above, joined on the partitioning of the bucket. ``_before`` is null at a key's start.
+    """
+    steps = F.sort_array(F.collect_list(F.struct("seq", *_RUN, *carried)))
+    grouped = runs.groupBy(F.struct("key", _bucket(width, levels).alias("seq")).alias("_group")).agg(steps.alias("_steps"))
+    prefixes = F.aggregate(
+        F.slice("_steps", 2, F.size("_steps")),
+        F.array(_run_of(F.get("_steps", F.lit(0)))),
+        lambda done, step: F.array_append(done, _followed_by(F.element_at(done, -1), step)),
     )
+    local = grouped.withColumn("_prefixes", prefixes)
+    if levels > 1:
+        totals = local.select("_group.key", "_group.seq", F.element_at("_prefixes", -1).alias("_t"))
+        totals = totals.select("key", "seq", *[f"_t.{c}" for c in _RUN])
+        above = _running_runs(totals, [], width, levels - 1)
+        above = above.select(F.struct("key", "seq").alias("_above"), F.col("_before").alias("_outer"))
+        local = local.join(above, F.col("_group") == F.col("_above"))
+    else:
+        local = local.withColumn("_outer", F.lit(None).cast(local.schema["_prefixes"].dataType.elementType))
+    rows = local.select("_group.key", "_outer", F.inline(F.arrays_zip("_steps", F.concat(
+        F.array(F.lit(None).cast(local.schema["_prefixes"].dataType.elementType)), "_prefixes"
+    ).alias("_inner"))))
+    rows = rows.where(F.col("_steps").isNotNull())
+    outer, inner = F.col("_outer"), F.col("_inner")
+    before = F.when(outer.isNull(), inner).when(inner.isNull(), outer).otherwise(_followed_by(outer, inner))
+    return rows.select(
+        "key", "_steps.seq", *[f"_steps.{c}" for c in carried], before.alias("_before"), _run_of(F.col("_steps")).alias("_own")
+    )
+
+
+def _run_of(step: Column) -> Column:
+    return F.struct(step["seq"].alias("seq"), *[step[c].alias(c) for c in _RUN])
 
 
 def _followed_by(f: Column, g: Column) -> Column:
@@ -169,32 +204,19 @@ def metric_points(ops: DataFrame, ignore: list[str] = ()) -> DataFrame:
     )
 
 
-def merge_spiders(ops: DataFrame, width: int = 1 << 20) -> DataFrame:
+def merge_spiders(ops: DataFrame, width: int = FOLD_WIDTH, levels: int = FOLD_LEVELS) -> DataFrame:
     """``(seq, key, name, value, ts)``: the value all spiders share after each operation,
-    under the name of the spider that made it. Each key has operations of one kind:
-    ``inc``, ``max`` or ``min``; ``inc`` begins at the ``start`` of the first one.
+    under the name of the spider that made it. A key may have operations of all kinds; a
+    counter that does not exist begins at the ``start`` of its operation.
     """
-    value = F.col("value").cast("bigint")
-    start = F.col("start").cast("bigint") if "start" in ops.columns else F.lit(0).cast("bigint")
-    first = F.struct("seq", F.coalesce(start, F.lit(0)).alias("start"))
-    after = running(
-        ops,
-        ["key"],
-        "seq",
-        {
-            "_first": ("min", first),
-            "_sum": ("sum", value),
-            "_max": ("max", value),
-            "_min": ("min", value),
-        },
-        width=width,
-    )
-    shared = F.when(F.col("op") == "max", F.col("_max")).when(F.col("op") == "min", F.col("_min"))
-    return after.select(
+    runs = ops.select("key", F.col("seq").cast("bigint").alias("seq"), *_own_run(ops), "spider", "ts")
+    found = _running_runs(runs, ["spider", "ts"], width, levels)
+    before, own = F.col("_before"), F.col("_own")
+    return found.select(
         "seq",
         "key",
         metric_name(F.col("key"), F.col("spider")).alias("name"),
-        shared.otherwise(F.col("_first.start") + F.col("_sum")).alias("value"),
+        F.when(before.isNull(), own["absent"]).otherwise(_followed_by(before, own)["absent"]).alias("value"),
         "ts",
     )
 

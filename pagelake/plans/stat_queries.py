@@ -116,19 +116,20 @@ def folded_mixed(spark, sf):
     return st.fold_ops(mixed(spark, sf))
 
 
-_MIXED_SQL = f"""
+_WALK_SQL = f"""
 with recursive {_OPS_SQL}, numbered as (
-  select coalesce(spider, 'none') as key, op, value,
+  select seq, coalesce(spider, 'none') as key, op, value,
          row_number() over (partition by coalesce(spider, 'none') order by seq) as rn
   from ops),
 walk as (
-  select key, rn, case when op = 'inc' then 100 + value else value end as x from numbered where rn = 1
+  select key, seq, rn, case when op = 'inc' then 100 + value else value end as x from numbered where rn = 1
   union all
-  select n.key, n.rn, case n.op when 'inc' then w.x + n.value when 'max' then greatest(w.x, n.value)
-                                when 'min' then least(w.x, n.value) else n.value end
+  select n.key, n.seq, n.rn, case n.op when 'inc' then w.x + n.value when 'max' then greatest(w.x, n.value)
+                                       when 'min' then least(w.x, n.value) else n.value end
   from walk w join numbered n on n.key = w.key and n.rn = w.rn + 1)
-select key, arg_max(x, rn) as value from walk group by key
 """
+_MIXED_SQL = f"{_WALK_SQL} select key, arg_max(x, rn) as value from walk group by key"
+_MIXED_RUNNING_SQL = f"{_WALK_SQL} select seq, key, x as value from walk"
 
 
 def values(spark, sf):
@@ -160,8 +161,12 @@ def names(spark, sf):
 
 
 def shared_values(spark, sf):
-    counted = ops(spark, sf).where("op <> 'set'")
-    return st.merge_spiders(counted, width=512).select("seq", "key", "name", "value")
+    return st.merge_spiders(ops(spark, sf)).select("seq", "key", "name", "value")
+
+
+def shared_mixed(spark, sf):
+    """Operations of all kinds on each key, the value after every one of them."""
+    return st.merge_spiders(mixed(spark, sf)).select("seq", "key", "value")
 
 
 def traffic(spark, sf):
@@ -308,11 +313,12 @@ QUERIES = {
         with {_OPS_SQL}
         select seq, key, {_NAME_SQL} as name,
                cast(case op when 'inc' then 100 + sum(value) over w when 'max' then max(value) over w
-                            else min(value) over w end as bigint) as value
-        from ops where op <> 'set'
+                            when 'min' then min(value) over w else value end as bigint) as value
+        from ops
         window w as (partition by key order by seq rows between unbounded preceding and current row)
         """,
     ),
+    "merge_spiders_mixed": (shared_mixed, _MIXED_RUNNING_SQL),
     "scheduler_counts": (
         traffic,
         f"""

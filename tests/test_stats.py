@@ -96,6 +96,22 @@ def test_spiders_share_one_value(spark):
     assert {r.name for r in got if r.key == "c"} == {"scrapy.c", "scrapy.spider.s1.c", "scrapy.spider.s2.c"}
 
 
+def test_spiders_mix_kinds_on_a_key(spark):
+    rng = random.Random(16)
+    kinds = ["inc", "max", "min", "set"]
+    rows = [(i * 3, rng.choice(["hot", "hot", "b", None]), rng.choice(kinds), rng.randint(-20, 20), rng.choice([None, 3])) for i in range(400)]
+    state, wanted = {}, {}
+    for row in rows:
+        state = sequential([row], state)
+        wanted[row[0]] = state[row[1]]
+    df = ops(spark, rows).repartition(3)
+    for width, levels in ((4, 6), (16, 2), (1024, 4)):
+        assert {r.seq: r.value for r in st.merge_spiders(df, width, levels).collect()} == wanted
+    probe = ops(spark, [(1, "k", "inc", 5), (2, "k", "max", 100), (3, "k", "inc", 1)])
+    assert [r.value for r in st.merge_spiders(probe).orderBy("seq").collect()] == [5, 100, 101]
+    assert st.merge_spiders(probe.limit(0)).count() == 0
+
+
 def test_scheduler_counts(spark):
     log = spark.createDataFrame([("enqueued",), ("enqueued",), ("dequeued",)], "kind string")
     assert table(st.scheduler_counts(log)) == {"scheduler/enqueued/redis": 2, "scheduler/dequeued/redis": 1}
