@@ -191,15 +191,16 @@ def fetch_plan(
         (reused | F.coalesce(F.col("_ok"), F.lit(False))).alias("usable"),
         (~reused & F.col("_ok").isNull()).alias("wanted"),
     )
-    placed = candidates.hint("merge").join(judged, "url")
-    first = placed.where("usable").groupBy("original_url").agg(F.min("pos").alias("_usable_at"))
-    return (
-        placed.where("wanted")
-        .join(first, "original_url", "left")
-        .where(F.col("_usable_at").isNull() | (F.col("pos") < F.col("_usable_at")))
-        .select("key", "url")
-        .distinct()
+    # a set of a record's own candidates: bounded by its row, however often that is repeated
+    place = F.struct("pos", "key", "url")
+    records = candidates.hint("merge").join(judged, "url").groupBy("original_url").agg(
+        F.min(F.when(F.col("usable"), F.col("pos"))).alias("_usable_at"),
+        F.collect_set(F.when(F.col("wanted"), place)).alias("_wanted"),
+    )
+    open_ones = F.filter(
+        "_wanted", lambda w: F.col("_usable_at").isNull() | (w["pos"] < F.col("_usable_at"))
     )
+    return records.select(F.inline(open_ones)).select("key", "url").distinct()
 
 
 def attach_cover(

@@ -143,11 +143,17 @@ def lookup(
     return records
 
 
-def inverted_index(records: DataFrame, field: str, record_id: str = "record_id") -> DataFrame:
+def inverted_index(
+    records: DataFrame, field: str, record_id: str = "record_id", values: DataFrame | None = None
+) -> DataFrame:
     """``(value, record_id)`` pairs of a field, for bulk lookups by join.
 
-    A popular value stays many rows, never one collected list.
+    A popular value stays many rows, never one collected list. With ``values(value)`` only
+    their pairs are made: the others are left out before any shuffle of pairs for ``distinct``.
     """
     is_list = records.schema[field].dataType.typeName() == "array"
     value = F.explode(F.array_distinct(field)) if is_list else F.col(field)
-    return records.select(value.alias("value"), F.col(record_id).alias("record_id")).distinct()
+    pairs = records.select(value.alias("value"), F.col(record_id).alias("record_id"))
+    if values is not None:
+        pairs = pairs.join(values.select("value"), "value", "left_semi")
+    return pairs.distinct()

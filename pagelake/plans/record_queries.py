@@ -157,7 +157,7 @@ def index_lookup(spark, sf):
         F.split("text", " ").alias("author"), F.col("doc_id").alias("record_id")
     )
     wanted = _read(spark, sf, "region").select(F.lower(F.substring("r_name", 1, 2)).alias("value")).distinct()
-    return rc.inverted_index(docs, "author").join(wanted, "value")
+    return rc.inverted_index(docs, "author", values=wanted)
 
 
 def _stage_inputs(spark, sf):
@@ -348,7 +348,22 @@ QUERIES = {
         select seq, book_name from fresh where stored or rn > 1
         """,
     ),
-    "insert_unique_authors": (inserted_authors, None),
+    "insert_unique_authors": (
+        inserted_authors,
+        """
+        with recursive books as (
+          select doc_id as seq, md5(text) as book_name, [lang, source] as authors,
+                 row_number() over (partition by md5(text) order by doc_id) as rn
+          from documents),
+        walk as (
+          select seq, book_name, rn, true as stored, authors as taken from books where rn = 1
+          union all
+          select b.seq, b.book_name, b.rn, not list_has_any(w.taken, b.authors),
+                 case when list_has_any(w.taken, b.authors) then w.taken else w.taken || b.authors end
+          from walk w join books b on b.book_name = w.book_name and b.rn = w.rn + 1)
+        select seq, book_name from walk where stored
+        """,
+    ),
     "lookup": (
         found,
         """

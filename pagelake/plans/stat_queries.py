@@ -229,7 +229,9 @@ def running_batch(spark, sf):
 _RUNNING_SQL = f"""
 with {_OPS_SQL}
 select key, cast(sum(value) as bigint) as inc_value, max(value) as max_value, min(value) as min_value,
-       arg_max(value, seq) as set_value
+       arg_max(value, seq) as set_value,
+       cast(case any_value(op) when 'inc' then 100 + sum(value) when 'max' then max(value)
+            when 'min' then min(value) else arg_max(value, seq) end as bigint) as value
 from ops group by key
 """
 

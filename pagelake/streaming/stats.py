@@ -11,15 +11,33 @@ from pagelake.sources.metric_lines import write_metric_lines
 
 
 def running_stats(ops: DataFrame) -> DataFrame:
-    """Per key the sum, largest, smallest and last value of ``(seq, key, value, ts)`` so far."""
+    """Per key the sum, largest, smallest and last value of ``(seq, key, op, value, ts)`` so far.
+
+    ``value`` is the one that the key's operations stand for: the sum from the first ``start``
+    (0 without that column) of ``inc``, the largest of ``max``, the smallest of ``min``, the
+    last of ``set``. A key has operations of one kind; the newest decides (``fold_ops`` and
+    ``merge_spiders`` take mixed ones, in batch). Without ``op``, all count as ``inc``.
+    """
     value = F.col("value").cast("bigint")
-    return ops.groupBy("key").agg(
+    start = F.col("start").cast("bigint") if "start" in ops.columns else F.lit(0).cast("bigint")
+    op = F.col("op") if "op" in ops.columns else F.lit("inc")
+    counted = ops.groupBy("key").agg(
         F.sum(value).alias("inc_value"),
         F.max(value).alias("max_value"),
         F.min(value).alias("min_value"),
         F.max_by(value, "seq").alias("set_value"),
+        F.max_by(op, "seq").alias("_op"),
+        F.min_by(start, "seq").alias("_start"),
         F.max("ts").alias("ts"),
     )
+    kind = F.col("_op")
+    stands = (
+        F.when(kind == "max", F.col("max_value"))
+        .when(kind == "min", F.col("min_value"))
+        .when(kind == "set", F.col("set_value"))
+        .otherwise(F.coalesce("_start", F.lit(0)) + F.col("inc_value"))
+    )
+    return counted.select("key", "inc_value", "max_value", "min_value", "set_value", stands.alias("value"), "ts")
 
 
 def windowed_stats(ops: DataFrame, watermark: str, width: str) -> DataFrame:
@@ -37,17 +55,16 @@ def windowed_stats(ops: DataFrame, watermark: str, width: str) -> DataFrame:
 def stats_stream(ops: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Start a query that writes every changed key of a batch to ``path``.
 
-    ``path/stats`` gets rows by batch, ``path/lines`` the metric lines of the sums. A batch
+    ``path/stats`` gets rows by batch, ``path/lines`` the metric lines of ``value``. A batch
     that runs again after a failure overwrites its own folder.
     """
 
     def push(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/stats/batch={batch}")
-        points = changed.select(
-            metric_name(F.col("key"), F.lit(None)).alias("name"),
-            F.col("inc_value").alias("value"),
-            "ts",
-        )
+        stored = f"{path}/stats/batch={batch}"
+        changed.write.mode("overwrite").parquet(stored)
+        # read back, so that the state is gone through once
+        changed = changed.sparkSession.read.schema(changed.schema).parquet(stored)
+        points = changed.select(metric_name(F.col("key"), F.lit(None)).alias("name"), "value", "ts")
         write_metric_lines(points, f"{path}/lines/batch={batch}", "overwrite")
 
     writer = running_stats(ops).writeStream.outputMode("update").foreachBatch(push)

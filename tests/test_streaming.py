@@ -65,6 +65,20 @@ def test_stats_stream_equals_batch(spark, folder):
     assert lines.count() == 4 * 3 and lines.where("value like 'scrapy.a %'").count() == 4
 
 
+def test_streamed_lines_follow_the_kind(spark, folder):
+    kinds = ["inc", "max", "min", "set"]
+    rows = [(i, T0, kinds[i % 4], kinds[i % 4], (i * 37) % 100, 5) for i in range(100)]
+    df = spark.createDataFrame(rows, "seq bigint, ts timestamp, key string, op string, value bigint, start bigint")
+    df.repartitionByRange(3, "seq").write.parquet(folder + "/in")
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder + "/in")
+    stats_stream(source, folder + "/out", folder + "/state", availableNow=True).awaitTermination()
+    values = {k: [r[4] for r in rows if r[2] == k] for k in kinds}
+    wanted = {"inc": 5 + sum(values["inc"]), "max": max(values["max"]), "min": min(values["min"]), "set": values["set"][-1]}
+    assert {r.key: r.value for r in latest_stats(spark, folder + "/out").collect()} == wanted
+    lines = {r.value for r in spark.read.option("lineSep", "\n\n").text(folder + "/out/lines").collect()}
+    assert {f"scrapy.{k} {v} 1704067200" for k, v in wanted.items()} <= lines
+
+
 def test_closed_windows_equal_batch(spark, folder):
     df = spark.createDataFrame(ops(), OPS)
     df.repartitionByRange(4, "seq").sortWithinPartitions("seq").write.parquet(folder + "/in")
