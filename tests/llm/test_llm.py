@@ -192,6 +192,50 @@ def test_compression_bands(made):
     assert got[2] is False
 
 
+PROSE = (
+    "the of and to in a is that for it was on with as be by at from this have or an they which one you were all her she there would their"
+    " we him been has when who will no more if out so up said what its about than into them can only other time new some could these two"
+    " may first then do any like my now over such our man me even most made after also did many off before must well back through years"
+    " where much your way down should because long each just state those people too mister how little good world make very year still see"
+    " own work men day get here between both life being under three never know same last another while us might great old since against"
+    " government water number public during system general however thousand children question history business national important"
+).split()
+
+
+def random_words(alphabet, n_bytes, seed=2):
+    draw = random.Random(seed)
+    return " ".join("".join(draw.choices(alphabet, k=8)) for _ in range(n_bytes // 9 + 1))[:n_bytes]
+
+
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+@pytest.mark.parametrize(
+    ("alphabet", "sizes"),
+    [
+        (BASE64, (460, 900, 3000, 12000, 60000)),
+        ("abcdefghijklmnopqrstuvwxyz", (1300, 3000, 12000, 60000)),
+        ("0123456789abcdef", (3600, 5000, 12000, 60000)),
+        ([chr(c) for c in range(0x100, 0x2000)], (900, 3000, 12000)),
+        ([chr(c) for c in range(0x4E00, 0x9FA5)], (3000, 12000)),
+    ],
+)
+def test_random_words_of_each_length_go(made, alphabet, sizes):
+    docs = made(*[(n, random_words(alphabet, n)) for n in sizes])
+    assert {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.judge(docs).collect()} == {n: (False, False) for n in sizes}
+
+
+def test_long_text_with_a_repetitive_part_goes(made):
+    draw = random.Random(4)
+    clean = " ".join(draw.choices(PROSE, weights=[1 / (i + 3) for i in range(len(PROSE))], k=6500))[:33000]
+    noisy = clean + "\n" + random_words(BASE64, 12000)
+    chant = clean + "\nbuy it now" * 1170
+    chinese = " ".join("".join(draw.choices([chr(0x4E00 + 7 * i) for i in range(900)], weights=[1 / (i + 2) for i in range(900)], k=12)) for _ in range(90))
+    got = {r.doc_id: r for r in quality_rules.judge(made((1, clean), (2, noisy), (3, chant), (4, chinese))).collect()}
+    assert [got[i].kept for i in (1, 2, 3, 4)] == [True, False, False, True]
+    assert got[2].n_bad_chunks < 0.5 * got[2].n_chunks and got[3].n_bad_chunks < 0.5 * got[3].n_chunks
+
+
 def test_trigram_queries():
     for rule in secret_scan.RULES:
         assert secret_scan.trigram_query(rule.pattern)
