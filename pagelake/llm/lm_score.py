@@ -80,7 +80,8 @@ def lexicon(docs: DataFrame) -> Lexicon:
     words = docs.select(F.explode(F.split(folded(F.col("text")), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
     counts = written(words.groupBy("word").agg(F.count("*").alias("n")), "word_counts")
     top = [(r["word"].encode(), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
-    tail = F.crc32(F.expr("right(encode(word, 'utf-8'), 3)")) % TAIL_CLASSES + (1 + OWN_CLASSES)
+    last_bytes = F.substring(F.encode("word", "utf-8"), -3, 3)  # binary; right() would give characters
+    tail = F.crc32(last_bytes) % TAIL_CLASSES + (1 + OWN_CLASSES)
     mass = np.zeros((2, N_CLASSES))
     for row in counts.groupBy(tail.cast("int").alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
         mass[:, row["c"]] = row["n"], row["kinds"]

@@ -367,6 +367,17 @@ def test_lm_scores(made):
     assert lm_score.score(docs.limit(0), words, net).count() == 0
 
 
+def test_lm_words_of_a_class_sum_to_one(made):
+    draw = random.Random(6)
+    odd = ["".join(draw.choices("aé中😀ßя", k=draw.randint(1, 5))) for _ in range(400)]
+    words = lm_score.lexicon(made((1, " ".join(odd + draw.choices(odd, k=900))), (2, "é"), (3, None)))
+    sums = np.exp(words.rare)  # of the words never seen
+    for c, log in words.words.values():
+        sums[c] += math.exp(log)
+    tail = slice(1 + lm_score.OWN_CLASSES, None)
+    assert len(words.words) == len(set(odd) | {"é"}) and sums[tail] == pytest.approx(np.ones(lm_score.TAIL_CLASSES))
+
+
 def test_lm_learns_from_both_sides():
     classes = np.tile([1, 2, 3, 4], 500)
     around, net = lm_score.windows([classes]), lm_score.Network()
