@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ OWN_CLASSES = 96
 TAIL_CLASSES = 31
 """Other words are classed by their last letters."""
 VOCABULARY = 20_000
-"""Words whose own counts are broadcast; the counts themselves are of all words."""
+"""Words whose counts are broadcast; those of all other words are looked up by a join."""
 WINDOW = (-2, -1, 1, 2)
 HIDDEN = 24
 ROUNDS = 2
@@ -51,52 +52,54 @@ class _Places(dict):
 
 
 class Lexicon:
-    """Classes of the most frequent words, and log p(word | class)."""
+    """Classes of words, and log p(word | class): of the listed words with their counts, of any
+    other as if it had been seen once. ``counts`` is the table (word, n) of all words."""
 
-    def __init__(self, words: dict[bytes, tuple[int, float]], rare: np.ndarray):
-        self.words, self.rare = words, rare
+    def __init__(self, words: dict[bytes, tuple[int, float]], rare: np.ndarray, counts: DataFrame | None = None):
+        self.words, self.rare, self.counts = words, rare, counts
         self._place = _Places(words)
         self._classes = np.array([*range(N_CLASSES), *(c for c, _ in words.values())], np.int64)
         self._logs = np.array([*rare, *(p for _, p in words.values())])
 
-    def places(self, text: str | None) -> np.ndarray:
-        """Row of each word in the tables of classes and logarithms; words are in lower case (A-Z)."""
-        words = (text or "").encode().lower().split()
+    @staticmethod
+    def split(text: str | None) -> list[bytes]:
+        """Words in lower case (A-Z)."""
+        return (text or "").encode().lower().split()
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Row of each word in the tables of classes and logarithms."""
         return np.fromiter(map(self._place.__getitem__, words), np.int32, len(words))
 
+    def at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._classes[places], self._logs[places]
+
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Class and log p(word | class) of each word."""
-        places = self.places(text)
-        return self._classes[places], self._logs[places]
+        return self.at(self.places(self.split(text)))
 
 
 def lexicon(docs: DataFrame) -> Lexicon:
     """From the counts of all words of all rows.
 
     Counting combines before the shuffle. The driver sees the ``VOCABULARY`` most frequent
-    words and two sums for each class; a word beyond them has the share that all such words
-    of its class have on average.
+    words and a sum for each class; the counts of all words stay in a stored table.
     """
     words = docs.select(F.explode(F.split(folded(F.col("text")), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
     counts = written(words.groupBy("word").agg(F.count("*").alias("n")), "word_counts")
     top = [(r["word"].encode(), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
     last_bytes = F.substring(F.encode("word", "utf-8"), -3, 3)  # binary; right() would give characters
     tail = F.crc32(last_bytes) % TAIL_CLASSES + (1 + OWN_CLASSES)
-    mass = np.zeros((2, N_CLASSES))
-    for row in counts.groupBy(tail.cast("int").alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
-        mass[:, row["c"]] = row["n"], row["kinds"]
+    mass = np.zeros(N_CLASSES)
+    for row in counts.groupBy(tail.cast("int").alias("c")).agg(F.sum("n").alias("n")).collect():
+        mass[row["c"]] = row["n"]
     for word, n in top[:OWN_CLASSES]:
-        mass[:, tail_class(word)] -= n, 1
+        mass[tail_class(word)] -= n
     listed: dict[bytes, tuple[int, float]] = {w: (1 + i, 0.0) for i, (w, _) in enumerate(top[:OWN_CLASSES])}
-    total = np.maximum(mass[0], 0) + 1.0  # one count is left for words never seen
-    rare = total.copy()
-    kinds = np.maximum(mass[1], 0) + 1.0
+    total = mass + 1.0  # one count is left for words never seen
     for word, n in top[OWN_CLASSES:]:
         c = tail_class(word)
         listed[word] = c, float(np.log(n / total[c]))
-        rare[c] -= n
-        kinds[c] -= 1
-    return Lexicon(listed, np.log(np.maximum(rare, 1.0) / np.maximum(kinds, 1.0) / total))
+    return Lexicon(listed, -np.log(total), counts)
 
 
 class Network:
@@ -234,25 +237,49 @@ def _score_batches(shared, flat: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, net = Lexicon(*shared.value), Network(flat)
         for ids, texts in text_slices(batches):
-            read = [words.read(t) for t in texts]
-            classes = [c for c, _ in read]
-            target, own = np.concatenate(classes), np.concatenate([p for _, p in read])
-            logs = net.log_probability(windows(classes), target)
+            classes, own, others, times, first = [], [], [], [], [0]
+            for text in texts:
+                split = words.split(text)
+                places = words.places(split)
+                unlisted = Counter([split[i] for i in np.flatnonzero(places < N_CLASSES).tolist()])
+                others += unlisted.keys()
+                times += unlisted.values()
+                first.append(len(others))
+                for column, part in zip((classes, own), words.at(places), strict=True):
+                    column.append(part)
+            logs = net.log_probability(windows(classes), np.concatenate(classes)) + np.concatenate(own)
             ends = np.cumsum([len(c) for c in classes])
-            sums = np.diff(np.concatenate([[0.0], np.cumsum(logs + own)])[np.concatenate([[0], ends])])
-            counts = pa.array([len(c) for c in classes], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, counts, pa.array(sums)], names=["doc_id", "n_words", "log_likelihood"])
+            sums = np.diff(np.concatenate([[0.0], np.cumsum(logs)])[np.concatenate([[0], ends])])
+            unlisted = pa.MapArray.from_arrays(pa.array(first, pa.int32()), pa.array(others, pa.string()), pa.array(times, pa.int64()))
+            columns = [ids, pa.array([len(c) for c in classes], pa.int64()), pa.array(sums), unlisted]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "log_likelihood", "unlisted"])
 
     return run
 
 
+_SCORED = "doc_id bigint, n_words bigint, log_likelihood double, unlisted map<string, bigint>"
+
+
 def score(docs: DataFrame, words: Lexicon, net: Network) -> DataFrame:
     """(doc_id, n_words, log_likelihood, mean_log_likelihood): one row per row of ``docs``.
 
     The sum over all words of the whole text of the log-probability given two words on each
     side. A null or empty text has no words, sum 0 and a null mean. Repeated rows get the
     same score.
+
+    A task takes words that are not broadcast for seen once and passes them on; the logarithms
+    of their counts come from the table of all words. Rows are stored before they get numbers
+    that the sums meet by, since a second run may deal out tasks anew.
     """
     shared = docs.sparkSession.sparkContext.broadcast((words.words, words.rare))
-    found = texts_of(docs).mapInArrow(_score_batches(shared, net.flat), "doc_id bigint, n_words bigint, log_likelihood double")
-    return found.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
+    scored = texts_of(docs).mapInArrow(_score_batches(shared, net.flat), _SCORED)
+    found = written(scored.withColumn("row", F.monotonically_increasing_id()), "lm_scored")
+    others = found.select("row", F.explode("unlisted").alias("word", "times"))
+    counted = others.hint("merge").join(words.counts.where("n > 1"), "word")  # the logarithm of one is zero
+    added = counted.select(
+        "row", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("n_words"),
+        (F.col("times") * F.log("n")).alias("log_likelihood"),
+    )
+    sums = found.select("row", "doc_id", "n_words", "log_likelihood").unionByName(added).groupBy("row")
+    whole = sums.agg(*[F.max(c).alias(c) for c in ("doc_id", "n_words")], F.sum("log_likelihood").alias("log_likelihood")).drop("row")
+    return whole.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -367,6 +368,33 @@ def test_lm_scores(made):
     assert lm_score.score(docs.limit(0), words, net).count() == 0
 
 
+def test_lm_every_word_has_its_own_count(made, monkeypatch):
+    monkeypatch.setattr(lm_score, "VOCABULARY", lm_score.OWN_CLASSES + 10)
+    draw = random.Random(7)
+    kinds = [f"{'é' * (i % 3)}w{i}" for i in range(600)]
+    cases = [" ".join(draw.choices(kinds, weights=[1 / (i + 5) for i in range(600)], k=90)) for _ in range(60)]
+    docs = made(*enumerate([*cases, "", None]), (None, cases[0]), (None, cases[0]), (3, cases[3]))
+    words = lm_score.lexicon(docs)
+    net = lm_score.train(docs, words)
+    asked = docs.union(made((70, "never w1 seen")))
+    counts = Counter(w for t in [*cases, cases[0], cases[0], cases[3]] for w in t.split())
+    listed = sorted(counts, key=lambda w: (-counts[w], w.encode()))[: lm_score.OWN_CLASSES]
+    class_of = {w: 1 + i for i, w in enumerate(listed)}
+    total = Counter()
+    for w, n in counts.items():
+        if w not in class_of:
+            total[lm_score.tail_class(w.encode())] += n
+    got = lm_score.score(asked, words, net).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(map(str, [*range(62), None, None, 3, 70]))
+    for r in got:
+        text = "never w1 seen" if r.doc_id == 70 else ([*cases, "", None][r.doc_id or 0] or "")
+        classes = [class_of.get(w) or lm_score.tail_class(w.encode()) for w in text.split()]
+        want = sum(math.log(counts.get(w, 1) / (total[c] + 1)) for w, c in zip(text.split(), classes, strict=True) if w not in class_of)
+        if classes:
+            want += net.log_probability(lm_score.windows([np.array(classes)]), np.array(classes)).sum()
+        assert r.log_likelihood == pytest.approx(want, rel=1e-5) and r.n_words == len(classes)
+
+
 def test_lm_words_of_a_class_sum_to_one(made):
     draw = random.Random(6)
     odd = ["".join(draw.choices("aé中😀ßя", k=draw.randint(1, 5))) for _ in range(400)]
