@@ -32,12 +32,15 @@ class WordEncoder:
     The tokenizer drops white space and never joins characters across it, so a text's ids
     are those of its words in order. A word of Latin characters is lower-cased and cut here as
     the tokenizer's file says, and its parts go to the tokenizer's model; any other word goes
-    through the whole tokenizer. Ids of at most ``CACHED_WORDS`` words are remembered.
+    through the whole tokenizer, as does one that holds an added token such as <|endoftext|>.
+    With ``added_as_text`` added tokens are text like any other. Ids of at most ``CACHED_WORDS``
+    words are remembered.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_as_text: bool = True):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = added_as_text
+        self.added = () if added_as_text else tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.known_parts: dict[str, bytes] = {}
@@ -59,7 +62,7 @@ class WordEncoder:
             parts.clear()
         others = []
         for word in words.difference(known):
-            if _LATIN(word):
+            if _LATIN(word) and not any(token in word for token in self.added):
                 low = word.lower()
                 if low.isalpha():
                     known[word] = parts.get(low) or self._part(low)
@@ -114,7 +117,7 @@ _PIECE_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.
 
 def _piece_batches(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = WordEncoder(path), TaskContext.get().partitionId()
+        encoder, task = WordEncoder(path, added_as_text=False), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for ids, texts in text_slices(batches):
             rows = []

@@ -280,6 +280,16 @@ def test_word_encoder_is_the_tokenizer():
         assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_what_the_plain_call_gives(made):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    cases = ["<|endoftext|>", "a<|endoftext|>b it's", "É<|startoftext|>'s <|EndOfText|> <|endoftext|", "<|endoftext|>\u0301x \x1c<|endoftext|>", "中<|endoftext|>文"]
+    wanted = [whole.encode(text, add_special_tokens=False).ids for text in cases]
+    assert [ids.tolist() for ids in packing.WordEncoder(path, added_as_text=False).encode(cases)] == wanted
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack(made(*enumerate(cases)), path).collect()}
+    assert got == {i: [*ids, 0] for i, ids in enumerate(wanted)}
+
+
 @pytest.mark.parametrize("lengths", [[], [2048] * 3, [700] * 50, list(range(1, 2049, 7)), [5] * 900, [1500, 1500, 300, 300, 248]])
 def test_plans_hold_every_piece_once_without_gaps(lengths):
     counts = np.bincount(lengths, minlength=2049)
