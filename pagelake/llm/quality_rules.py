@@ -42,7 +42,8 @@ EAST_ASIAN_BANDS = (
     (16384, 0.15, 0.60), (32768, 0.10, 0.55), (None, 0.10, 0.50),
 )
 """The same for texts most of whose bytes are Han, kana or Hangul: three bytes each, of thousands of
-characters. 0.025 or more above the largest of translated program messages in Chinese, Japanese and Korean."""
+characters. 0.024 or more above the largest of translated program messages in Chinese, Japanese and Korean, at
+eight lengths from 500 bytes to 60 KB."""
 
 RESULT = (
     "struct<n_words: bigint, word_chars: bigint, n_symbols: bigint, n_dup_lines: bigint,"
