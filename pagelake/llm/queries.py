@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import bpe, exact_dedup, language_id, lm_score, packing, quality_model, quality_rules, secret_scan, simhash, url_filter
+from pagelake.llm import bpe, collocations, exact_dedup, filter_audit, language_id, lm_score, packing, quality_model, quality_rules, secret_scan, simhash, url_filter
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -151,6 +151,103 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), path, with_ids=False).drop("ids")
 
 
+def op12_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    """The 2000 best phrases of each language."""
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+_OP12_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+words as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') as w from pieces),
+ones as (select lang, unnest(w) as phrase from words),
+f as (
+  select lang, phrase, 1 as size, count(*) as n from ones group by lang, phrase
+  union all
+  select lang, phrase, 2, count(*) from (select lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as phrase from words)
+  group by lang, phrase having count(*) >= 10
+  union all
+  select lang, phrase, 3, count(*)
+  from (select lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as phrase from words)
+  group by lang, phrase having count(*) >= 10),
+longer as (
+  select lang, sub, max(n) as n
+  from (select lang, n, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) as sub
+        from f where size = 3) group by lang, sub),
+cuts as (
+  select lang, phrase, n as a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') as lp,
+         array_to_string(string_split(phrase, ' ')[k + 1:size], ' ') as rp
+  from (select *, unnest(range(1, size)) as k from f where size > 1)),
+scored as (
+  select c.lang, c.phrase, c.a, c.k, fl.n as l, fr.n as r,
+         cast((1000000::hugeint * c.a * c.a) // (fl.n::hugeint * fr.n) as bigint) as score
+  from cuts c join f fl on fl.lang = c.lang and fl.phrase = lp join f fr on fr.lang = c.lang and fr.phrase = rp),
+lowest as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+ranked as (
+  select s.*, row_number() over (partition by s.lang order by score desc, a desc, s.phrase) as rank
+  from lowest s left join longer o on o.lang = s.lang and o.sub = s.phrase
+  where o.n is null or 100 * o.n < 50 * a)
+select lang, rank, phrase, a, l, r, (select cast(sum(n) as bigint) from f where f.lang = ranked.lang and size = 1) as n, score
+from ranked where rank <= 2000
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """What each of five filters removes in every order, per source."""
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+_OP13_SQL = r"""
+with marks as (
+  select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic
+  from labels group by doc_id),
+docs as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words,
+         min(doc_id) over (partition by coalesce(text, '')) as first
+  from documents),
+judged as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+         {'A': len(words) < 50, 'B': 100 * len(list_distinct(words)) < 65 * len(words),
+          'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+          'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > first, false)} as fails
+  from docs left join marks using (doc_id)),
+cells as (
+  select part, concat(case when fails.A then 'A' else '' end, case when fails.B then 'B' else '' end, case when fails.C then 'C' else '' end,
+                      case when fails.D then 'D' else '' end, case when fails.E then 'E' else '' end) as failed,
+         count(*) as n, sum(good) as good, sum(toxic) as toxic
+  from judged group by part, failed),
+letters(f) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+orders as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order
+  from letters a join letters b on b.f <> a.f join letters c on c.f not in (a.f, b.f)
+  join letters d on d.f not in (a.f, b.f, c.f) join letters e on e.f not in (a.f, b.f, c.f, d.f)),
+steps as (
+  select filter_order, cast(s as integer) as step, substr(filter_order, s, 1) as own, left(filter_order, s - 1) as before
+  from (select filter_order, unnest(range(1, 6)) as s from orders)),
+met as (
+  select part, filter_order, step, own, n, good, toxic, contains(failed, own) as fails_own, failed = own as only_own,
+         len(translate(failed, before, '')) < len(failed) as gone
+  from cells, steps),
+summed as (
+  select part, filter_order, step, own,
+         cast(coalesce(sum(n) filter (not gone and not fails_own), 0) as bigint) as kept,
+         cast(coalesce(sum(n) filter (not gone and fails_own), 0) as bigint) as removed,
+         cast(coalesce(sum(n) filter (gone and fails_own), 0) as bigint) as redundant,
+         cast(coalesce(sum(n) filter (only_own), 0) as bigint) as unique_fails,
+         cast(coalesce(sum(good) filter (not gone and fails_own), 0) as bigint) as good_lost,
+         cast(coalesce(sum(toxic) filter (not gone and fails_own), 0) as bigint) as toxic_lost
+  from met group by part, filter_order, step, own)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       cast(sum(removed) over (partition by part, own) as bigint) as shapley
+from summed
+"""
+
+
 QUERIES = {
     "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
     "op2_url_filter": (op2_url_filter, _OP2_SQL),
@@ -162,6 +259,8 @@ QUERIES = {
     "op8_language_id": (op8_language_id, None),
     "op9_secret_scan": (op9_secret_scan, _OP9_SQL),
     "op10_best_fit_packing": (op10_best_fit_packing, None),
+    "op12_phrase_collocations": (op12_phrase_collocations, _OP12_SQL),
+    "op13_filter_audit": (op13_filter_audit, _OP13_SQL),
 }
 
 
