@@ -7,7 +7,6 @@ them is a column expression.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from html import unescape
 
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelake import fixed_values as fixed
+from pagelake.functions import markup
 from pagelake.functions.text import (
     clean_link,
     deduplication,
@@ -27,36 +27,32 @@ from pagelake.functions.text import (
 )
 from pagelake.functions.urls import resolve_url
 
-# Every part that is not closed runs to the end of the page, so that no search starts again.
-_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
-_ANCHOR = r"""(?is)<a(?=[\s/])((?:[^>"']++|"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))*+)(?:>|\z)([^<]*+)"""
-_OTHER_ATTRIBUTES = r"""(?>[\s/]++|(?!href[\s=])[^\s=/"'>]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']++))?+)*+"""
-_HREF = rf"""(?is)^{_OTHER_ATTRIBUTES}href\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-
-
 def extract_links(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """B1: every anchor with an href: ``(src_url, pos, href, text)`` in document order, and the
     ``keep`` columns of its page. The href may stand in double, single or no quotes; comments,
-    scripts and styles hold no anchors. The markup ends in the scan stage."""
-    visible = F.regexp_replace("html", _HIDDEN, "")
-    tags = F.regexp_extract_all(visible, F.lit(_ANCHOR), F.lit(0))
-    linked = F.filter(tags, lambda a: F.regexp_extract(a, _ANCHOR, 1).rlike(_HREF))
-    anchors = pages.select(
+    scripts, styles and values of other attributes hold no anchors. One search goes over the
+    page, and the markup ends in the scan stage."""
+    anchors = F.filter(F.regexp_extract_all("html", F.lit(markup.EACH_LINK), F.lit(1)), lambda a: a != "")
+    found = pages.select(
         F.col("url").alias("src_url"),
         *keep,
         # outer: an inner explode would test the array first, and so search the page twice
-        F.posexplode_outer(linked).alias("pos", "_a"),
+        F.posexplode_outer(anchors).alias("pos", "_a"),
     ).where(F.col("pos").isNotNull())
-    source = F.regexp_extract("_a", _ANCHOR, 1)
-    return anchors.select(
+    return found.select(
         "src_url",
         *keep,
         "pos",
-        F.concat(*[F.regexp_extract(source, _HREF, i) for i in (1, 2, 3)]).alias("href"),
-        F.regexp_extract("_a", _ANCHOR, 2).alias("text"),
+        _unquoted(F.regexp_extract("_a", markup.LINK_PARTS, 1)).alias("href"),
+        F.regexp_extract("_a", markup.LINK_PARTS, 2).alias("text"),
     )
 
 
+def _unquoted(value: Column) -> Column:
+    """An attribute value without the quotes around it."""
+    return F.regexp_replace(value, r"""(?s)\A(["'])(.*)\1\z""", "$2")
+
+
 def container_links(pages: DataFrame) -> DataFrame:
     """B1 with containers: also ``cls`` and ``outer_cls``, the classes of the element around
     the anchor and of the one around that; null where that element is not a ``div``."""
@@ -120,19 +116,22 @@ def listing_requests(
 
 
 def select_first(html: Column, tag: str, cls: str | None = None, attribute: str | None = None) -> Column:
-    """Leading text (or ``attribute``) of the first ``tag`` element; null when absent.
+    """Leading text (or ``attribute``) of the first ``tag`` element that has it; null when absent.
 
-    ``cls`` asks for exactly that class attribute. For elements whose text comes before
-    any child; ``extract_detail`` reads nested ones.
+    ``cls`` asks for exactly that class attribute, in any quoting and before or after the other
+    attributes. For elements whose text comes before any child; ``extract_detail`` reads nested ones.
     """
-    open_tag = rf'<{tag}(?:\s[^>]*)?>' if cls is None else rf'<{tag}\s(?:[^>]*\s)?class="{cls}"[^>]*>'
+    opened = rf"<{tag}(?=[\t\n\f\r />])"
+    if cls is not None:
+        opened += rf"(?={markup.attribute_first('class', markup.literal(cls))})"
     if attribute is None:
-        pattern = rf"(?is){open_tag}([^<]+)"
-    elif cls is None:
-        pattern = rf'(?is)<{tag}\s(?:[^>]*\s)?{attribute}="([^"]*)"'
+        wanted = rf"{opened}{markup.ATTRIBUTES}>([^<]++)"
     else:
-        pattern = rf'(?is)<{tag}\s(?=(?:[^>]*\s)?class="{cls}")(?:[^>]*\s)?{attribute}="([^"]*)"'
-    return F.get(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.lit(0))
+        wanted = rf"{opened}{markup.attribute_first(attribute, f'({markup.VALUE})')}{markup.ATTRIBUTES}>"
+    # inside the pattern's look-ahead the group is another one
+    found = F.regexp_extract_all(html, F.lit(markup.up_to(wanted)), F.lit(3))
+    value = F.get(found, F.lit(0))
+    return value if attribute is None else _unquoted(value)
 
 
 def extract_detail(pages: DataFrame) -> DataFrame:
@@ -198,14 +197,6 @@ _DETAIL = T.StructType(
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SELF_CLOSING = frozenset("p li tr td th option dt dd".split())
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|\Z)"""
-    r"""|<(/?)([a-z][^\s/>]*)((?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)|([^<]+|<)""",
-    re.I | re.S,
-)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
-
-
 class _Node:
     """An element: tag, source of its attributes, parent, children, direct text nodes."""
 
@@ -216,11 +207,8 @@ class _Node:
         self.children, self.texts = [], []
 
     def attribute(self, wanted):
-        if wanted in self.source.lower():
-            for name, double, single, bare in _ATTRIBUTE.findall(self.source):
-                if name.lower() == wanted:
-                    return unescape(double or single or bare)
-        return None
+        value = markup.attribute_of(self.source, wanted)
+        return value if value is None else unescape(value)
 
     def text(self):
         return unescape(self.texts[0]) if self.texts else None
@@ -232,13 +220,12 @@ class _Node:
 def _elements(html: str) -> list[_Node]:
     """Elements of a page in document order. Forgives unclosed and unopened tags.
 
-    A comment, script or tag that is not closed runs to the end of the page, and an end tag
-    is looked for only while an element of that tag is open, so the time is linear.
+    An end tag is looked for only while an element of that tag is open, so the time is linear.
     """
     top = root = _Node("", "", None)
     found, cut = [], True
     still_open = Counter()
-    for end, tag, source, text in _TOKEN.findall(html):
+    for end, tag, source, closed, text in markup.TOKEN.findall(html):
         if text:
             # a lone "<" goes on with the text around it; a tag or comment cuts it
             if cut or not top.texts:
@@ -248,14 +235,16 @@ def _elements(html: str) -> list[_Node]:
             cut = False
             continue
         cut = True
+        if not closed:  # a comment, script or style, or a tag that the page's end cuts off
+            continue
         tag = tag.lower()
         if end:
             while still_open[tag]:
                 still_open[top.tag] -= 1
-                closed, top = top.tag, top.parent
-                if closed == tag:
+                left, top = top.tag, top.parent
+                if left == tag:
                     break
-        elif tag:
+        else:
             if (top.tag == tag and tag in _SELF_CLOSING) or (top.tag == "p" and tag == "div"):
                 still_open[top.tag] -= 1
                 top = top.parent

@@ -123,9 +123,21 @@ def first_elements(spark, sf):
     )
 
 
+#: Tasks that parse the pages made from orders, whatever their number: a file of one row group
+#: would leave all parsing to one task.
+PARSE_TASKS = 32
+
+
+def _orders(spark: SparkSession, sf: str) -> DataFrame:
+    """The few columns that the made pages show, dealt to ``PARSE_TASKS`` tasks."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    shown = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    return shown.repartition(PARSE_TASKS, "o_orderkey")
+
+
 def listing_pages(spark: SparkSession, sf: str) -> DataFrame:
     """A listing page per order: one link on, one detail link, one empty, one outside."""
-    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    orders = _orders(spark, sf)
     key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     following = (F.col("o_orderkey") + 1).cast("string")
     onward = F.concat(
@@ -162,7 +174,7 @@ from orders
 
 def detail_pages(spark: SparkSession, sf: str) -> DataFrame:
     """A detail page per order; its status decides which parts are missing."""
-    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    orders = _orders(spark, sf)
     key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     status, rank = F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1)
     anchor = F.concat(F.lit('<div><a href="http://f.org/'), customer, F.lit('.rar">1</a></div>'))

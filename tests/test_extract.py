@@ -52,6 +52,51 @@ def test_links_skip_comments_and_scripts(spark):
     assert got == [("/y", "t", "a")]
 
 
+STRAY = [
+    """<a href=/a title=it's>A</a> <a href="/b">B</a><p>x</p><a href="/c">C</a>""",
+    """<p title="<a href='/no'>">t<a x='>' href='/y>z'>q > r</a><a href>e</a><a href=>f</a><a/href="/s">s</a>
+    <A HREF=/u/>U</A><abbr href=/n>n</abbr><a name=1><a href="/last">l</a><a href="/cut""",
+    """<a href="/open>o</a><a href='/x'>x</a>""",
+    """<style>a{}</style ><a href=1>1</a><script src="</script>">'<a href=2>2</a></script x><a href=3>3</a><!-- > <a href=4> --><a =href=5 href=6>6""",
+]
+
+
+def test_stray_quotes_in_tags(spark):
+    df = pages(spark, *STRAY, None, "")
+    flat = sorted((r.src_url[-6:-5], r.pos, r.href, r.text) for r in ex.extract_links(df).collect())
+    tree = sorted((r.src_url[-6:-5], r.pos, r.href, r.text) for r in ex.container_links(df).collect())
+    assert flat == tree
+    assert [x[2:] for x in flat if x[0] == "1"] == [("/a", "A"), ("/b", "B"), ("/c", "C")]
+    assert [x[2] for x in flat if x[0] == "2"] == ["/y>z", "", "/s", "/u/", "/last"]
+    assert [x[2] for x in flat if x[0] == "3"] == []
+    assert [x[2] for x in flat if x[0] == "4"] == ["1", "3", "6"]
+
+
+def test_links_in_detail_pages_with_stray_quotes(spark):
+    r = record(spark, "<p title=it's>x</p>" + NAME + AUTHOR + TEXT + COVER + HEAD + ROW.replace('href="http://s.org/"', "href=http://s.org/ x'"))
+    assert r.reject is None and r.book_download[0].source_site == ["Site", "http://s.org/"]
+
+
+@pytest.mark.parametrize(
+    "html, text, title",
+    [
+        ("<div class='x'>one", "one", None),
+        ('<div class="x" title="a>b">two</div>', "two", "a>b"),
+        ("<div title='a' id=1 class=x>three</div><div class=x>no", "three", "a"),
+        ("<!-- <div class=x>no</div> --><script><div class=x>no</script><p title='<div class=x>no'><DIV\nCLASS = x >four", "four", None),
+        ("<div class='x y'>no</div><div class=xx>no</div><divx class=x>no</divx>", None, None),
+        ("<div class=x><b>no</b></div><div class=x title=''>five", "five", ""),
+    ],
+)
+def test_select_first_in_any_quoting(spark, html, text, title):
+    got = pages(spark, html).select(
+        ex.select_first(F.col("html"), "div", "x").alias("text"), ex.select_first(F.col("html"), "div", "x", "title").alias("title")
+    )
+    assert tuple(got.first()) == (text, title)
+    found = [n for n in ex._elements(html) if n.tag == "div" and n.attribute("class") == "x"]
+    assert next((n.text() for n in found if n.texts), None) == text
+
+
 def test_select_first(spark):
     html = '<title>T &amp; U</title><h1>\nA</h1><div class="ad x">no</div><div id="1" class="ad">yes</div><img src="/i">'
     row = pages(spark, html).select(
