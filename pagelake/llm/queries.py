@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import bpe, collocations, exact_dedup, filter_audit, language_id, lm_score, packing, quality_model, quality_rules, secret_scan, simhash, url_filter
+from pagelake.llm import bpe, collocations, exact_dedup, filter_audit, html_text, language_id, lm_score, packing, quality_model, quality_rules, secret_scan, simhash, url_filter
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -151,6 +151,29 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), path, with_ids=False).drop("ids")
 
 
+def op11_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of each page."""
+    return html_text.main_texts(table(spark, sf, "pages"))
+
+
+#: The main text of pages laid out as those of the test tables: headings and paragraphs of one article element.
+_OP11_SQL = r"""
+with blocks as (
+  select page_id, url,
+         list_transform(
+           string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '</?(p|h1)>'),
+           lambda b: regexp_replace(regexp_replace(b, '<br>', ' ', 'g'), '<[^>]*>', '', 'g')) as parts
+  from pages),
+texts as (
+  select page_id, url,
+         array_to_string(list_filter(list_transform(parts, lambda b: trim(regexp_replace(
+           replace(replace(replace(replace(replace(replace(b, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
+           '\s+', ' ', 'g'))), lambda b: b <> ''), chr(10)) as text
+  from blocks)
+select page_id, url, text, length(text) as n_chars from texts
+"""
+
+
 def op12_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
     """The 2000 best phrases of each language."""
     return collocations.collocations(table(spark, sf, "documents"))
@@ -259,6 +282,7 @@ QUERIES = {
     "op8_language_id": (op8_language_id, None),
     "op9_secret_scan": (op9_secret_scan, _OP9_SQL),
     "op10_best_fit_packing": (op10_best_fit_packing, None),
+    "op11_html_extraction": (op11_html_extraction, _OP11_SQL),
     "op12_phrase_collocations": (op12_phrase_collocations, _OP12_SQL),
     "op13_filter_audit": (op13_filter_audit, _OP13_SQL),
 }
