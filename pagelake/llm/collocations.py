@@ -3,20 +3,20 @@
 The corpus is dealt into shards that are scanned again and again in a cycle. Words are counted
 from the first shard on; a longer phrase starts to be counted at the shard after the one where
 both its subphrases (without the last word, without the first) reached the threshold, and stops
-when it has seen every shard once. So phrases of different lengths are counted in the same
-scans, and about a pass and a half does the work of three.
-
-When a phrase became active follows from its subphrases alone: two arrays of a fixed size hold,
-per hash of a language and word (or pair of words), the scan after which one with that hash
-reached the threshold. All tasks get them; their size does not depend on the data. Phrases that share a hash
-with a frequent one are counted in vain, never wrongly: counts are kept by the phrases
-themselves, in Spark tables.
+when it has seen every shard once. So phrases of different lengths are counted in the same scans.
+
+The scans count phrases by a hash of 64 bits, in blocks of sorted hashes that tasks merge by
+range: a count may be too large (equal hashes), never too small. Two phrases of one hash would
+only make one of them a candidate in vain. When a phrase became active follows from
+its subphrases alone: arrays of a fixed size hold, per low bits of the hash, the scan after which a
+phrase with these bits reached the threshold. All tasks get them; their size does not depend on the
+data. One last cycle over the shards counts what completed its cycle at the threshold or above, by
+its words. Everything below the threshold is gone by then, exactly as if all had been counted by words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +34,15 @@ TOP = 2000
 #: Percent of a phrase's occurrences that lie in a longer candidate and make it redundant.
 INSIDE_PERCENT = 50
 SHARDS = 2
-WORD_SLOTS = 1 << 24
-PAIR_SLOTS = 1 << 26
-SLICE_BYTES = 16 << 20
-#: Bits that one row of ``bitmap_construct_agg`` holds.
-BITMAP = 32768
+#: Slots of the activity arrays (one byte each) for words, pairs and triples.
+SLOTS = (1 << 24, 1 << 25, 1 << 25)
+SLICE_BYTES = 8 << 20
+#: Blocks of hashes per shuffle partition: what one merge holds is a range of the hashes.
+BLOCKS_PER_PARTITION = 4
+
+COUNTS = "size byte, block int, hashes binary, counts binary"
+MERGED = f"{COUNTS}, frequent binary"
+PHRASES = "lang string, phrase string, size byte, n bigint"
 
 #: Decimal products are exact: at most 37 digits, then 38 with the factor of a million.
 _SCORE = """
@@ -62,36 +66,35 @@ def words_and_breaks(text: bytes) -> list[bytes]:
 
 
 def _mixed(first, second):
-    """Hash of a pair from the hashes of its words (unsigned arrays)."""
+    """Hash of a phrase from the hash of all but its last word and that of its last word."""
     return ((first << np.uint64(21)) | (first >> np.uint64(43))) ^ second
 
 
-def _mixed_columns(first: Column, second: Column) -> Column:
-    return F.shiftleft(first, 21).bitwiseOR(F.shiftrightunsigned(first, 43)).bitwiseXOR(second)
+def _slots(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes & np.uint64(SLOTS[size - 1] - 1)).astype(np.int64)
 
 
-def _word_hash(lang: Column, word: Column) -> Column:
-    return F.xxhash64(F.concat(lang, F.lit(" "), word))
+class _Slice:
+    """Some texts of one language as numbers: words in order with breaks between pieces."""
 
+    def __init__(self, lang: str, texts: list[bytes]):
+        tokens = words_and_breaks(b"\n".join([*texts, b""]))
+        coded = pa.array(tokens, pa.binary()).dictionary_encode()
+        del tokens
+        self.lang, self.words, self.ids = lang, coded.dictionary, coded.indices.to_numpy()
+        self.pause = self.words.index(pa.scalar(_BREAK, pa.binary())).as_py()
+        prefix = lang.encode() + b" "
+        self.hashes = np.array([xxhash.xxh64_intdigest(prefix + w, 42) for w in self.words.to_pylist()], dtype=np.uint64)
 
-class Activity:
-    """For each slot the scan after which a phrase of that hash was frequent; 0 if none was yet."""
+    def active(self, steps: np.ndarray) -> np.ndarray:
+        """Of each position's word the entry of an activity array; 0 for breaks."""
+        of_words = steps[_slots(self.hashes, 1)]
+        of_words[self.pause] = 0
+        return of_words[self.ids]
 
-    def __init__(self):
-        self.words = np.zeros(WORD_SLOTS, dtype=np.uint8)
-        self.pairs = np.zeros(PAIR_SLOTS, dtype=np.uint8)
-
-    def mark(self, size: int, bitmaps: list, scan: int) -> int:
-        """Set the slots of the bitmaps that were not set; how many these are."""
-        steps = self.words if size == 1 else self.pairs
-        fresh = 0
-        for bucket, bits in bitmaps:
-            on = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little").astype(bool)
-            part = steps[(bucket - 1) * BITMAP : bucket * BITMAP]
-            new = on & (part == 0)
-            part[new] = scan
-            fresh += int(new.sum())
-        return fresh
+    def pairs(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the pairs that start at these positions."""
+        return _mixed(self.hashes[self.ids[at]], self.hashes[self.ids[at + 1]])
 
 
 def _starts(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -100,126 +103,202 @@ def _starts(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return np.where((first > 0) & (second > 0), start, 0)
 
 
-def _counted(lang: str, texts: list[bytes], scan: int, shards: int, active_words: np.ndarray, active_pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Active phrases of some texts of one language, with their counts."""
-    tokens = words_and_breaks(b"\n".join([*texts, b""]))
-    coded = pa.array(tokens, pa.binary()).dictionary_encode()
-    del tokens
-    known, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-    del coded
-    breaks = known.index(pa.scalar(_BREAK, pa.binary())).as_py()
-    prefix = lang.encode() + b" "
-    hashes = np.array([xxhash.xxh64_intdigest(prefix + w, 42) for w in known.to_pylist()], dtype=np.uint64)
-
-    def rows(size: int, parts: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
-        words = [known.take(pa.array(p)) for p in parts]
-        phrases = words[0] if size == 1 else pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.binary()))
-        n = len(counts)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang]).take(pa.array(np.zeros(n, np.int8))), phrases.cast(pa.string()), pa.array(np.full(n, size, np.int8)), pa.array(counts)],
-            names=["lang", "phrase", "size", "n"],
-        )
+def _scanned(own: _Slice, scan: int, shards: int, words: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Size, hashes and counts of the phrases that a scan counts in a slice."""
 
     def due(start: np.ndarray) -> np.ndarray:
-        return (start > 0) & (start <= scan) & (scan < start + shards)
+        return np.flatnonzero((start > 0) & (start <= scan) & (scan < start + shards))
 
     if scan <= shards:
-        counts = np.bincount(ids, minlength=len(known)).astype(np.int64)
-        own = np.flatnonzero(np.arange(len(known)) != breaks)
-        yield rows(1, [own], counts[own])
-    word_steps = active_words[(hashes & np.uint64(WORD_SLOTS - 1)).astype(np.int64)]
-    word_steps[breaks] = 0
-    steps = word_steps[ids]
+        counts = np.bincount(own.ids, minlength=len(own.words))
+        others = np.arange(len(counts)) != own.pause
+        order = np.argsort(own.hashes[others])
+        yield 1, own.hashes[others][order], counts[others][order]
+    steps = own.active(words)
     starts = _starts(steps[:-1], steps[1:])
-    at = np.flatnonzero(due(starts))
+    at = due(starts)
     if len(at):
-        pairs, counts = np.unique(ids[at] * len(known) + ids[at + 1], return_counts=True)
-        yield rows(2, [pairs // len(known), pairs % len(known)], counts)
-    live = np.flatnonzero(starts > 0)
-    slots = _mixed(hashes[ids[live]], hashes[ids[live + 1]]) & np.uint64(PAIR_SLOTS - 1)
-    pair_steps = np.zeros(len(ids), dtype=np.uint8)
-    pair_steps[live] = active_pairs[slots.astype(np.int64)]
-    at = np.flatnonzero(due(_starts(pair_steps[:-2], pair_steps[1:-1])))
+        yield 2, *np.unique(own.pairs(at), return_counts=True)
+    live = np.flatnonzero(starts)
+    hashes, pair_steps = np.zeros(len(own.ids), np.uint64), np.zeros(len(own.ids), np.uint8)
+    hashes[live] = own.pairs(live)
+    pair_steps[live] = pairs[_slots(hashes[live], 2)]
+    at = due(_starts(pair_steps[:-2], pair_steps[1:-1]))
     if len(at):
-        pairs, place = np.unique(ids[at] * len(known) + ids[at + 1], return_inverse=True)
-        triples, counts = np.unique(place * len(known) + ids[at + 2], return_counts=True)
-        first = pairs[triples // len(known)]
-        yield rows(3, [first // len(known), first % len(known), triples % len(known)], counts)
-
-
-def _scan(shard: DataFrame, scan: int, shards: int, shared: Broadcast) -> DataFrame:
-    """Counts of the active phrases of one shard."""
+        yield 3, *np.unique(_mixed(hashes[at], own.hashes[own.ids[at + 2]]), return_counts=True)
+
+
+def _named(own: _Slice, threshold_bits: tuple) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """Size, phrase and count of the phrases of a slice whose slots are frequent."""
+
+    def frequent(hashes: np.ndarray, size: int) -> np.ndarray:
+        slot = _slots(hashes, size)
+        return (threshold_bits[size - 1][slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
+
+    ids, known = own.ids.astype(np.int64), len(own.words)
+    counts = np.bincount(ids, minlength=known)
+    yield 0, pa.array([b""], pa.binary()), np.array([len(ids) - counts[own.pause]])
+    on = frequent(own.hashes, 1).astype(bool)
+    on[own.pause] = False
+    words = np.flatnonzero(on)
+    yield 1, own.words.take(pa.array(words)), counts[words]
+    both = on[ids]
+    at = np.flatnonzero(both[:-1] & both[1:])
+    hashes, good = own.pairs(at), np.zeros(len(ids), dtype=bool)
+    good[at] = frequent(hashes, 2)
+    whole = np.zeros(len(ids), np.uint64)
+    whole[at] = hashes
+    at = np.flatnonzero(good)
+    pairs, place, counts = np.unique(ids[at] * known + ids[at + 1], return_inverse=True, return_counts=True)
+    names = pc.binary_join_element_wise(own.words.take(pa.array(pairs // known)), own.words.take(pa.array(pairs % known)), pa.scalar(b" ", pa.binary()))
+    yield 2, names, counts
+    pair_at = np.zeros(len(ids), np.int64)
+    pair_at[at] = place
+    at = np.flatnonzero(good[:-2] & good[1:-1])
+    at = at[frequent(_mixed(whole[at], own.hashes[ids[at + 2]]), 3).astype(bool)]
+    triples, counts = np.unique(pair_at[at] * known + ids[at + 2], return_counts=True)
+    yield 3, pc.binary_join_element_wise(names.take(pa.array(triples // known)), own.words.take(pa.array(triples % known)), pa.scalar(b" ", pa.binary())), counts
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
+    """The texts of a task by language, about ``SLICE_BYTES`` at a time; a longer text is one slice."""
+    held: dict[str, list[bytes]] = {}
+    sizes: dict[str, int] = {}
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            held.setdefault(lang, []).append(text)
+            sizes[lang] = sizes.get(lang, 0) + len(text)
+            if sum(sizes.values()) >= SLICE_BYTES:
+                fullest = max(sizes, key=sizes.get)
+                del sizes[fullest]
+                yield _Slice(fullest, held.pop(fullest))
+    for lang in list(held):
+        yield _Slice(lang, held.pop(lang))
+
+
+def _cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Consecutive parts of an array as binary values."""
+    offsets = np.concatenate([[0], ends * values.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _scan(shard: DataFrame, scan: int, shards: int, blocks: int, shared: Broadcast) -> DataFrame:
+    """Counts of the active phrases of one shard, as blocks of slot ranges."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[bytes]] = {}
-        sizes: dict[str, int] = {}
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                held.setdefault(lang, []).append(text)
-                sizes[lang] = sizes.get(lang, 0) + len(text)
-                if sum(sizes.values()) >= SLICE_BYTES:
-                    fullest = max(sizes, key=sizes.get)
-                    del sizes[fullest]
-                    yield from _counted(fullest, held.pop(fullest), scan, shards, *shared.value)
-        for lang in list(held):
-            yield from _counted(lang, held.pop(lang), scan, shards, *shared.value)
-
-    found = shard.select("lang", "text").mapInArrow(count, "lang string, phrase string, size byte, n bigint")
-    return found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
-
-
-def _bitmaps(counts: DataFrame, size: int, threshold: int) -> list:
-    """The slots of frequent phrases as bitmaps: at most one bit per slot, whatever the data."""
-    words = F.split("phrase", " ")
-    hashes = [_word_hash(F.col("lang"), words[i]) for i in range(size)]
-    slots = WORD_SLOTS if size == 1 else PAIR_SLOTS
-    slot = (hashes[0] if size == 1 else _mixed_columns(*hashes)).bitwiseAND(F.lit(slots - 1))
-    frequent = counts.where((F.col("size") == size) & (F.col("n") >= threshold)).select((slot + 1).alias("slot"))
-    made = frequent.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
-    )
-    return [tuple(r) for r in made.collect()]
-
+        for own in _slices(batches):
+            for size, hashes, counts in _scanned(own, scan, shards, *shared.value):
+                if not len(hashes):
+                    continue
+                block = _slots(hashes, size) // (SLOTS[size - 1] // blocks)
+                order = np.argsort(block, kind="stable")
+                found, first = np.unique(block[order], return_index=True)
+                ends = np.append(first[1:], len(order))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(found), size, np.int8)),
+                        pa.array(found.astype(np.int32)),
+                        _cut(hashes[order], ends),
+                        _cut(counts[order].astype(np.int64), ends),
+                    ],
+                    names=["size", "block", "hashes", "counts"],
+                )
+
+    return shard.select("lang", "text").mapInArrow(count, COUNTS)
+
+
+def _merged(blocks: int, threshold: int):
+    """Merges the counts of a block: those below the threshold go on, the slots of the others become bits."""
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        size, block = (k.as_py() for k in key)
+        hashes = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("hashes").to_pylist()])
+        counts = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("counts").to_pylist()])
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        hashes, counts = hashes[first], np.add.reduceat(counts[order], first)
+        high = counts >= threshold
+        width = SLOTS[size - 1] // blocks
+        bits = np.zeros(width, dtype=bool)
+        bits[_slots(hashes[high], size) - block * width] = True
+        row = [size, block, hashes[~high].tobytes(), counts[~high].tobytes(), np.packbits(bits, bitorder="little").tobytes() if high.any() else b""]
+        kinds = (pa.int8(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        names = ["size", "block", "hashes", "counts", "frequent"]
+        return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+
+    return merge
+
+
+class _Activity:
+    """For each slot the scan after which a phrase of that hash was frequent; 0 if none was yet."""
 
-def _summed(tables: list[DataFrame]) -> DataFrame:
-    if len(tables) == 1:
-        return tables[0]
-    return reduce(DataFrame.unionAll, tables).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    def __init__(self):
+        self.steps = [np.zeros(n, dtype=np.uint8) for n in SLOTS]
+
+    def mark(self, rows: list, blocks: int, scan: int) -> bool:
+        """Set the slots that were not set; whether there are any."""
+        fresh = False
+        for size, block, bits in rows:
+            width = SLOTS[size - 1] // blocks
+            steps = self.steps[size - 1][block * width : (block + 1) * width]
+            new = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool) & (steps == 0)
+            steps[new] = scan
+            fresh |= size < 3 and bool(new.any())
+        return fresh
 
 
 def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHARDS) -> DataFrame:
-    """lang, phrase, size (1 to 3 words) and n: all words, and every longer phrase found ``threshold`` times.
+    """lang, phrase, size and n of all phrases of 1 to 3 words found ``threshold`` times or more.
 
-    Longer phrases below the threshold may be there too, with their true counts. ``lang`` null is
-    ``und``, ``text`` null is empty. Each scan's counts are a table in the shared folder, so a lost
-    executor costs tasks, not scans.
+    One row per language with size 0 has the number of its words, rare ones included. ``lang`` null
+    is ``und``, ``text`` null is empty. The counts of each scan are a table in the shared folder, so a
+    lost executor costs tasks, not scans. To the driver come bits of slots, at most an eighth of
+    ``SLOTS`` bytes a scan. ``shards`` is at most 80.
     """
+    spark = docs.sparkSession
     dealt = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
         filled(F.col("text")).alias("text"),
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"),
     )
     stored = written(dealt, "phrase_shards", by="shard")
-    activity, scans, words, pairs = Activity(), [], [], []
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = min(1 << (BLOCKS_PER_PARTITION * partitions - 1).bit_length(), SLOTS[0] // 8)
+    activity, state = _Activity(), None
     scan, last = 0, shards
     while scan < last:
         scan += 1
-        shared = docs.sparkSession.sparkContext.broadcast((activity.words, activity.pairs))
-        found = _scan(stored.where(F.col("shard") == (scan - 1) % shards), scan, shards, shared)
-        counts = written(found, f"phrase_scan_{scan}")
+        shared = spark.sparkContext.broadcast(activity.steps[:2])
+        found = _scan(stored.where(F.col("shard") == (scan - 1) % shards), scan, shards, blocks, shared)
+        if state is not None:  # of sizes whose phrases have not all completed their cycle
+            unfinished = (F.col("size") >= 1 + (scan - 1) // shards) & (F.length("hashes") > 0)
+            found = found.unionAll(state.where(unfinished).drop("frequent"))
+        merged = written(found.groupBy("size", "block").applyInArrow(_merged(blocks, threshold), MERGED), f"phrase_scan_{scan}")
         shared.destroy()
-        scans.append(counts)
-        fresh = 0
-        if scan <= shards:
-            words.append(counts.where("size = 1"))
-            fresh += activity.mark(1, _bitmaps(_summed(words), 1, threshold), scan)
-        if 1 < scan <= 2 * shards:
-            pairs.append(counts.where("size = 2"))
-            fresh += activity.mark(2, _bitmaps(_summed(pairs), 2, threshold), scan)
-        if fresh:  # what became active now is counted in the next ``shards`` scans
+        if state is not None:
+            discard(state)
+        state = merged
+        rows = state.where("length(frequent) > 0").select("size", "block", "frequent").collect()
+        if activity.mark(rows, blocks, scan):  # what became active now is counted in the next ``shards`` scans
             last = max(last, scan + shards)
+    discard(state)
+    bits = spark.sparkContext.broadcast([np.packbits(s > 0, bitorder="little") for s in activity.steps])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _slices(batches):
+            for size, phrases, counts in _named(own, bits.value):
+                n = len(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([own.lang]).take(pa.array(np.zeros(n, np.int8))), phrases.cast(pa.string()), pa.array(np.full(n, size, np.int8)), pa.array(counts.astype(np.int64))],
+                    names=["lang", "phrase", "size", "n"],
+                )
+
+    summed = stored.select("lang", "text").mapInArrow(name, PHRASES).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    counts = written(summed.where((F.col("n") >= threshold) | (F.col("size") == 0)), "phrase_counts")
+    bits.destroy()
     discard(stored)
-    return _summed(scans)
+    return counts
 
 
 def collocations(docs: DataFrame, threshold: int = THRESHOLD, top: int = TOP, shards: int = SHARDS) -> DataFrame:
@@ -231,8 +310,8 @@ def collocations(docs: DataFrame, threshold: int = THRESHOLD, top: int = TOP, sh
     have no words; no documents give no rows; repeated rows count each time.
     """
     counts = phrase_counts(docs, threshold, shards)
-    totals = counts.where("size = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    known = written(counts.where(F.col("n") >= threshold), "frequent_phrases")
+    totals = counts.where("size = 0").select("lang", "n")
+    known = counts.where("size > 0")
     long = known.where("size > 1").withColumnRenamed("n", "a")
     words = F.split("phrase", " ")
 
