@@ -5,9 +5,9 @@ from the first shard on; a longer phrase starts to be counted at the shard after
 both its subphrases (without the last word, without the first) reached the threshold, and stops
 when it has seen every shard once. So phrases of different lengths are counted in the same scans.
 
-The scans count phrases by a hash of 64 bits, in blocks of sorted hashes that tasks merge by
-range: a count may be too large (equal hashes), never too small. Two phrases of one hash would
-only make one of them a candidate in vain. When a phrase became active follows from
+The scans count phrases by keys of 32 bits of a hash within one of many blocks, which tasks merge
+block by block: a count may be too large (equal keys), never too small. Phrases that share a key
+only become candidates in vain. When a phrase became active follows from
 its subphrases alone: arrays of a fixed size hold, per low bits of the hash, the scan after which a
 phrase with these bits reached the threshold. All tasks get them; their size does not depend on the
 data. One last cycle over the shards counts what completed its cycle at the threshold or above, by
@@ -35,12 +35,12 @@ TOP = 2000
 INSIDE_PERCENT = 50
 SHARDS = 2
 #: Slots of the activity arrays (one byte each) for words, pairs and triples.
-SLOTS = (1 << 24, 1 << 25, 1 << 25)
-SLICE_BYTES = 8 << 20
+SLOTS = (1 << 23, 1 << 25, 1 << 25)
+SLICE_BYTES = 4 << 20
 #: Blocks of hashes per shuffle partition: what one merge holds is a range of the hashes.
 BLOCKS_PER_PARTITION = 4
 
-COUNTS = "size byte, block int, hashes binary, counts binary"
+COUNTS = "size byte, block int, keys binary, counts binary"
 MERGED = f"{COUNTS}, frequent binary"
 PHRASES = "lang string, phrase string, size byte, n bigint"
 
@@ -97,6 +97,17 @@ class _Slice:
         return _mixed(self.hashes[self.ids[at]], self.hashes[self.ids[at + 1]])
 
 
+def _spots(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Slot and high half of the hashes in one number, so that sorting goes by slot."""
+    return (hashes & np.uint64(SLOTS[size - 1] - 1)) << np.uint64(32) | hashes >> np.uint64(32)
+
+
+def _keys(spots: np.ndarray, size: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Block of each spot, and its key there: place in the block, then high bits of the hash."""
+    bits = np.uint64((SLOTS[size - 1] // blocks).bit_length() - 1)
+    return (spots >> (bits + np.uint64(32))).astype(np.int32), (spots >> bits).astype(np.uint32)
+
+
 def _starts(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """First scan that counts a phrase, from the activity of its two subphrases; 0 for never."""
     start = np.maximum(first, second).astype(np.int16) + 1
@@ -104,7 +115,7 @@ def _starts(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def _scanned(own: _Slice, scan: int, shards: int, words: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Size, hashes and counts of the phrases that a scan counts in a slice."""
+    """Size, sorted spots and counts of the phrases that a scan counts in a slice."""
 
     def due(start: np.ndarray) -> np.ndarray:
         return np.flatnonzero((start > 0) & (start <= scan) & (scan < start + shards))
@@ -112,20 +123,21 @@ def _scanned(own: _Slice, scan: int, shards: int, words: np.ndarray, pairs: np.n
     if scan <= shards:
         counts = np.bincount(own.ids, minlength=len(own.words))
         others = np.arange(len(counts)) != own.pause
-        order = np.argsort(own.hashes[others])
-        yield 1, own.hashes[others][order], counts[others][order]
+        spots = _spots(own.hashes[others], 1)
+        order = np.argsort(spots)
+        yield 1, spots[order], counts[others][order]
     steps = own.active(words)
     starts = _starts(steps[:-1], steps[1:])
     at = due(starts)
     if len(at):
-        yield 2, *np.unique(own.pairs(at), return_counts=True)
+        yield 2, *np.unique(_spots(own.pairs(at), 2), return_counts=True)
     live = np.flatnonzero(starts)
     hashes, pair_steps = np.zeros(len(own.ids), np.uint64), np.zeros(len(own.ids), np.uint8)
     hashes[live] = own.pairs(live)
     pair_steps[live] = pairs[_slots(hashes[live], 2)]
     at = due(_starts(pair_steps[:-2], pair_steps[1:-1]))
     if len(at):
-        yield 3, *np.unique(_mixed(hashes[at], own.hashes[own.ids[at + 2]]), return_counts=True)
+        yield 3, *np.unique(_spots(_mixed(hashes[at], own.hashes[own.ids[at + 2]]), 3), return_counts=True)
 
 
 def _named(own: _Slice, threshold_bits: tuple) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
@@ -187,44 +199,44 @@ def _scan(shard: DataFrame, scan: int, shards: int, blocks: int, shared: Broadca
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _slices(batches):
-            for size, hashes, counts in _scanned(own, scan, shards, *shared.value):
-                if not len(hashes):
+            for size, spots, counts in _scanned(own, scan, shards, *shared.value):
+                if not len(spots):
                     continue
-                block = _slots(hashes, size) // (SLOTS[size - 1] // blocks)
-                order = np.argsort(block, kind="stable")
-                found, first = np.unique(block[order], return_index=True)
-                ends = np.append(first[1:], len(order))
+                block, keys = _keys(spots, size, blocks)
+                first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+                ends = np.append(first[1:], len(keys))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(found), size, np.int8)),
-                        pa.array(found.astype(np.int32)),
-                        _cut(hashes[order], ends),
-                        _cut(counts[order].astype(np.int64), ends),
-                    ],
-                    names=["size", "block", "hashes", "counts"],
+                    [pa.array(np.full(len(first), size, np.int8)), pa.array(block[first]), _cut(keys, ends), _cut(_short(counts), ends)],
+                    names=["size", "block", "keys", "counts"],
                 )
 
     return shard.select("lang", "text").mapInArrow(count, COUNTS)
 
 
+def _short(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits; larger ones, which any threshold is below, stay at the top."""
+    return np.minimum(counts, 2**32 - 1).astype(np.uint32)
+
+
 def _merged(blocks: int, threshold: int):
     """Merges the counts of a block: those below the threshold go on, the slots of the others become bits."""
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         size, block = (k.as_py() for k in key)
-        hashes = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("hashes").to_pylist()])
-        counts = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("counts").to_pylist()])
-        order = np.argsort(hashes)
-        hashes = hashes[order]
-        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-        hashes, counts = hashes[first], np.add.reduceat(counts[order], first)
+        keys = np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("keys").to_pylist()])
+        counts = np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("counts").to_pylist()])
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        keys, counts = keys[first], np.add.reduceat(counts[order].astype(np.int64), first)
         high = counts >= threshold
         width = SLOTS[size - 1] // blocks
         bits = np.zeros(width, dtype=bool)
-        bits[_slots(hashes[high], size) - block * width] = True
-        row = [size, block, hashes[~high].tobytes(), counts[~high].tobytes(), np.packbits(bits, bitorder="little").tobytes() if high.any() else b""]
+        bits[keys[high] >> np.uint32(33 - width.bit_length())] = True
+        row = [size, block, keys[~high].tobytes(), _short(counts[~high]).tobytes()]
+        row.append(np.packbits(bits, bitorder="little").tobytes() if high.any() else b"")
         kinds = (pa.int8(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        names = ["size", "block", "hashes", "counts", "frequent"]
+        names = ["size", "block", "keys", "counts", "frequent"]
         return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
     return merge
@@ -272,7 +284,7 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHA
         shared = spark.sparkContext.broadcast(activity.steps[:2])
         found = _scan(stored.where(F.col("shard") == (scan - 1) % shards), scan, shards, blocks, shared)
         if state is not None:  # of sizes whose phrases have not all completed their cycle
-            unfinished = (F.col("size") >= 1 + (scan - 1) // shards) & (F.length("hashes") > 0)
+            unfinished = (F.col("size") >= 1 + (scan - 1) // shards) & (F.length("keys") > 0)
             found = found.unionAll(state.where(unfinished).drop("frequent"))
         merged = written(found.groupBy("size", "block").applyInArrow(_merged(blocks, threshold), MERGED), f"phrase_scan_{scan}")
         shared.destroy()

@@ -82,18 +82,27 @@ def test_scans_count_each_phrase_in_each_shard_once():
 
     seen = Counter()
     for scan in range(1, 13):
-        for size, hashes, counts in co._scanned(own, scan, 4, words, pairs):
-            seen.update({(size, int(h)): int(n) for h, n in zip(hashes, counts, strict=True)})
+        for size, found, counts in co._scanned(own, scan, 4, words, pairs):
+            seen.update({(size, int(s)): int(n) for s, n in zip(found, counts, strict=True)})
         if scan in (1, 3):  # b and c are frequent after the first scan, a after the third
             words[[spots[w] for w in ((b"b", b"c") if scan == 1 else (b"a",))]] = scan
         if scan in (2, 5):
             pairs[co._slots(pair(b"b", b"c") if scan == 2 else pair(b"c", b"a"), 2)] = scan
     bca = co._mixed(pair(b"b", b"c"), own.hashes[[ids[b"a"]]])
-    want = {(1, int(own.hashes[ids[w]])): 8 for w in (b"a", b"b", b"c")}
-    want |= {(2, int(pair(b"b", b"c")[0])): 8, (2, int(pair(b"c", b"a")[0])): 4, (2, int(pair(b"a", b"b")[0])): 4, (3, int(bca[0])): 4}
+    want = {(1, w): 8 for w in co._spots(own.hashes[[ids[b"a"], ids[b"b"], ids[b"c"]]], 1).tolist()}
+    for count, size, phrase in ((8, 2, pair(b"b", b"c")), (4, 2, pair(b"c", b"a")), (4, 2, pair(b"a", b"b")), (4, 3, bca)):
+        want[size, co._spots(phrase, size).tolist()[0]] = count
     assert seen == want
 
 
+def test_keys_name_their_slots():
+    hashes = np.random.default_rng(1).integers(0, 2**63, 1000, dtype=np.uint64) * np.uint64(2)
+    for size, blocks in ((1, 16), (2, 1024), (3, co.SLOTS[0] // 8)):
+        block, keys = co._keys(co._spots(hashes, size), size, blocks)
+        width = co.SLOTS[size - 1] // blocks
+        assert (block.astype(np.int64) * width + (keys >> np.uint32(33 - width.bit_length())) == co._slots(hashes, size)).all()
+
+
 def test_scores_beyond_64_bits(spark):
     big = 3_000_000_000_000_000
     row = spark.range(1).select(F.lit(big).alias("a"), F.lit(big + 1).alias("l"), F.lit(big + 2).alias("r"))
