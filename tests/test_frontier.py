@@ -137,6 +137,39 @@ def test_crawl_reach(spark):
         assert got == breadth_first(seeds, links, limit)
 
 
+def test_crawl_reach_of_sparse_graphs(spark):
+    """Trees, chains, cycles off the seeds and blocked list links, as the plain rounds have them."""
+    rng = random.Random(5)
+    url = "http://h/{}".format
+    for n, limit in ((40, 0), (25, 4)):
+        links = [(url(rng.randint(max(0, i - 4), i)), url(i + 1), rng.choice(["list"] * 5 + ["detail"])) for i in range(n)]
+        links += [(url(rng.randint(0, n)), url(rng.randint(0, n)), rng.choice(["list", "detail"])) for _ in range(n // 6)]
+        links += [(url(100 + i), url(100 + (i + 1) % 5), "list") for i in range(5)] + [(url(0), url(0), "list")]
+        edges = spark.createDataFrame(links, "src_url string, url string, kind string")
+        start = spark.createDataFrame([(url(0),), (url(9),), (url(9),)], "url string")
+        got = {r.url: (r.depth, r.via) for r in crawl_reach(start, edges, limit).collect()}
+        assert got == breadth_first([url(0), url(9)], links, limit)
+    assert crawl_reach(start.limit(0), edges).count() == 0
+
+
+def test_crawl_reach_of_a_long_chain(spark, monkeypatch):
+    """2,000 listing pages with a detail link each, in at most 2 * log2(2000) stored tables."""
+    from pagelake.operators import reach
+
+    made, dropped = [], []
+    monkeypatch.setattr(reach, "written", lambda df, name, write=reach.written: made.append(name) or write(df, name))
+    monkeypatch.setattr(reach, "discard", lambda table, drop=reach.discard: dropped.append(table) or drop(table))
+    url = "http://h/{}".format
+    ids = spark.range(2000)
+    pages = ids.selectExpr("concat('http://h/', id) as src_url", "concat('http://h/', id + 1) as url", "'list' as kind")
+    pages = pages.unionAll(ids.selectExpr("concat('http://h/', id)", "concat('http://h/d', id % 700)", "'detail'"))
+    got = {r.url: (r.depth, r.via) for r in crawl_reach(spark.createDataFrame([(url(0),)], "url string"), pages).collect()}
+    assert len(got) == 2701
+    assert all(got[url(i)] == (i, url(i - 1)) for i in range(1, 2001))
+    assert all(got[url(f"d{i}")] == (i + 1, url(i)) for i in range(700))
+    assert len(made) <= 22 and len(dropped) == len(made)  # the result stays, the settled rounds are one folder
+
+
 def test_crawl_reach_on_a_cycle(spark):
     edges = spark.createDataFrame(
         [("http://h/1", "http://h/2", "list"), ("http://h/2", "http://h/1#top", "list"), ("http://h/2", "http://h/d", "detail"), ("http://h/d", "http://h/x", "detail")],
