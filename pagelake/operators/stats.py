@@ -17,7 +17,7 @@ FOLD_WIDTH = 1024
 FOLD_LEVELS = 4
 """Runs of ``width`` numbers, of ``width`` runs, and so on: 1024 ** 4 numbers in four levels.
 Higher numbers stay right; then more than ``width`` runs of a key meet at the last level."""
-_RUN = ["a", "lo", "hi", "absent"]
+_RUN = RUN = ["a", "lo", "hi", "absent"]
 
 
 def _merged(new: DataFrame, prior: DataFrame | None, how) -> DataFrame:
@@ -74,20 +74,11 @@ def fold_ops(
     value for a key that did not exist. Runs of at most ``width`` sequence numbers are
     combined, then runs of runs, until each key has one: a hot key never meets in one task.
     """
-    runs = ops.select("key", F.col("seq").cast("bigint").alias("seq"), *_own_run(ops))
-    for level in range(levels, 0, -1):
-        steps = F.sort_array(F.collect_list(F.struct("seq", *_RUN)))
-        whole = F.aggregate(F.slice("_steps", 2, F.size("_steps")), F.get("_steps", F.lit(0)), _followed_by)
-        runs = (
-            runs.groupBy("key", _bucket(width, level).alias("_bucket"))
-            .agg(steps.alias("_steps"))
-            .select("key", F.col("_bucket").alias("seq"), whole.alias("_run"))
-            .select("key", "seq", *[f"_run.{c}" for c in _RUN])
-        )
+    runs = fold_runs(ops, width, levels)
     if prior is None:
         return runs.select("key", F.col("absent").alias("value"))
     old = prior.select("key", F.col("value").alias("_old"))
-    applied = F.least("hi", F.greatest("lo", F.col("_old") + F.col("a")))
+    applied = _applied(F.col("_old"), F.struct(*_RUN))
     return runs.join(old, "key", "full").select(
         "key",
         F.when(F.col("a").isNull(), F.col("_old"))
@@ -97,6 +88,26 @@ def fold_ops(
     )
 
 
+def fold_runs(ops: DataFrame, width: int = FOLD_WIDTH, levels: int = FOLD_LEVELS) -> DataFrame:
+    """``(key, a, lo, hi, absent)``: the run of all operations of each key, in order."""
+    runs = ops.select("key", F.col("seq").cast("bigint").alias("seq"), *_own_run(ops))
+    for level in range(levels, 0, -1):
+        steps = F.sort_array(F.collect_list(F.struct("seq", *_RUN)))
+        whole = F.aggregate(F.slice("_steps", 2, F.size("_steps")), F.get("_steps", F.lit(0)), followed_by)
+        runs = (
+            runs.groupBy("key", _bucket(width, level).alias("_bucket"))
+            .agg(steps.alias("_steps"))
+            .select("key", F.col("_bucket").alias("seq"), whole.alias("_run"))
+            .select("key", "seq", *[f"_run.{c}" for c in _RUN])
+        )
+    return runs.select("key", *_RUN)
+
+
+def _applied(value: Column, run: Column) -> Column:
+    """A known value after a run."""
+    return F.least(run["hi"], F.greatest(run["lo"], value + run["a"]))
+
+
 def _own_run(ops: DataFrame) -> list[Column]:
     """The run of each single operation."""
     value = F.col("value").cast("bigint")
@@ -126,7 +137,7 @@ def _running_runs(runs: DataFrame, carried: list[str], width: int, levels: int)
     prefixes = F.aggregate(
         F.slice("_steps", 2, F.size("_steps")),
         F.array(_run_of(F.get("_steps", F.lit(0)))),
-        lambda done, step: F.array_append(done, _followed_by(F.element_at(done, -1), step)),
+        lambda done, step: F.array_append(done, followed_by(F.element_at(done, -1), step)),
     )
     local = grouped.withColumn("_prefixes", prefixes)
     if levels > 1:
@@ -142,7 +153,7 @@ def _running_runs(runs: DataFrame, carried: list[str], width: int, levels: int)
     ).alias("_inner"))))
     rows = rows.where(F.col("_steps").isNotNull())
     outer, inner = F.col("_outer"), F.col("_inner")
-    before = F.when(outer.isNull(), inner).when(inner.isNull(), outer).otherwise(_followed_by(outer, inner))
+    before = F.when(outer.isNull(), inner).when(inner.isNull(), outer).otherwise(followed_by(outer, inner))
     return rows.select(
         "key", "_steps.seq", *[f"_steps.{c}" for c in carried], before.alias("_before"), _run_of(F.col("_steps")).alias("_own")
     )
@@ -152,7 +163,7 @@ def _run_of(step: Column) -> Column:
     return F.struct(step["seq"].alias("seq"), *[step[c].alias(c) for c in _RUN])
 
 
-def _followed_by(f: Column, g: Column) -> Column:
+def followed_by(f: Column, g: Column) -> Column:
     """The run ``f`` and then ``g``; a null bound is no bound."""
     lo = F.greatest(g["lo"], f["lo"] + g["a"])
     hi = F.when(f["hi"].isNull(), g["hi"]).otherwise(
@@ -204,20 +215,24 @@ def metric_points(ops: DataFrame, ignore: list[str] = ()) -> DataFrame:
     )
 
 
-def merge_spiders(ops: DataFrame, width: int = FOLD_WIDTH, levels: int = FOLD_LEVELS) -> DataFrame:
+def merge_spiders(
+    ops: DataFrame, width: int = FOLD_WIDTH, levels: int = FOLD_LEVELS, prior: DataFrame | None = None
+) -> DataFrame:
     """``(seq, key, name, value, ts)``: the value all spiders share after each operation,
     under the name of the spider that made it. A key may have operations of all kinds; a
-    counter that does not exist begins at the ``start`` of its operation.
+    counter that does not exist (in ``prior(key, value)`` either) begins at the ``start`` of its operation.
     """
     runs = ops.select("key", F.col("seq").cast("bigint").alias("seq"), *_own_run(ops), "spider", "ts")
     found = _running_runs(runs, ["spider", "ts"], width, levels)
     before, own = F.col("_before"), F.col("_own")
+    run = F.when(before.isNull(), own).otherwise(followed_by(before, own))
+    found = found.select("key", "seq", "spider", "ts", run.alias("_run"))
+    value = F.col("_run.absent")
+    if prior is not None:
+        found = found.join(prior.select("key", F.col("value").alias("_old")), "key", "left")
+        value = F.when(F.col("_old").isNull(), value).otherwise(_applied(F.col("_old"), F.col("_run")))
     return found.select(
-        "seq",
-        "key",
-        metric_name(F.col("key"), F.col("spider")).alias("name"),
-        F.when(before.isNull(), own["absent"]).otherwise(_followed_by(before, own)["absent"]).alias("value"),
-        "ts",
+        "seq", "key", metric_name(F.col("key"), F.col("spider")).alias("name"), value.alias("value"), "ts"
     )
 
 

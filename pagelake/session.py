@@ -48,5 +48,21 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 
 def discard(table: DataFrame) -> None:
     """Delete the files of a table made by ``written`` that no later plan reads."""
-    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    delete(table.sparkSession, table.stored_at)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any store that Spark reaches."""
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if it is not there."""
+    files, place = _file_system(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []

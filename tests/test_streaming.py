@@ -6,11 +6,14 @@ import random
 from pyspark.sql import functions as F
 
 from pagelake.operators.frontier import dedup_batch, with_fingerprint
+from pagelake.operators.stats import fold_ops, merge_spiders
 from pagelake.schemas import CAPTURE, REQUEST
+from pagelake.session import names_in
 from pagelake.sources.captures import read_captures
+from pagelake.sources.metric_lines import metric_lines
 from pagelake.streaming.dedup import dedup_stream
 from pagelake.streaming.load import load_stream
-from pagelake.streaming.stats import latest_stats, running_stats, stats_stream, windowed_stats
+from pagelake.streaming.stats import latest_stats, push_batch, running_stats, stats_stream, windowed_stats
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -79,6 +82,49 @@ def test_streamed_lines_follow_the_kind(spark, folder):
     assert {f"scrapy.{k} {v} 1704067200" for k, v in wanted.items()} <= lines
 
 
+MIXED = "seq bigint, ts timestamp, spider string, key string, op string, value bigint, start bigint"
+
+
+def mixed_ops(n=300):
+    rng = random.Random(21)
+    kinds = ["inc", "max", "min", "set"]
+    return [
+        (i, T0 + dt.timedelta(seconds=i), rng.choice(["s1", "s2", None]), rng.choice("abcde"), rng.choice(kinds), rng.randint(-50, 50), rng.randint(0, 9))
+        for i in range(n)
+    ]
+
+
+def test_streamed_values_of_mixed_kinds(spark, folder):
+    """Lines per operation are those of the batch operator; the state is one table of a few versions."""
+    df = spark.createDataFrame(mixed_ops(160), MIXED)
+    for i in range(4):  # one after another, so that they arrive in order
+        df.where(f"seq div 40 = {i}").coalesce(1).write.mode("append").parquet(folder + "/in")
+    source = spark.readStream.schema(MIXED).option("maxFilesPerTrigger", 1).parquet(folder + "/in")
+    stats_stream(source, folder + "/out", folder + "/state", lines="operations", compact_every=2, availableNow=True).awaitTermination()
+    got = {r.key: r.value for r in latest_stats(spark, folder + "/out", 2).collect()}
+    assert got == {r.key: r.value for r in fold_ops(df).collect()}
+    wanted = sorted(r.line for r in metric_lines(merge_spiders(df)).collect())
+    lines = spark.read.option("lineSep", "\n\n").text(folder + "/out/lines").select("value")
+    assert sorted(r.value for r in lines.collect()) == wanted
+    kept = {r.batch for r in spark.read.parquet(folder + "/out/state").select("batch").distinct().collect()}
+    assert kept == {2, 3}
+
+
+def test_a_batch_that_runs_again(spark, folder):
+    df = spark.createDataFrame([*mixed_ops(90), (90, T0, "s1", "f", "inc", None, 1), (91, T0, "s1", "a", "inc", None, 1)], MIXED)
+    for number in range(4):
+        part = df.where(f"seq div 23 = {number}")
+        push_batch(part, number, folder, compact_every=2)
+        first = sorted(map(tuple, latest_stats(spark, folder, 2).collect()), key=str)
+        push_batch(part, number, folder, compact_every=2)  # as after a failure before it was known to be complete
+        assert sorted(map(tuple, latest_stats(spark, folder, 2).collect()), key=str) == first
+    wanted = {r.key: r.value for r in fold_ops(df.where("value is not null")).collect()}
+    assert {r.key: r.value for r in latest_stats(spark, folder, 2).collect()} == wanted | {"f": None}
+    assert sorted(n for n in names_in(spark, folder + "/state")) == ["batch=2", "batch=3"]
+    push_batch(df.limit(0), 4, folder, compact_every=2)
+    assert {r.key: r.value for r in latest_stats(spark, folder, 2).collect()} == wanted | {"f": None}
+
+
 def test_closed_windows_equal_batch(spark, folder):
     df = spark.createDataFrame(ops(), OPS)
     df.repartitionByRange(4, "seq").sortWithinPartitions("seq").write.parquet(folder + "/in")
