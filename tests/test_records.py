@@ -12,7 +12,7 @@ from pagelake.plans.load import run_stages, status_counts, success_report
 from pagelake.schemas import ITEM
 from pagelake.sources import blobs as bl
 from pagelake.sources.archives import bundle_by_key, expand_archives, read_archives
-from pagelake.sources.book_tables import write_book_detail, write_book_detail_sharded
+from pagelake.sources.book_tables import stored_names, write_book_detail, write_book_detail_sharded
 from pagelake.sources.captures import captures_from_pages, read_captures, seeds
 
 
@@ -98,6 +98,45 @@ def test_lookup_and_index(spark):
     assert sorted(map(tuple, rc.inverted_index(df, "book_name").collect())) == [("m", 3), ("n", 1), ("n", 2)]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_load_reads_only_the_buckets_of_its_names(spark, folder):
+    path = folder + "/t"
+    many = spark.range(400).selectExpr("id as seq", "concat('name', id % 200) as book_name", "array(concat('a', id)) as author", "concat('u', id) as original_url")
+    write_book_detail(many, path)
+    batch = spark.createDataFrame([(900, "name7", ["a7"], "u900"), (901, "name7", ["new"], "u901")], many.schema)
+    stored = stored_names(spark, path, batch)
+    assert "PartitionFilters: [" in plan_of(stored) and "name_bucket" in plan_of(stored).split("PartitionFilters: [")[1].split("]")[0]
+    read = {r[0] for r in stored.select("name_bucket").distinct().collect()}
+    assert len(read) == 1 and stored.count() < 40  # one folder of 64
+    assert accepted(write_book_detail(batch, path)) == [900]
+    assert spark.read.parquet(path).count() == 401
+
+
+def test_a_sweep_leaves_only_live_chunks(spark, folder):
+    def blobs(*keys):
+        rows = [(i, k, "a.txt", bytearray(k.encode() * 5)) for i, k in enumerate(keys)]
+        return spark.createDataFrame(rows, "seq int, key string, filename string, content binary")
+
+    bl.write_blobs(blobs("k1", "k2", "empty"), folder, 4)
+    lost = bl.blob_chunks(blobs("k3"), 4).withColumn("write_id", F.lit("ended early"))
+    lost.write.mode("append").parquet(folder + "/chunks")
+    before = spark.read.parquet(folder + "/chunks").count()
+    assert bl.sweep_blobs(spark, folder) == 0  # too young: the call may still run
+    assert bl.sweep_blobs(spark, folder, min_age_seconds=0) == 1
+    spark.catalog.refreshByPath(folder + "/chunks")
+    assert spark.read.parquet(folder + "/chunks").count() == before - lost.count()
+    bl.write_blobs(blobs("k3", "k1"), folder, 4)
+    assert bl.sweep_blobs(spark, folder, min_age_seconds=0) == 0
+    back = bl.read_blobs(*bl.read_blob_tables(spark, folder)).collect()
+    assert sorted((r._id, bytes(r.content), r.intact) for r in back) == sorted((k, k.encode() * 5, True) for k in ("k1", "k2", "k3", "empty"))
+    few = bl.stored_files(spark, folder, blobs("k2"))
+    assert "id_bucket" in plan_of(few).split("PartitionFilters: [")[1].split("]")[0]
+    assert bl.sweep_blobs(spark, folder + "/nothing") == 0
+
+
 def test_book_table_refuses_known_books(spark, folder):
     df = books(spark, [(1, "n", ["a"]), (2, "n", ["a"]), (3, "m", [])]).withColumn("original_url", F.concat(F.lit("u"), "seq"))
     refused = write_book_detail(df, folder + "/t")
