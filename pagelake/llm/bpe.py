@@ -18,6 +18,9 @@ from pagelake.llm.common import text_slices, texts_of
 
 CACHED_WORDS = 150_000
 WORDS_AT_ONCE = 50_000
+STATES_AT_ONCE = 5_000_000
+"""Words of one query together make at most so many rows (the sum of their squared lengths), which
+holds its memory: long words of unspaced scripts go in smaller queries."""
 QUERY_BYTES = 96
 """A recursive query keeps a row per token and step, the square of a word's length; longer
 words are merged with a heap instead, to the same result."""
@@ -132,8 +135,13 @@ class BpeCodec:
             else:
                 short.append((word, data))
         short.sort(key=lambda pair: len(pair[1]))  # a query takes as many steps as its longest word
-        for start in range(0, len(short), WORDS_AT_ONCE):
-            part = short[start : start + WORDS_AT_ONCE]
+        rows = np.cumsum([len(data) ** 2 for _, data in short])
+        start = 0
+        while start < len(short):
+            done = rows[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(rows, done + STATES_AT_ONCE, side="right")))
+            part = short[start : min(end, start + WORDS_AT_ONCE)]
+            start += len(part)
             for (word, _), ids in zip(part, self._merged([d for _, d in part]), strict=True):
                 self.known[word] = ids
 
@@ -144,17 +152,22 @@ class BpeCodec:
         return [b"".join([self.known[w] for w in matches]) for matches in split]
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
-        """The bytes of each list of ids, joined in order."""
-        sizes = np.array([len(ids) // 4 for ids in encoded], np.int64)
-        out, start = [], 0
-        while start < len(encoded):
-            end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), DECODED_AT_ONCE, side="right")))
-            out += self._decoded(encoded[start:end], sizes[start:end])
+        """The bytes of each list of ids, joined in order; long lists go in parts."""
+        width = 4 * DECODED_AT_ONCE
+        parts = [(i, ids[at : at + width]) for i, ids in enumerate(encoded) for at in range(0, len(ids), width)]
+        ends = np.cumsum([len(ids) // 4 for _, ids in parts])
+        out: list[list[bytes]] = [[] for _ in encoded]
+        start = 0
+        while start < len(parts):
+            done = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, done + DECODED_AT_ONCE, side="right")))
+            for (i, _), data in zip(parts[start:end], self._decoded([ids for _, ids in parts[start:end]]), strict=True):
+                out[i].append(data)
             start = end
-        return out
+        return [b"".join(found) for found in out]
 
-    def _decoded(self, encoded: list[bytes], sizes: np.ndarray) -> list[bytes]:
-        doc = np.repeat(np.arange(len(encoded)), sizes)
+    def _decoded(self, encoded: list[bytes]) -> list[bytes]:
+        doc = np.repeat(np.arange(len(encoded)), [len(ids) // 4 for ids in encoded])
         tokens = {"doc": doc.astype(np.int32), "pos": np.arange(len(doc)), "token": np.frombuffer(b"".join(encoded), "<u4").astype(np.int64)}
         self._create("tokens", tokens)
         texts = dict(self.database.execute(_DECODE).fetchall())
