@@ -37,8 +37,9 @@ SHARDS = 2
 #: Slots of the activity arrays (one byte each) for words, pairs and triples.
 SLOTS = (1 << 23, 1 << 25, 1 << 25)
 SLICE_BYTES = 4 << 20
-#: Blocks of hashes per shuffle partition: what one merge holds is a range of the hashes.
-BLOCKS_PER_PARTITION = 4
+#: Least number of blocks of hashes; else half the shuffle partitions, up to a power of two, so that
+#: slices send few and large blocks. What one merge holds is one block.
+MIN_BLOCKS = 16
 
 COUNTS = "size byte, block int, keys binary, counts binary"
 MERGED = f"{COUNTS}, frequent binary"
@@ -276,7 +277,7 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHA
     )
     stored = written(dealt, "phrase_shards", by="shard")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = min(1 << (BLOCKS_PER_PARTITION * partitions - 1).bit_length(), SLOTS[0] // 8)
+    blocks = min(max(MIN_BLOCKS, 1 << (partitions - 1).bit_length() >> 1), SLOTS[0] // 8)
     activity, state = _Activity(), None
     scan, last = 0, shards
     while scan < last:
