@@ -51,18 +51,21 @@ class WordEncoder:
         return _SOLID(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
     def _part(self, part: str) -> bytes:
-        found = self.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_NAMES))
+        # visible ASCII has its own names
+        plain = part.isascii() and part.isprintable()
+        found = self.model.tokenize(part if plain else part.encode().decode("latin-1").translate(_BYTE_NAMES))
         ids = self.known_parts[part] = b"".join([token.id.to_bytes(4, "little") for token in found])
         return ids
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: set[str], added: tuple[str, ...]) -> None:
+        """Remember the ids of words; ``added`` are the added tokens that they may hold."""
         known, parts = self.known, self.known_parts
         if len(known) > CACHED_WORDS:
             known.clear()
             parts.clear()
         others = []
         for word in words.difference(known):
-            if _LATIN(word) and not any(token in word for token in self.added):
+            if (word.isascii() or _LATIN(word)) and not (added and any(token in word for token in added)):
                 low = word.lower()
                 if low.isalpha():
                     known[word] = parts.get(low) or self._part(low)
@@ -76,7 +79,7 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null is empty."""
         split = [self._words(text or "") for text in texts]
-        self._learn(set().union(*split))
+        self._learn(set().union(*split), tuple(t for t in self.added if any(t in text for text in texts if text)))
         known = self.known
         return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
 
