@@ -23,8 +23,11 @@ def local_session(cores: str = "8", name: str = "pagelake") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors reach: ``spark.checkpoint.dir``, else the warehouse folder."""
+    """The folder all executors reach: ``spark.checkpoint.dir``; on one machine else the warehouse folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.conf.get("spark.master", "")
+    if not named and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
     return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
