@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.functions import markup
+from pagelake.session import written
 
 #: Elements that hold no text of an article, whatever the template.
 ASIDE_TAGS = frozenset(
@@ -347,11 +348,12 @@ def main_texts(pages: DataFrame) -> DataFrame:
     Null and empty pages have an empty text; pages without a host are one host; repeated rows
     give a row each. Hosts with fewer than ``MIN_PAGES`` pages have no template: there the elements
     alone decide. ``<br>`` is white space. Pages meet the template of their host in a join with one
-    row per host: a merge join, since adaptive execution splits the hot hosts of one. Further columns are not read.
+    row per host. These are stored first: by their size on disk Spark broadcasts few of them, so that pages
+    are not shuffled, or else shuffles both sides alone, so that adaptive execution can split hot hosts. Further columns are not read.
     """
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"),
     )
-    met = rows.join(templates(pages).hint("merge"), "host", "left")
+    met = rows.join(written(templates(pages), "page_templates"), "host", "left")
     return met.select("page_id", "url", "html", "template").mapInArrow(_texts, RESULT)
