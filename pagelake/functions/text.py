@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from fractions import Fraction
 from html.entities import name2codepoint
 
@@ -105,7 +106,7 @@ def checksum(body: Column) -> Column:
 def decode_body(body: Column, encoding: Column, extra: bool = False) -> Column:
     """Text of ``body`` in the encoding its row names; null where bytes do not fit.
 
-    UTF-8, ASCII and Latin-1 are decoded in the JVM. ``extra=True`` adds every other charset
+    UTF-8, ASCII, Latin-1, UTF-16 and UTF-32 are decoded in the JVM. ``extra=True`` adds every other charset
     through an Arrow batch function, which then sees only the rows that need it.
     """
     charset = F.lower(F.coalesce(encoding, F.lit("utf-8")))
@@ -113,13 +114,70 @@ def decode_body(body: Column, encoding: Column, extra: bool = False) -> Column:
     ascii7 = charset.isin("ascii", "us-ascii")
     latin = charset.isin("iso-8859-1", "latin-1", "latin1")
     known = F.when(utf8 | (ascii7 & F.hex(body).rlike("^([0-7].)*$")), F.try_validate_utf8(body)).when(latin, F.decode(body, "ISO-8859-1"))
+    spelled = F.regexp_replace(F.regexp_replace(charset, "[^0-9a-z]+", "_"), "^(utf|u)_?(?=16|32)", "utf_")
+    wide = spelled.rlike("^utf_(16|32)(_?[bl]e)?$")
+    known = known.when(wide, _decoded_wide(body, spelled))
     if not extra:
         return known
-    other = ~utf8 & ~ascii7 & ~latin
+    other = ~utf8 & ~ascii7 & ~latin & ~wide
     decoded = _decode_batch(F.when(other, body), F.when(other, charset))
     return F.when(other, decoded).otherwise(known)
 
 
+def _decoded_wide(body: Column, charset: Column) -> Column:
+    """Text of UTF-16 or UTF-32 bytes; null for a lone surrogate, a number above 10FFFF or a cut unit.
+
+    A name without a byte order follows the mark at the beginning, which goes, or else is
+    little-endian; with a byte order, a mark is a character like any other. Units are judged in
+    hex, spaced apart, so that a pattern sees whole units only.
+    """
+    width = F.when(charset.contains("16"), 2).otherwise(4)
+    start = F.struct(
+        width.alias("width"),
+        F.hex(F.substring(body, 1, width)).alias("mark"),
+        (~charset.rlike("[bl]e$")).alias("free"),
+        charset.endswith("be").alias("big"),
+    )
+
+    def ordered(s: Column) -> Column:
+        small = s["width"] == 2
+        big_mark = s["free"] & (s["mark"] == F.when(small, "FEFF").otherwise("0000FEFF"))
+        marked = big_mark | (s["free"] & (s["mark"] == F.when(small, "FFFE").otherwise("FFFE0000")))
+        units = F.when(marked, F.substring(body, s["width"] + 1, F.octet_length(body))).otherwise(body)
+        return F.struct(small.alias("small"), (s["big"] | big_mark).alias("big"), units.alias("units"))
+
+    def spaced(s: Column) -> Column:
+        two, four = "(..)(..)", "(..)(..)(..)(..)"
+        code = F.hex(s["units"])
+        return (
+            F.when(s["small"] & s["big"], F.regexp_replace(code, two, "$1$2 "))
+            .when(s["small"], F.regexp_replace(code, two, "$2$1 "))
+            .when(s["big"], F.regexp_replace(code, four, "$1$2$3$4 "))
+            .otherwise(F.regexp_replace(code, four, "$4$3$2$1 "))
+        )
+
+    def decoded(s: Column) -> Column:
+        lone = "D[89AB].. (?!D[C-F])|(?<!D[89AB].. )D[C-F].. "
+        none = "(?!0000[0-9A-CEF]|0000D[0-7]|000[1-9A-F]|0010).{8} "
+        width = F.when(s["small"], 2).otherwise(4)
+        cut = F.octet_length(s["units"]) % width != 0
+        # UTF-32 is one charset of the JVM, told its byte order by a mark
+        mark = F.when(s["big"], F.unhex(F.lit("0000FEFF"))).otherwise(F.unhex(F.lit("FFFE0000")))
+        return (
+            F.when(cut | _with(spaced(s), lambda code: F.when(s["small"], code.rlike(lone)).otherwise(code.rlike(none))), None)
+            .when(s["small"] & s["big"], F.decode(s["units"], "UTF-16BE"))
+            .when(s["small"], F.decode(s["units"], "UTF-16LE"))
+            .otherwise(F.decode(F.concat(mark, s["units"]), "UTF-32"))
+        )
+
+    return _with(start, lambda s: _with(ordered(s), decoded))
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once for a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 @F.arrow_udf(T.StringType())
 def _decode_batch(body: pa.Array, charset: pa.Array) -> pa.Array:
     return pa.array(

@@ -122,10 +122,6 @@ def valid_store_keys(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return valid, files.groupBy("key").agg(F.count("*").alias("n_files")).where("n_files > 1")
 
 
-def _with_outcomes(candidates: DataFrame, outcomes: DataFrame) -> DataFrame:
-    return candidates.join(outcomes.select("url", "ok", "key", "checksum"), "url", "left")
-
-
 def first_success(candidates: DataFrame, outcomes: DataFrame) -> DataFrame:
     """``(original_url, book_file_id, book_file_url, checksum)`` of the first good file.
 
@@ -152,17 +148,22 @@ def attach_file(items: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def attempts(candidates: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Candidates up to and including the first success of their record."""
-    tried = _with_outcomes(candidates, outcomes)
-    first = tried.groupBy("original_url").agg(
-        F.min(F.when(F.col("ok"), F.col("pos"))).alias("_first_ok")
-    )
-    return (
-        candidates.hint("merge")
-        .join(first, "original_url")
-        .where(F.col("_first_ok").isNull() | (F.col("pos") <= F.col("_first_ok")))
-        .select(*candidates.columns)
+    """Candidates up to and including the first success of their record.
+
+    Candidates are read once: those of a record meet as a set, bounded by its row, and a
+    candidate that is repeated, with its record or alone, is one member with a number.
+    """
+    counted = candidates.groupBy(*candidates.columns).agg(F.count("*").alias("_times"))
+    tried = counted.hint("merge").join(outcomes.select("url", F.col("ok").alias("_ok")), "url", "left")
+    rest = [c for c in counted.columns if c != "original_url"]
+    records = tried.groupBy("original_url").agg(
+        F.min(F.when(F.col("_ok"), F.col("pos"))).alias("_first_ok"),
+        F.collect_set(F.struct(*rest)).alias("_all"),
     )
+    made = F.filter("_all", lambda c: F.col("_first_ok").isNull() | (c["pos"] <= F.col("_first_ok")))
+    chosen = records.select("original_url", F.inline(made))
+    again = F.explode(F.sequence(F.lit(1).cast("bigint"), "_times")).alias("_time")
+    return chosen.select(*candidates.columns, again).drop("_time")
 
 
 def fetch_plan(
@@ -203,13 +204,50 @@ def fetch_plan(
     return records.select(F.inline(open_ones)).select("key", "url").distinct()
 
 
+def cover_plan(
+    items: DataFrame,
+    covers: DataFrame,
+    now: Column,
+    days: int = fixed.EXPIRES_DAYS,
+    key: Callable[[Column], Column] = blob_key,
+) -> DataFrame:
+    """``(key, url, state)`` of covers to fetch, each once: those that are missing or stale by E4.
+
+    ``covers(key, upload_date, checksum)``: the stored ones, one row per key.
+    """
+    urls = items.select(F.col("book_covor_image_url").alias("url")).where("url <> ''").distinct()
+    aged = freshness(urls.select(key(F.col("url")).alias("key"), "url"), covers, now, days)
+    return aged.where(F.col("state") != fixed.UPTODATE).select("key", "url", "state")
+
+
+def reused_covers(
+    images: DataFrame,
+    covers: DataFrame,
+    now: Column,
+    days: int = fixed.EXPIRES_DAYS,
+    key: Callable[[Column], Column] = blob_key,
+) -> DataFrame:
+    """The images of a run with those of ``covers`` that are fresh by E4; input of ``attach_cover``.
+
+    ``covers(key, url, upload_date, checksum, path, width, height)``. A cover that was not
+    asked for, being fresh, counts as fetched; where there is an image of this run, that one counts.
+    """
+    stored = covers.where("url <> ''").select(key(F.col("url")).alias("key"), "url", "path", "width", "height")
+    fresh = freshness(stored, covers, now, days).where(F.col("state") == fixed.UPTODATE)
+    columns = ["url", "ok", "path", "width", "height"]
+    old = fresh.withColumn("ok", F.lit(True)).select(*columns, F.lit(1).alias("_age"))
+    both = images.select(*columns, F.lit(0).alias("_age")).unionByName(old)
+    chosen = both.groupBy("url").agg(F.min_by(F.struct(*columns[1:]), "_age").alias("_image"))
+    return chosen.select("url", "_image.*")
+
+
 def attach_cover(
     items: DataFrame, images: DataFrame, base: str, min_width: int = 0, min_height: int = 0
 ) -> DataFrame:
     """``book_covor_image_path`` of records: absolute path of the cover, else ``''``.
 
     ``images(url, ok, path, width, height)``, one row per URL. An image without a size is
-    refused only where a minimum is set.
+    refused only where a minimum is set. ``reused_covers`` adds the stored covers that are fresh.
     """
     large = F.lit(True)
     for side, least in (("width", min_width), ("height", min_height)):

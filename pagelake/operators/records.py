@@ -47,13 +47,19 @@ def drop_none(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     The reason tells records that never had a candidate from those whose every candidate
     failed; it needs ``book_download``.
     """
-    has_file = F.coalesce(F.col("book_file_url"), F.lit("")) != ""
+    reason = none_reason(items)
+    dropped = items.where(reason.isNotNull()).select("original_url", reason.alias("reason"))
+    return items.where(reason.isNull()), dropped
+
+
+def none_reason(items: DataFrame) -> Column:
+    """why a record is dropped by ``drop_none``; null for a record with a file."""
+    no_file = F.coalesce(F.col("book_file_url"), F.lit("")) == ""
     reason = F.lit("all-failed")
     if "book_download" in items.columns:
         never = F.coalesce(F.size("book_download"), F.lit(0)) < 1
         reason = F.when(never, "no-candidates").otherwise(reason)
-    dropped = items.where(~has_file).select("original_url", reason.alias("reason"))
-    return items.where(has_file), dropped
+    return F.when(no_file, reason)
 
 
 def stamp(items: DataFrame, now: Column | None = None) -> DataFrame:

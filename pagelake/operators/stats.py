@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from pagelake import fixed_values as fixed
 from pagelake.functions.metrics import metric_name
 
-FOLD_WIDTH = 1024
-FOLD_LEVELS = 4
-"""Runs of ``width`` numbers, of ``width`` runs, and so on: 1024 ** 4 numbers in four levels.
+FOLD_WIDTH = 4096
+FOLD_LEVELS = 3
+"""Runs of ``width`` numbers, of ``width`` runs, and so on: 4096 ** 3 numbers in three levels.
 Higher numbers stay right; then more than ``width`` runs of a key meet at the last level."""
+CHUNK = 64
+"""Rows of a bucket whose prefixes are made together."""
 _RUN = RUN = ["a", "lo", "hi", "absent"]
 
 
@@ -131,34 +133,56 @@ def _running_runs(runs: DataFrame, carried: list[str], width: int, levels: int)
 
     Prefixes are made inside each bucket; what lies before the bucket comes from the level
     above, joined on the partitioning of the bucket. ``_before`` is null at a key's start.
+    A bucket is cut into chunks of ``CHUNK`` rows: a prefix grows inside its chunk alone, and
+    those of whole chunks are as few, so no row copies the prefixes of its bucket.
     """
     steps = F.sort_array(F.collect_list(F.struct("seq", *_RUN, *carried)))
     grouped = runs.groupBy(F.struct("key", _bucket(width, levels).alias("seq")).alias("_group")).agg(steps.alias("_steps"))
-    prefixes = F.aggregate(
-        F.slice("_steps", 2, F.size("_steps")),
-        F.array(_run_of(F.get("_steps", F.lit(0)))),
-        lambda done, step: F.array_append(done, followed_by(F.element_at(done, -1), step)),
-    )
-    local = grouped.withColumn("_prefixes", prefixes)
+    starts = F.sequence(F.lit(1), F.size("_steps"), F.lit(CHUNK))
+    chunks = F.transform(starts, lambda at: _prefixes(F.slice("_steps", at, CHUNK)))
+    local = grouped.withColumn("_chunks", chunks)
+    local = local.withColumn("_upto", _prefixes(F.transform("_chunks", lambda c: F.element_at(c, -1))))
+    none = F.lit(None).cast(local.schema["_upto"].dataType.elementType)
     if levels > 1:
-        totals = local.select("_group.key", "_group.seq", F.element_at("_prefixes", -1).alias("_t"))
+        totals = local.select("_group.key", "_group.seq", F.element_at("_upto", -1).alias("_t"))
         totals = totals.select("key", "seq", *[f"_t.{c}" for c in _RUN])
         above = _running_runs(totals, [], width, levels - 1)
         above = above.select(F.struct("key", "seq").alias("_above"), F.col("_before").alias("_outer"))
         local = local.join(above, F.col("_group") == F.col("_above"))
     else:
-        local = local.withColumn("_outer", F.lit(None).cast(local.schema["_prefixes"].dataType.elementType))
-    rows = local.select("_group.key", "_outer", F.inline(F.arrays_zip("_steps", F.concat(
-        F.array(F.lit(None).cast(local.schema["_prefixes"].dataType.elementType)), "_prefixes"
-    ).alias("_inner"))))
-    rows = rows.where(F.col("_steps").isNotNull())
-    outer, inner = F.col("_outer"), F.col("_inner")
-    before = F.when(outer.isNull(), inner).when(inner.isNull(), outer).otherwise(followed_by(outer, inner))
+        local = local.withColumn("_outer", none)
+    pieces = F.transform(
+        "_chunks",
+        lambda c, i: F.struct(
+            _both(F.col("_outer"), F.get(F.concat(F.array(none), "_upto"), i)).alias("_outer"),
+            F.concat(F.array(none), c).alias("_inner"),
+            F.slice("_steps", i * CHUNK + 1, CHUNK).alias("_steps"),
+        ),
+    )
+    cut = local.select("_group.key", F.inline(pieces))
+    rows = cut.select("key", "_outer", F.inline(F.arrays_zip("_steps", "_inner"))).where(F.col("_steps").isNotNull())
     return rows.select(
-        "key", "_steps.seq", *[f"_steps.{c}" for c in carried], before.alias("_before"), _run_of(F.col("_steps")).alias("_own")
+        "key", "_steps.seq", *[f"_steps.{c}" for c in carried],
+        _both(F.col("_outer"), F.col("_inner")).alias("_before"), _run_of(F.col("_steps")).alias("_own"),
     )
 
 
+def _prefixes(runs: Column) -> Column:
+    """The runs of the first one, the first two, and so on."""
+    none_yet = F.array().cast(f"array<struct<seq:bigint,{','.join(f'{c}:bigint' for c in _RUN)}>>")
+
+    def grown(done: Column, step: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        return F.array_append(done, F.when(last.isNull(), _run_of(step)).otherwise(followed_by(last, step)))
+
+    return F.aggregate(runs, none_yet, grown)
+
+
+def _both(f: Column, g: Column) -> Column:
+    """``f`` and then ``g``, where null is no run."""
+    return F.when(f.isNull(), g).when(g.isNull(), f).otherwise(followed_by(f, g))
+
+
 def _run_of(step: Column) -> Column:
     return F.struct(step["seq"].alias("seq"), *[step[c].alias(c) for c in _RUN])
 

@@ -243,6 +243,46 @@ def covers(spark, sf):
     return md.attach_cover(items, images, "/srv/covers", min_width=50, min_height=50)
 
 
+def _stored_covers(spark, sf) -> DataFrame:
+    """Covers of customers with an odd key, stored as many days ago as their nation's number times three."""
+    url = F.concat(F.lit("http://i.example.org/"), _text("c_custkey"), F.lit(".jpg"))
+    return _read(spark, sf, "customer").where("c_custkey % 2 = 1").select(
+        md.blob_key(url).alias("key"),
+        url.alias("url"),
+        F.timestamp_add("DAY", -(F.col("c_nationkey") * 3), F.lit(NOW).cast("timestamp")).alias("upload_date"),
+        F.lit("c").alias("checksum"),
+        F.concat(F.lit("old/"), _text("c_custkey"), F.lit(".jpg")).alias("path"),
+        F.lit(100).alias("width"),
+        F.lit(100).alias("height"),
+    )
+
+
+def _pictured_orders(spark, sf) -> DataFrame:
+    picture = F.concat(F.lit("http://i.example.org/"), _text("o_custkey"), F.lit(".jpg"))
+    return _read(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("original_url"), picture.alias("book_covor_image_url")
+    )
+
+
+def cover_plan(spark, sf):
+    """Covers of all orders that are not stored, or stored too long ago."""
+    now = F.lit(NOW).cast("timestamp")
+    return md.cover_plan(_pictured_orders(spark, sf), _stored_covers(spark, sf), now).select("url", "state")
+
+
+def reused_covers(spark, sf):
+    """Covers of orders from the store where they are fresh, else from this run, which had them for rich customers."""
+    now = F.lit(NOW).cast("timestamp")
+    stored = _stored_covers(spark, sf)
+    rich = _read(spark, sf, "customer").where("c_acctbal > 0")
+    url = F.concat(F.lit("http://i.example.org/"), _text("c_custkey"), F.lit(".jpg")).alias("url")
+    path = F.concat(F.lit("new/"), _text("c_custkey"), F.lit(".jpg")).alias("path")
+    had = rich.select(url, F.lit(True).alias("ok"), path, F.lit(100).alias("width"), F.lit(100).alias("height"))
+    images = had.join(md.cover_plan(_pictured_orders(spark, sf), stored, now).select("url"), "url", "left_semi")
+    items = md.attach_cover(_pictured_orders(spark, sf), md.reused_covers(images, stored, now), "/srv/covers")
+    return items.select("original_url", "book_covor_image_path")
+
+
 def status_counts(spark, sf):
     return md.media_status_counts(md.classify_fetch(captures(spark, sf)), media="bookfile")
 
@@ -351,6 +391,25 @@ QUERIES = {
         from orders left join customer on c_custkey = o_custkey
         """,
     ),
+    "cover_plan": (
+        cover_plan,
+        """
+        select distinct 'http://i.example.org/' || o_custkey || '.jpg' as url,
+               case when c_custkey is null then 'missing' else 'stale' end as state
+        from orders left join customer on c_custkey = o_custkey and c_custkey % 2 = 1
+        where c_custkey is null or c_nationkey * 3 > 30
+        """,
+    ),
+    "reused_covers": (
+        reused_covers,
+        """
+        select o_orderkey as original_url,
+               case when c_custkey % 2 = 1 and c_nationkey * 3 <= 30 then '/srv/covers/old/' || o_custkey || '.jpg'
+                    when c_acctbal > 0 then '/srv/covers/new/' || o_custkey || '.jpg' else '' end
+                 as book_covor_image_path
+        from orders left join customer on c_custkey = o_custkey
+        """,
+    ),
     "media_status_counts": (
         status_counts,
         f"""

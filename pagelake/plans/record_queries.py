@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagelake.operators import media as md
 from pagelake.operators import records as rc
 from pagelake.operators.extract import extract_detail
-from pagelake.plans.load import book_stages, run_stages, status_counts, success_report
+from pagelake.plans.load import book_stages, dropped_rows, kept_rows, run_stages, status_counts, store_stages, success_report
 from pagelake.plans.page_queries import _DETAIL_SQL, detail_pages
 from pagelake.session import new_path, written
 from pagelake.sources import blobs as bl
@@ -185,19 +185,21 @@ def _stage_inputs(spark, sf):
 
 def staged(spark, sf):
     records, stages = _stage_inputs(spark, sf)
-    return run_stages(records, stages)[0].select(
+    return kept_rows(run_stages(records, stages)).select(
         "original_url", "book_covor_image_path", "book_file_url", "book_file_id"
     )
 
 
 def staged_drops(spark, sf):
+    """From the stored outcomes, so that the folder of kept records stays closed."""
     records, stages = _stage_inputs(spark, sf)
-    return run_stages(records, stages)[1]
+    rows, _ = store_stages(run_stages(records, stages), new_path(spark, "staged"), stages)
+    return dropped_rows(rows.where("outcome <> 'kept'"))
 
 
 def report(spark, sf):
     records, stages = _stage_inputs(spark, sf)
-    return status_counts(success_report(*run_stages(records, stages)))
+    return status_counts(success_report(run_stages(records, stages)))
 
 
 _STAGED_SQL = f"""

@@ -164,6 +164,25 @@ def test_decode_body(spark, body, encoding, wanted):
     assert one(spark, column, b=("binary", body), e=("string", encoding)) == wanted
 
 
+def test_wide_charsets_in_the_jvm(spark):
+    """As Python decodes them: marks, byte orders, pairs, lone surrogates, numbers too large, cut units, long texts."""
+    rng = random.Random(5)
+    bodies = [b"", b"a", b"\xff\xfe", b"\xfe\xff", b"\xff\xfe\0\0", b"\0\0\xfe\xff"]
+    for sample in ("aé中😀\ufeff", "\ufeffx", "\ud7ff\ue000\uffff\U00010000\U0010ffff", "中😀" * 20000):
+        for name in ("utf-16", "utf-16-le", "utf-16-be", "utf-32", "utf-32-le", "utf-32-be"):
+            bodies += [sample.encode(name), sample.encode(name)[:-1]]
+    for code in (0xD800, 0xDBFF, 0xDC00, 0xDFFF):
+        for pair in ([code], [code, 0x41], [0x41, code], [code, 0xDC00], [0xD83D, code], [0xD83D, 0xDE00, code]):
+            bodies += [b"".join(c.to_bytes(n, order) for c in pair) for n in (2, 4) for order in ("big", "little")]
+    bodies += [c.to_bytes(4, order) for c in (0x10FFFF, 0x110000, 0x1000041, 0xFFFFFFFF) for order in ("big", "little")]
+    bodies += [rng.randbytes(rng.randrange(13)) for _ in range(60)]
+    names = ["utf-16", "UTF16", "utf_16_le", "utf-16le", "UTF-16BE", "utf-16-be", "utf-32", "utf32", "utf-32-le", "utf-32be", "U16"]
+    rows = [(i, b, n) for i, (b, n) in enumerate((b, n) for b in bodies for n in names)]
+    df = spark.createDataFrame(rows, "i int, b binary, e string").select("i", text.decode_body(F.col("b"), F.col("e")).alias("t"))
+    got = {r.i: r.t for r in df.collect()}
+    assert [(b[:40], n) for i, b, n in rows if got[i] != text.decoded_or_none(b, n)] == []
+
+
 def test_label_value_strips_unicode_space(spark):
     padded = "12345 　 Author \n"
     assert one(spark, text.label_value(F.col("a"), 5), a=("string", padded)) == "Author"

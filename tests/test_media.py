@@ -132,6 +132,44 @@ def test_covers(spark):
     }
 
 
+def test_covers_are_reused(spark):
+    """Fresh covers are not asked for again; missing, stale and undated ones are, each once."""
+    urls = [f"http://i/{n}" for n in range(5)]
+    df = spark.createDataFrame(
+        [(f"r{n}", u) for n, u in enumerate([*urls, urls[2]])] + [("none", None), ("empty", "")],
+        "original_url string, book_covor_image_url string",
+    )
+    stored = spark.createDataFrame(
+        [("http://i/0", NOW - dt.timedelta(days=30)), ("http://i/1", NOW - dt.timedelta(days=30, seconds=1)), ("http://i/3", None), (None, NOW)],
+        "url string, upload_date timestamp",
+    ).select(
+        md.blob_key(F.col("url")).alias("key"), "url", "upload_date", F.lit("c").alias("checksum"),
+        F.concat(F.lit("old/"), F.coalesce("url", F.lit("-"))).alias("path"), F.lit(9).alias("width"), F.lit(9).alias("height"),
+    )
+    now = F.lit(NOW)
+    plan = md.cover_plan(df, stored, now)
+    assert sorted((r.url, r.state) for r in plan.collect()) == [
+        ("http://i/1", "stale"), ("http://i/2", "missing"), ("http://i/3", "missing"), ("http://i/4", "missing"),
+    ]
+    images = spark.createDataFrame(
+        [("http://i/1", True, "new/1", 9, 9), ("http://i/2", False, None, None, None)],
+        "url string, ok boolean, path string, width int, height int",
+    )
+    got = md.attach_cover(df, md.reused_covers(images, stored, now), "/c")
+    assert {r.original_url: r.book_covor_image_path for r in got.collect()} == {
+        "r0": "/c/old/http://i/0", "r1": "/c/new/1", "r2": "", "r3": "", "r4": "", "r5": "", "none": "", "empty": "",
+    }
+
+
+def test_attempts_keep_repeated_candidates(spark):
+    rows = [("a", 1, "x"), ("a", 1, "x"), ("a", 2, "y"), ("a", 3, "z"), ("b", 1, "z"), ("b", 2, "z"), (None, 1, "y"), (None, 2, "x")]
+    candidates = spark.createDataFrame(rows, "original_url string, pos int, url string")
+    outcomes = spark.createDataFrame([("x", False), ("y", True), ("z", None)], "url string, ok boolean")
+    got = sorted((r.original_url or "", r.pos, r.url) for r in md.attempts(candidates, outcomes).collect())
+    assert got == [("", 1, "y"), ("a", 1, "x"), ("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z"), ("b", 2, "z")]
+    assert md.attempts(candidates.limit(0), outcomes).count() == 0
+
+
 def test_status_counts(spark):
     df = spark.createDataFrame([("downloaded",)] * 3 + [("cached",), ("uptodate",), ("download-error",)], "reason string")
     assert {r.key: r.value for r in md.media_status_counts(df, "f").collect()} == {

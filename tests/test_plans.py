@@ -56,6 +56,13 @@ def test_pages_are_parsed_once(plans):
     assert plans["extract_links"].count("regexp_extract_all") == 1
 
 
+def test_stages_hold_each_join_once(plans):
+    """Covers, and candidates with outcomes and their choice; the stored records are read for rows and for links."""
+    for name in ("staged_records", "success_report"):
+        assert plans[name].count("Join") <= 3, name
+        assert plans[name].count("Union") == 0, name
+
+
 def test_columns_are_pruned(plans):
     assert "ReadSchema: struct<url:string>" in plans["url_parts"]
     assert "html" not in plans["seed_requests"]

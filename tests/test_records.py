@@ -5,10 +5,11 @@ import io
 import random
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagelake.operators import records as rc
-from pagelake.plans.load import run_stages, status_counts, success_report
+from pagelake.plans.load import dropped_rows, kept_rows, run_stages, status_counts, store_stages, success_report
 from pagelake.schemas import ITEM
 from pagelake.sources import blobs as bl
 from pagelake.sources.archives import bundle_by_key, expand_archives, read_archives
@@ -241,18 +242,24 @@ def test_seeds(spark):
     assert (row.url, row.dont_filter, row.priority, row.depth) == ("http://h/1", True, 0, 0)
 
 
-def test_stages_and_report(spark):
+def test_stages_and_report(spark, folder):
     df = spark.createDataFrame([(f"u{i}", i) for i in range(6)], "original_url string, n int")
 
     def at_least(limit):
-        def stage(items):
-            low = items.where(F.col("n") < limit)
-            return items.where(F.col("n") >= limit), low.select("original_url", F.lit(f"below {limit}").alias("reason"))
-
-        return stage
-
-    kept, dropped = run_stages(df, [("one", at_least(2)), ("none", lambda d: (d, None)), ("two", at_least(4))])
-    assert sorted(r.original_url for r in kept.collect()) == ["u4", "u5"]
-    assert sorted((r.original_url, r.stage) for r in dropped.collect()) == [("u0", "one"), ("u1", "one"), ("u2", "two"), ("u3", "two")]
-    counts = {r.status: r.n for r in status_counts(success_report(kept, dropped)).collect()}
+        return lambda items: items.withColumn("reason", F.when(F.col("n") < limit, F.lit(f"below {limit}")))
+
+    stages = [("one", at_least(2)), ("none", lambda d: d.withColumn("n", F.col("n") + 0)), ("two", at_least(4)), ("again", at_least(3))]
+    staged = run_stages(df, stages)
+    assert sorted(r.original_url for r in kept_rows(staged).collect()) == ["u4", "u5"]
+    assert kept_rows(staged).columns == df.columns
+    wanted = [("u0", "one"), ("u1", "one"), ("u2", "two"), ("u3", "two")]
+    assert sorted((r.original_url, r.stage) for r in dropped_rows(staged).collect()) == wanted
+    counts = {r.status: r.n for r in status_counts(success_report(staged)).collect()}
     assert counts == {"SUCCESS": 2, "below 2": 2, "below 4": 2}
+    stored, seen = store_stages(staged, folder + "/staged", stages)
+    assert seen == {"kept": 2, "one": 2, "none": 0, "two": 2, "again": 0}
+    assert {(r.original_url, r.outcome) for r in stored.collect()} == {*wanted, ("u4", "kept"), ("u5", "kept")}
+    empty, none = store_stages(run_stages(df.limit(0), stages), folder + "/empty", stages)
+    assert set(none.values()) == {0}
+    with pytest.raises(ValueError):
+        store_stages(staged, folder + "/again", [("kept", stages[0][1])])
