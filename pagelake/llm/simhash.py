@@ -19,6 +19,7 @@ HASH_SEED = 42
 SHINGLE_WORDS = 3
 RADIUS = 2
 HASHES_AT_ONCE = 1 << 16
+SIGN = 1 << 63
 
 
 def fingerprint(text: str | None) -> int:
@@ -88,7 +89,11 @@ class BkTree:
 
 
 def _forest(tree_values: list[int], queries: list[int], radius: int) -> dict[int, int]:
-    """Root of each value after all links between the two lists are joined."""
+    """Root of each value after all links between the two lists are joined.
+
+    The root is the least value as a bigint, the order in which ``components`` goes on; the
+    least unsigned one could be the greatest there, and a hub of its own.
+    """
     parent: dict[int, int] = {}
 
     def root(value: int) -> int:
@@ -101,7 +106,10 @@ def _forest(tree_values: list[int], queries: list[int], radius: int) -> dict[int
     for value in queries:
         for found in tree.within(value, radius):
             a, b = root(value), root(found)
-            parent[max(a, b)] = min(a, b)
+            if a ^ SIGN < b ^ SIGN:
+                parent[b] = a
+            else:
+                parent[a] = b
     return {value: root(value) for value in parent}
 
 
