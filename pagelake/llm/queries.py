@@ -117,10 +117,13 @@ def op9_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _spans_sql(place: int, rule: secret_scan.Rule) -> str:
-    pattern = rule.pattern.replace("'", "''")
+    # no look-behind in this SQL: the character before is part of the match, and left out of its span
+    begins = rule.pattern.startswith(secret_scan.RUN_BEGINS)
+    pattern = rule.pattern.replace(secret_scan.RUN_BEGINS, "(?:^|[^A-Za-z0-9_-])").replace("'", "''")
+    before = "+ (h not like 'e%')::int" if begins else ""
     return f"""
   select doc_id, {place} as place, '{rule.kind}' as kind,
-         cast(sum(length(a) + length(h)) over w - length(h) as bigint) as s, cast(sum(length(a) + length(h)) over w as bigint) as e,
+         cast(sum(length(a) + length(h)) over w - length(h) {before} as bigint) as s, cast(sum(length(a) + length(h)) over w as bigint) as e,
          length(g) >= {rule.min_chars} as ok
   from (select doc_id, i, befores[i] as a, hits[i] as h, groups[i] as g
         from (select doc_id, unnest(range(1, len(hits) + 1)) as i, befores, hits, groups

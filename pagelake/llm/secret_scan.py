@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from re import _constants as ops
 from re import _parser as parser
@@ -31,12 +32,18 @@ BASE_RULES = (
 )
 """Greedy runs of 24 or more are the long ones among all runs, found without listing the rest."""
 
+RUN_BEGINS = r"(?<![A-Za-z0-9_-])"
 FURTHER_RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 27),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 40),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 30),
+    Rule("jwt", RUN_BEGINS + r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 30),
 )
+"""A token of three parts begins where a run of its characters does, so that a run is tried once."""
 RULES = BASE_RULES + FURTHER_RULES
+CHUNK = 256
+"""Matches whose places are summed up together."""
+BLOCK = 1024
+"""Characters of the blocks that a text is cut from for masking."""
 
 MAX_STRINGS = 64
 """Literal alternatives that are followed at once; beyond, a part of a pattern demands nothing."""
@@ -168,27 +175,75 @@ def _any_of(tests: list[Column]) -> Column:
     return found
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once for a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _before(values: Column, how: Callable[[Column, Column], Column]) -> Column:
+    """For each of ``values``, an array of whole numbers, ``how`` over those before it; 0 before the first.
+
+    Prefixes grow inside chunks of ``CHUNK`` values, and those of whole chunks apart from them, so
+    the work grows with the number of values, not with its square.
+    """
+    none = F.array().cast("array<int>")
+
+    def last(done: Column) -> Column:
+        return F.coalesce(F.get(done, F.size(done) - 1), F.lit(0))
+
+    def prefixes(of: Column) -> Column:
+        return F.aggregate(of, none, lambda done, value: F.array_append(done, how(last(done), value)))
+
+    def joined(chunks: Column) -> Column:
+        totals = prefixes(F.transform(chunks, last))
+        return _with(
+            F.concat(F.array(F.lit(0)), totals),
+            lambda upto: F.flatten(
+                F.transform(
+                    chunks,
+                    lambda chunk, i: F.transform(
+                        F.concat(F.array(F.lit(0)), F.slice(chunk, 1, F.size(chunk) - 1)), lambda inner: how(F.get(upto, i), inner)
+                    ),
+                )
+            ),
+        )
+
+    def summed(all_values: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(all_values), F.lit(CHUNK))
+        found = _with(F.transform(starts, lambda at: prefixes(F.slice(all_values, at, CHUNK))), joined)
+        return F.when(F.size(all_values) > 0, found).otherwise(none)
+
+    return _with(values, summed)
+
+
 def _matches(text: Column, rule: Rule, place: int) -> Column:
     """Array of (start, place, end) of the rule's matches, in code points, leftmost first."""
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     long_enough = F.transform(
         F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda g: F.char_length(g) >= rule.min_chars
     )
-    steps = F.arrays_zip(
-        F.split(text, rule.pattern, -1).alias("before"), hits.alias("hit"), long_enough.alias("ok")
+    pieces = F.transform(
+        F.arrays_zip(F.split(text, rule.pattern, -1).alias("before"), hits.alias("hit"), long_enough.alias("ok")),
+        lambda p: F.struct(
+            F.char_length(p["before"]).alias("before"), F.coalesce(F.char_length(p["hit"]), F.lit(0)).alias("hit"), p["ok"].alias("ok")
+        ),
     )
-    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,place:int,end:int>>").alias("spans"))
-
-    def step(state: Column, piece: Column) -> Column:
-        start = state["at"] + F.char_length(piece["before"])
-        end = start + F.coalesce(F.char_length(piece["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(place).alias("place"), end.alias("end"))
-        return F.struct(
-            end.alias("at"),
-            F.when(piece["ok"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"),
+
+    def spans(cut: Column) -> Column:
+        begun = _before(F.transform(cut, lambda p: p["before"] + p["hit"]), lambda a, b: a + b)
+        placed = F.transform(
+            F.arrays_zip(cut.alias("p"), begun.alias("at")),
+            lambda z: F.struct(
+                (z["at"] + z["p"]["before"]).alias("start"),
+                F.lit(place).alias("place"),
+                (z["at"] + z["p"]["before"] + z["p"]["hit"]).alias("end"),
+                z["p"]["ok"].alias("ok"),
+            ),
         )
+        good = F.filter(placed, lambda s: s["ok"])
+        return F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["place"].alias("place"), s["end"].alias("end")))
 
-    return F.aggregate(steps, begun, step, lambda state: state["spans"])
+    return _with(pieces, spans)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -232,20 +287,31 @@ def written_spans(spans: Column, rules: tuple[Rule, ...] = RULES, first: int | N
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every character of a span replaced by ``*``; its length stays."""
-    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    """The text with every character of a span replaced by ``*``; its length stays.
 
-    def step(state: Column, span: Column) -> Column:
-        start = F.greatest(span["start"], state["at"])
-        end = F.greatest(span["end"], start)
-        kept = F.substring(text, state["at"] + 1, start - state["at"])
-        return F.struct(end.alias("at"), F.concat(state["parts"], F.array(kept, F.repeat(F.lit("*"), end - start))).alias("parts"))
+    What stands between spans is taken from blocks of ``BLOCK`` characters, so no character is
+    found by walking from the beginning of the text.
+    """
 
-    def finish(state: Column) -> Column:
-        rest = F.substring(text, state["at"] + 1, F.char_length(text))
-        return F.concat(F.array_join(state["parts"], ""), rest)
+    def cut(blocks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / BLOCK).cast("int")
+        few = F.array_join(F.slice(blocks, first + 1, F.floor(end / BLOCK).cast("int") - first + 1), "")
+        return F.substring(few, start - first * BLOCK + 1, end - start)
+
+    def built(blocks: Column) -> Column:
+        reached = _before(F.transform(spans, lambda s: s["end"]), F.greatest)
+        parts = F.transform(
+            F.arrays_zip(spans.alias("span"), reached.alias("at")),
+            lambda z: F.concat(
+                F.when(z["span"]["start"] > z["at"], cut(blocks, z["at"], z["span"]["start"])).otherwise(""),
+                F.repeat(F.lit("*"), F.greatest(z["span"]["end"] - F.greatest(z["span"]["start"], z["at"]), F.lit(0))),
+            ),
+        )
+        rest = cut(blocks, F.array_max(F.transform(spans, lambda s: s["end"])), F.char_length(text))
+        return F.concat(F.array_join(parts, ""), rest)
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, begun, step, finish)).otherwise(text)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, _with(blocks, built)).otherwise(text)
 
 
 def without_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

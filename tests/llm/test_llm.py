@@ -319,6 +319,46 @@ def test_secret_spans_and_masks(made):
     assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
+def _plainly_masked(text):
+    masked, spans = list(text), []
+    for place, rule in enumerate(secret_scan.RULES):
+        for m in re.finditer(rule.pattern, text):
+            if len(m.group(rule.group)) >= rule.min_chars:
+                spans.append((m.start(), place, m.end()))
+                masked[m.start() : m.end()] = "*" * (m.end() - m.start())
+    return ",".join(f"{secret_scan.RULES[p].kind}:{a}:{b}" for a, p, b in sorted(spans)), "".join(masked)
+
+
+def test_secrets_of_long_texts(made):
+    """Many spans, spans that overlap or end at blocks, characters beyond 16 bits, runs that look like tokens: linear work."""
+    rng = random.Random(3)
+    parts = ["secret=", "ab" * 14, "😀", "é", " ", "\n", "AKIA" + "B" * 20, "ghp_" + "a1" * 20, "eyJ" + "x" * 9, ".", "-", "x" * 900, "0" * 124]
+    digests = [bytes(rng.randbytes(20)).hex() + "\n" for _ in range(30000)]
+    token = "eyJ" + "a" * 20 + ".eyJ" + "b" * 20 + "." + "c" * 20
+    texts = [
+        "".join(digests),
+        "eyJ" * 100_000,
+        "eyJ-" * 50_000 + " " + token + "." + token,
+        "x" * 1024 + "a" * 1024 + " " + "0" * 1023 + " " + "0" * 1024,
+        token, "x" + token, "=" + token, "password=" + token,
+        *("".join(rng.choices(parts, k=rng.randrange(400))) for _ in range(40)),
+    ]
+    docs = made(*enumerate(texts))
+    spans = secret_scan.scan(docs).select("doc.doc_id", secret_scan.written_spans(F.col("spans")).alias("s"))
+    found = {r.doc_id: r.s for r in spans.collect()}
+    clean = {r.doc_id: r.text for r in secret_scan.without_secrets(docs).collect()}
+    for i, text in enumerate(texts):
+        assert (found[i], clean[i]) == _plainly_masked(text), i
+
+
+def test_root_is_least_as_bigint():
+    """A cluster on both sides of bit 63 hangs on one node, the one that components keep."""
+    base = 0x0123456789ABCDEF
+    values = [base, base ^ (1 << 63), base ^ 1, base ^ (1 << 63) ^ 2]
+    forest = simhash._forest(values, values, 2)
+    assert set(forest.values()) == {min(values, key=lambda v: v - (1 << 64) if v >> 63 else v)}
+
+
 def test_word_encoder_is_the_tokenizer():
     path = public_tokenizers.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(path)
