@@ -78,15 +78,36 @@ class Lexicon:
         return self.at(self.places(self.split(text)))
 
 
+def _least_count(counts: DataFrame, most: int) -> int:
+    """The least count that at most ``most`` words reach, from a histogram of counts.
+
+    Counts are binned by their first 12 bits, so the driver sees a bounded number of bins.
+    """
+    digits = F.length(F.bin("n"))
+    shift = F.greatest(digits - 12, F.lit(0))
+    low = F.floor(F.col("n") / F.pow(F.lit(2), shift)).cast("bigint") * F.pow(F.lit(2), shift).cast("bigint")
+    bins = counts.groupBy(low.alias("low")).agg(F.count("*").alias("words")).collect()
+    least, seen = 1 << 62, 0
+    for row in sorted(bins, key=lambda b: -b["low"]):
+        seen += row["words"]
+        if seen > most:
+            break
+        least = row["low"]
+    return least
+
+
 def lexicon(docs: DataFrame) -> Lexicon:
     """From the counts of all words of all rows.
 
-    Counting combines before the shuffle. The driver sees the ``VOCABULARY`` most frequent
-    words and a sum for each class; the counts of all words stay in a stored table.
+    Counting combines before the shuffle. The driver sees the most frequent words, at most ``VOCABULARY``, and
+    a sum for each class; the counts of all words stay in a stored table. Words of one
+    count are listed together or not at all; those not listed are looked up by a join.
     """
-    words = docs.select(F.explode(F.split(folded(F.col("text")), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
+    spaced = F.translate(folded(F.col("text")), "\t\n\v\f\r", " " * 5)  # one character is split without a pattern
+    words = docs.select(F.explode(F.split(spaced, " ")).alias("word")).where("word <> ''")
     counts = written(words.groupBy("word").agg(F.count("*").alias("n")), "word_counts")
-    top = [(r["word"].encode(), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
+    frequent = counts.where(F.col("n") >= _least_count(counts, VOCABULARY)).collect()
+    top = sorted(((r["word"].encode(), r["n"]) for r in frequent), key=lambda w: (-w[1], w[0]))
     last_bytes = F.substring(F.encode("word", "utf-8"), -3, 3)  # binary; right() would give characters
     tail = F.crc32(last_bytes) % TAIL_CLASSES + (1 + OWN_CLASSES)
     mass = np.zeros(N_CLASSES)
