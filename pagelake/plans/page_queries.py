@@ -19,7 +19,7 @@ from pagelake.functions.urls import (
 from pagelake.fixed_values import CACHE_PREFIX
 from pagelake.operators import extract as ex
 from pagelake.plans.crawl import frontier_requests, host_frontier
-from pagelake.session import new_path
+from pagelake.session import new_path, table_stream
 from pagelake.sources.blobs import with_store_path
 from pagelake.sources.captures import captures_from_pages, seeds
 
@@ -64,11 +64,7 @@ def captures(spark, sf):
 def captures_stream(spark, sf):
     """The same rows read as a stream, run until no input is left."""
     target, checkpoint = new_path(spark, "captures"), new_path(spark, "captures-state")
-    source = (
-        spark.readStream.schema(pages(spark, sf).schema)
-        .option("pathGlobFilter", "pages.parquet")
-        .parquet(sf)
-    )
+    source = table_stream(spark, f"{sf}/pages.parquet")
     query = (
         _summary(captures_from_pages(source))
         .writeStream.option("checkpointLocation", checkpoint)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagelake.operators.frontier import dedup_batch, with_fingerprint
 from pagelake.operators.stats import fold_ops, merge_spiders
 from pagelake.schemas import CAPTURE, REQUEST
+from pagelake.plans import catalog
 from pagelake.session import names_in
 from pagelake.sources.captures import read_captures
 from pagelake.sources.metric_lines import metric_lines
@@ -149,3 +150,28 @@ def test_captures_stream(spark, folder):
     spark.createDataFrame([("http://h/a", 200, {}, "utf-8", b"x", [], T0)], CAPTURE).write.parquet(folder + "/in")
     stream = read_captures(spark, folder + "/in", streaming=True)
     assert stream.isStreaming and drained(stream.select("url", "status"), folder).count() == 1
+
+
+def _rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def _tables(spark, folder):
+    """Pages and documents, each as one file and as a folder of files, beside another table."""
+    tables = {
+        "pages": [(i, f"http://h/{i}", f"<p>{i}") for i in range(6)],
+        "documents": [(i, f"text {i % 4}", "en", "src1") for i in range(6)],
+    }
+    names = {"pages": ["page_id", "url", "html"], "documents": ["doc_id", "text", "lang", "source"]}
+    for table, rows in tables.items():
+        df = spark.createDataFrame(rows, names[table])
+        df.repartitionByRange(3, names[table][0]).write.parquet(f"{folder}/parts/{table}.parquet")
+        df.toPandas().to_parquet(f"{folder}/{table}.parquet")
+
+
+def test_captures_stream_reads_files_and_folders(spark, folder):
+    _tables(spark, folder)
+    queries = catalog.queries()
+    for place in (folder, folder + "/parts"):
+        got = _rows_of(queries["captures_stream"](spark, place))
+        assert got == _rows_of(queries["captures"](spark, place)) and len(got) == 6
