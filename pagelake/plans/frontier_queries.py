@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelake.operators import frontier as fr
 from pagelake.operators.reach import crawl_reach
-from pagelake.session import new_path
+from pagelake.session import new_path, table_stream
 from pagelake.streaming.dedup import dedup_stream
 
 
@@ -145,11 +145,7 @@ def by_depth(spark, sf):
 def deduplicated_stream(spark, sf):
     """Fingerprints let through by the streaming filter; each once, as in the batch."""
     target, checkpoint = new_path(spark, "dedup"), new_path(spark, "dedup-state")
-    source = (
-        spark.readStream.schema(_read(spark, sf, "orders").schema)
-        .option("pathGlobFilter", "orders.parquet")
-        .parquet(sf)
-    )
+    source = table_stream(spark, f"{sf}/orders.parquet")
     query = (
         dedup_stream(order_requests(source))
         .select("fp")

@@ -10,7 +10,7 @@ from pagelake.operators import records as rc
 from pagelake.operators.extract import extract_detail
 from pagelake.plans.load import book_stages, dropped_rows, kept_rows, run_stages, status_counts, store_stages, success_report
 from pagelake.plans.page_queries import _DETAIL_SQL, detail_pages
-from pagelake.session import new_path, written
+from pagelake.session import new_path, table_stream, written
 from pagelake.sources import blobs as bl
 from pagelake.sources.archives import bundle_by_key, expand_archives
 from pagelake.sources.book_tables import write_book_detail, write_book_detail_sharded
@@ -232,10 +232,9 @@ def stored_books(spark, sf):
 
 
 def streamed_books(spark, sf):
-    """The same load from a stream; one file is one batch, so arrival order is kept."""
+    """The same load from a stream; all files of the table are one batch, so the order of ids is kept."""
     path, checkpoint = new_path(spark, "books"), new_path(spark, "books-state")
-    schema = _read(spark, sf, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    docs = table_stream(spark, f"{sf}/documents.parquet")
     items = docs.select(
         F.col("doc_id").alias("seq"),
         F.md5("text").alias("book_name"),

@@ -9,7 +9,7 @@ from pagelake import fixed_values as fixed
 from pagelake.functions.metrics import metric_name
 from pagelake.operators import stats as st
 from pagelake.operators.rollup import rollup
-from pagelake.session import new_path
+from pagelake.session import new_path, table_stream
 from pagelake.sources.metric_lines import metric_lines, write_metric_lines
 from pagelake.streaming.stats import latest_stats, running_stats, stats_stream
 
@@ -216,8 +216,7 @@ from ops
 def live(spark, sf):
     """The final state of the streaming counters."""
     path, checkpoint = new_path(spark, "stats"), new_path(spark, "stats-state")
-    schema = _read(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events = table_stream(spark, f"{sf}/events.parquet")
     stats_stream(event_ops(events), path, checkpoint, availableNow=True).awaitTermination()
     return latest_stats(spark, path).drop("ts")
 

@@ -175,3 +175,10 @@ def test_captures_stream_reads_files_and_folders(spark, folder):
     for place in (folder, folder + "/parts"):
         got = _rows_of(queries["captures_stream"](spark, place))
         assert got == _rows_of(queries["captures"](spark, place)) and len(got) == 6
+
+
+def test_load_stream_reads_files_and_folders(spark, folder):
+    _tables(spark, folder)
+    for place in (folder, folder + "/parts"):
+        got = catalog.queries()["load_stream"](spark, place)
+        assert sorted(r.original_url for r in got.collect()) == [f"http://d.example.org/{i}" for i in range(4)]
