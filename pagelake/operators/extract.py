@@ -7,8 +7,9 @@ them is a column expression.
 
 from __future__ import annotations
 
-from collections import Counter
+from functools import lru_cache
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -198,23 +199,24 @@ _DETAIL = T.StructType(
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SELF_CLOSING = frozenset("p li tr td th option dt dd".split())
 class _Node:
-    """An element: tag, source of its attributes, parent, children, direct text nodes."""
+    """An element: tag, source of its attributes, parent, pieces of its first text node.
 
-    __slots__ = ("tag", "source", "parent", "children", "texts")
+    Elements name their parents only, never the reverse, so that a page is freed as soon as it is done.
+    """
+
+    __slots__ = ("tag", "source", "parent", "texts")
 
     def __init__(self, tag, source, parent):
-        self.tag, self.source, self.parent = tag, source, parent
-        self.children, self.texts = [], []
+        self.tag, self.source, self.parent, self.texts = tag, source, parent, None
 
     def attribute(self, wanted):
-        value = markup.attribute_of(self.source, wanted)
-        return value if value is None else unescape(value)
+        value = markup.attribute_of(self.source, wanted) if self.source else None
+        return unescape(value) if value else value
 
     def text(self):
-        return unescape(self.texts[0]) if self.texts else None
-
-    def below(self, tag):
-        return [c for c in self.children if c.tag == tag]
+        if self.texts is None:
+            return None
+        return unescape(self.texts[0] if len(self.texts) == 1 else "".join(self.texts))
 
 
 def _elements(html: str) -> list[_Node]:
@@ -222,49 +224,55 @@ def _elements(html: str) -> list[_Node]:
 
     An end tag is looked for only while an element of that tag is open, so the time is linear.
     """
-    top = root = _Node("", "", None)
-    found, cut = [], True
-    still_open = Counter()
-    for end, tag, source, closed, text in markup.TOKEN.findall(html):
+    top = _Node("", "", None)
+    found, around, still_open = [], [top], {}
+    pieces = None  # of the text that goes on
+    for end, tag, source, closed, lone, text, left, behind in markup.TOKEN_WITH_TEXT.findall(html):
+        if lone:  # it goes on with the text around it; a tag or comment cuts that
+            text = "<" + text
+        else:
+            pieces = None
+            if closed:  # else a comment, script or style, or a tag that the page's end cuts off
+                tag = tag.lower()
+                if end:
+                    if still_open.get(tag):
+                        shut = None
+                        while shut != tag:
+                            shut = around.pop().tag
+                            still_open[shut] -= 1
+                        top = around[-1]
+                else:
+                    above = top.tag
+                    if (above == tag and tag in _SELF_CLOSING) or (above == "p" and tag == "div"):
+                        still_open[above] -= 1
+                        around.pop()
+                        top = around[-1]
+                    node = _Node(tag, source, top)
+                    found.append(node)
+                    if left:
+                        holder = top if tag in _VOID else node
+                        if text and holder.texts is None:
+                            holder.texts = [text]
+                        text = behind
+                    elif tag not in _VOID:
+                        still_open[tag] = still_open.get(tag, 0) + 1
+                        around.append(node)
+                        top = node
         if text:
-            # a lone "<" goes on with the text around it; a tag or comment cuts it
-            if cut or not top.texts:
-                top.texts.append(text)
+            if pieces is not None:
+                pieces.append(text)
             else:
-                top.texts[-1] += text
-            cut = False
-            continue
-        cut = True
-        if not closed:  # a comment, script or style, or a tag that the page's end cuts off
-            continue
-        tag = tag.lower()
-        if end:
-            while still_open[tag]:
-                still_open[top.tag] -= 1
-                left, top = top.tag, top.parent
-                if left == tag:
-                    break
-        else:
-            if (top.tag == tag and tag in _SELF_CLOSING) or (top.tag == "p" and tag == "div"):
-                still_open[top.tag] -= 1
-                top = top.parent
-            node = _Node(tag, source, top)
-            top.children.append(node)
-            found.append(node)
-            if tag not in _VOID:
-                still_open[tag] += 1
-                top = node
+                pieces = [text]
+                if top.texts is None:
+                    top.texts = pieces
     return found
 
 
-def _first(values):
-    return next((v for v in values if v is not None), None)
-
-
 def _links_of(html: str | None) -> list[dict] | None:
     if html is None:
         return None
 
+
     def cls(node):
         return (node.attribute("class") or "") if node is not None and node.tag == "div" else None
 
@@ -279,50 +287,58 @@ def _links_of(html: str | None) -> list[dict] | None:
     return found
 
 
-def _detail_of(html: str | None) -> dict | None:
+def _first(values):
+    return next((v for v in values if v is not None), None)
+
+
+@lru_cache(4096)
+def _class_of(source: str) -> str | None:
+    """The class in the source of attributes; sites repeat theirs."""
+    return _Node("", source, None).attribute("class")
+
+
+def _detail_of(html: str | None) -> tuple | None:
+    """Name, author, description, cover and rows of cells of a detail page, in one pass over its elements."""
     if html is None:
         return None
-    classed = [
-        (node.attribute("class"), node)
-        for node in _elements(html)
-        if node.tag == "div" and "class" in node.source.lower()
-    ]
-
-    def firsts(cls):
-        """For every parent, its first div of exactly this class."""
-        seen = set()
-        for found, node in classed:
-            if found == cls and id(node.parent) not in seen:
-                seen.add(id(node.parent))
-                yield node
-
-    def cell(div):
-        links = div.below("a")
-        return {
-            "text": div.text(),
-            "href": _first(a.attribute("href") for a in links),
-            "link_text": _first(a.text() for a in links),
-        }
-
-    images = [i for e in firsts(fixed.COVER_CLASS) for i in e.below("img")]
-    blocks = [node for found, node in classed if fixed.DOWNLOAD_CLASS_PART in (found or "")]
-    return {
-        "name": _first(e.text() for e in firsts(fixed.NAME_CLASS)),
-        "author": _first(e.text() for e in firsts(fixed.AUTHOR_CLASS)),
-        "description": _first(e.text() for e in firsts(fixed.DESCRIPTION_CLASS)),
-        "cover": _first(i.attribute("src") for i in images),
-        "rows": [[cell(d) for d in b.below("div")] for b in blocks],
-    }
+    # for every parent, its first div of exactly this class
+    firsts = {c: [] for c in (fixed.NAME_CLASS, fixed.AUTHOR_CLASS, fixed.DESCRIPTION_CLASS)}
+    seen, covers, rows, cells = set(), {}, {}, {}
+    for node in _elements(html):
+        tag, above = node.tag, id(node.parent)
+        if tag == "div":
+            if above in rows:
+                cells[id(node)] = cell = [node.text(), None, None]
+                rows[above].append(cell)
+            source = node.source
+            cls = (_class_of(source) if len(source) < 256 else node.attribute("class")) if source else None
+            if cls is None:
+                continue
+            if fixed.DOWNLOAD_CLASS_PART in cls:
+                rows[id(node)] = []
+            if (cls in firsts or cls == fixed.COVER_CLASS) and (cls, above) not in seen:
+                seen.add((cls, above))
+                if cls == fixed.COVER_CLASS:
+                    covers[id(node)] = []
+                else:
+                    firsts[cls].append(node)
+        elif tag == "a":
+            if above in cells:
+                cell = cells[above]
+                if cell[1] is None:
+                    cell[1] = node.attribute("href")
+                if cell[2] is None:
+                    cell[2] = node.text()
+        elif tag == "img" and above in covers:
+            covers[above].append(node)
+    return (
+        *(_first(e.text() for e in found) for found in firsts.values()),
+        _first(i.attribute("src") for images in covers.values() for i in images),
+        list(rows.values()),
+    )
 
 
 _ARROW_LINKS = pa.list_(pa.struct([(n, pa.string()) for n in ("href", "text", "cls", "outer_cls")]))
-_ARROW_CELL = pa.struct([(n, pa.string()) for n in ("text", "href", "link_text")])
-_ARROW_DETAIL = pa.struct(
-    [
-        *[(n, pa.string()) for n in ("name", "author", "description", "cover")],
-        ("rows", pa.list_(pa.list_(_ARROW_CELL))),
-    ]
-)
 
 
 # Marked as not deterministic, so that a filter on the result does not parse a page again.
@@ -333,7 +349,20 @@ def _page_links(html: pa.Array) -> pa.Array:
 
 @F.arrow_udf(_DETAIL)
 def _page_detail(html: pa.Array) -> pa.Array:
-    return pa.array([_detail_of(h) for h in html.to_pylist()], _ARROW_DETAIL)
+    details = [_detail_of(h) for h in html.to_pylist()]
+    *texts, tables = zip(*((None, None, None, None, []) if d is None else d for d in details), strict=True) if details else [()] * 5
+    rows = [row for table in tables for row in table]
+    cells = list(zip(*(cell for row in rows for cell in row), strict=True)) or [()] * 3
+    cell = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in cells], _CELL.names)
+    row = pa.ListArray.from_arrays(_starts(rows), cell)
+    table = pa.ListArray.from_arrays(_starts(tables), row)
+    columns = [*(pa.array(t, pa.string()) for t in texts), table]
+    return pa.StructArray.from_arrays(columns, _DETAIL.names, mask=pa.array([d is None for d in details], pa.bool_()))
+
+
+def _starts(lists) -> pa.Array:
+    """Where each of the lists begins in all of them, and the end."""
+    return pa.array([0, *accumulate(map(len, lists))], pa.int32())
 
 
 _parsed_links = _page_links.asNondeterministic()

@@ -1,5 +1,7 @@
 """Links and records of hand-made pages."""
 
+import gc
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +163,29 @@ def test_detail_variants(spark):
     assert record(spark, "<body>" + two + AUTHOR + TEXT).book_name is None
     other = '<div class="zizida"></div><span><div class="zizida">inner</div></span>'
     assert record(spark, other + AUTHOR + TEXT).book_name == "inner"
+
+
+DETAIL = (
+    '<p>i<div class="zizida">Book &amp; 1</div><div class="hong"><div><img src="/no"></div><img alt=x src=/c.jpg></div>'
+    '<div class="xiazai_xiao"><div>h</div></div><div class="xiazai_xiao"><div>t<a name=n></a><a href="/1">one</a>s</div>'
+    "<DIV>a< b</DIV ><div><br>u</br>v</div></div>"
+)
+
+
+def test_a_parsed_page_leaves_no_cycles():
+    gc.collect()
+    gc.disable()
+    try:
+        for _ in range(20):
+            ex._detail_of(DETAIL)
+            ex._links_of(DETAIL)
+        assert gc.collect() == 0
+    finally:
+        gc.enable()
+
+
+def test_leaf_elements_and_their_text(spark):
+    row = pages(spark, DETAIL, None).select(ex._parsed_detail(F.col("html")).alias("d")).collect()
+    assert row[1].d is None and (row[0].d.name, row[0].d.cover) == ("Book & 1", "/c.jpg")
+    cells = [[tuple(c) for c in r] for r in row[0].d.rows]
+    assert cells == [[("h", None, None)], [("t", "/1", "one"), ("a< b", None, None), ("u", None, None)]]
