@@ -186,22 +186,25 @@ def fetch_plan(
     known = urls.join(tried, "url", "left").withColumn("key", key(F.col("url")))
     aged = freshness(known, files, now, days)
     reused = F.col("state") == fixed.UPTODATE
+    # what failed in this run is neither usable nor wanted, and decides nothing
     judged = aged.select(
         "url",
-        "key",
         (reused | F.coalesce(F.col("_ok"), F.lit(False))).alias("usable"),
         (~reused & F.col("_ok").isNull()).alias("wanted"),
-    )
-    # a set of a record's own candidates: bounded by its row, however often that is repeated
-    place = F.struct("pos", "key", "url")
-    records = candidates.hint("merge").join(judged, "url").groupBy("original_url").agg(
+    ).where("usable or wanted")
+    # a URL has few judgements, so the many candidates need not be sorted to meet them
+    met = candidates.join(judged.hint("shuffle_hash"), "url")
+    # page URLs begin alike: a hash before them makes most comparisons of a sort short.
+    # A set of a record's own candidates is bounded by its row, however often that is repeated
+    records = met.groupBy(F.xxhash64("original_url").alias("_hash"), "original_url").agg(
         F.min(F.when(F.col("usable"), F.col("pos"))).alias("_usable_at"),
-        F.collect_set(F.when(F.col("wanted"), place)).alias("_wanted"),
+        F.collect_set(F.when(F.col("wanted"), F.struct("pos", "url"))).alias("_wanted"),
     )
     open_ones = F.filter(
         "_wanted", lambda w: F.col("_usable_at").isNull() | (w["pos"] < F.col("_usable_at"))
     )
-    return records.select(F.inline(open_ones)).select("key", "url").distinct()
+    found = records.select(F.inline(open_ones)).select("url").distinct()
+    return found.select(key(F.col("url")).alias("key"), "url")
 
 
 def cover_plan(

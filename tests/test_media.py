@@ -1,7 +1,10 @@
 """Choosing one good file per record."""
 
 import datetime as dt
+import hashlib
+import io
 import random
+from contextlib import redirect_stdout
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +178,16 @@ def test_status_counts(spark):
     assert {r.key: r.value for r in md.media_status_counts(df, "f").collect()} == {
         "f_file_count": 5, "f_file_status_count/downloaded": 3, "f_file_status_count/cached": 1, "f_file_status_count/uptodate": 1,
     }
+
+
+def test_fetch_plan_sorts_no_candidates_for_their_judgement(spark):
+    df = items(spark, a=[["http://h/1", "http://h/2"]], b=[["http://h/2", "http://h/3"]])
+    df = df.unionByName(df).unionByName(df.withColumn("original_url", F.lit(None).cast("string")))
+    none = spark.createDataFrame([], "key string, upload_date timestamp, checksum string")
+    captured = spark.createDataFrame([("http://h/1", False), ("http://h/3", True)], "url string, ok boolean")
+    got = md.fetch_plan(df, none, captured, F.lit(NOW))
+    out = io.StringIO()
+    with redirect_stdout(out):
+        got.explain()
+    assert "ShuffledHashJoin [url" in out.getvalue() and "BuildLeft" not in out.getvalue()
+    assert [(r.key, r.url) for r in got.collect()] == [("h_" + hashlib.sha1(b"http://h/2").hexdigest(), "http://h/2")]
