@@ -1,6 +1,7 @@
 """Links and records of hand-made pages."""
 
 import gc
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +190,12 @@ def test_leaf_elements_and_their_text(spark):
     assert row[1].d is None and (row[0].d.name, row[0].d.cover) == ("Book & 1", "/c.jpg")
     cells = [[tuple(c) for c in r] for r in row[0].d.rows]
     assert cells == [[("h", None, None)], [("t", "/1", "one"), ("a< b", None, None), ("u", None, None)]]
+
+
+def test_lone_brackets_take_linear_time():
+    def seconds(n):
+        start = time.perf_counter()
+        ex._elements("<div>" + "< " * n)
+        return time.perf_counter() - start
+
+    assert seconds(400_000) < 20 * min(seconds(50_000) for _ in range(3))
