@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import folded, text_slices, texts_of
+from pagelake.llm.common import filled, text_slices, texts_of
 from pagelake.session import written
 
 OWN_CLASSES = 96
@@ -20,6 +22,8 @@ TAIL_CLASSES = 31
 """Other words are classed by their last letters."""
 VOCABULARY = 20_000
 """Words whose counts are broadcast; those of all other words are looked up by a join."""
+ENDINGS = 100_000
+"""Last letters whose class a task remembers."""
 WINDOW = (-2, -1, 1, 2)
 HIDDEN = 24
 ROUNDS = 2
@@ -41,14 +45,14 @@ def tail_class(word: bytes) -> int:
     return 1 + OWN_CLASSES + zlib.crc32(word[-3:]) % TAIL_CLASSES
 
 
-class _Places(dict):
-    """Place of each listed word; any other word has the place of its class among the rare ones."""
+class _Tails(dict):
+    """Class of words by their last letters; so many endings are remembered."""
 
-    def __init__(self, words: Iterable[bytes]):
-        super().__init__((w, N_CLASSES + i) for i, w in enumerate(words))
-
-    def __missing__(self, word: bytes) -> int:
-        return tail_class(word)
+    def __missing__(self, ending: bytes) -> int:
+        found = tail_class(ending)
+        if len(self) < ENDINGS:
+            self[ending] = found
+        return found
 
 
 class Lexicon:
@@ -57,7 +61,8 @@ class Lexicon:
 
     def __init__(self, words: dict[bytes, tuple[int, float]], rare: np.ndarray, counts: DataFrame | None = None):
         self.words, self.rare, self.counts = words, rare, counts
-        self._place = _Places(words)
+        self._place = {w: N_CLASSES + i for i, w in enumerate(words)}
+        self._tails = _Tails()
         self._classes = np.array([*range(N_CLASSES), *(c for c, _ in words.values())], np.int64)
         self._logs = np.array([*rare, *(p for _, p in words.values())])
 
@@ -67,8 +72,11 @@ class Lexicon:
         return (text or "").encode().lower().split()
 
     def places(self, words: list[bytes]) -> np.ndarray:
-        """Row of each word in the tables of classes and logarithms."""
-        return np.fromiter(map(self._place.__getitem__, words), np.int32, len(words))
+        """Row of each word in the tables of classes and logarithms; a word that is not listed has that of its class."""
+        found = np.fromiter(map(self._place.get, words, repeat(-1)), np.int32, len(words))
+        others = np.flatnonzero(found < 0)
+        found[others] = [self._tails[words[i][-3:]] for i in others.tolist()]
+        return found
 
     def at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self._classes[places], self._logs[places]
@@ -103,7 +111,8 @@ def lexicon(docs: DataFrame) -> Lexicon:
     a sum for each class; the counts of all words stay in a stored table. Words of one
     count are listed together or not at all; those not listed are looked up by a join.
     """
-    spaced = F.translate(folded(F.col("text")), "\t\n\v\f\r", " " * 5)  # one character is split without a pattern
+    # lower case and white space in one pass; one character is split without a pattern
+    spaced = F.translate(filled(F.col("text")), string.ascii_uppercase + "\t\n\v\f\r", string.ascii_lowercase + " " * 5)
     words = docs.select(F.explode(F.split(spaced, " ")).alias("word")).where("word <> ''")
     counts = written(words.groupBy("word").agg(F.count("*").alias("n")), "word_counts")
     frequent = counts.where(F.col("n") >= _least_count(counts, VOCABULARY)).collect()
@@ -186,7 +195,7 @@ class Network:
             order = np.argsort(around[:, i].astype(np.int16), kind="stable")
             column = around[order, i]
             first = np.flatnonzero(np.diff(column, prepend=-1))
-            self.context[i][column[first]] -= step * np.add.reduceat(below[order], first, axis=0)
+            self.context[i][column[first]] -= step * np.add.reduceat(below.take(order, axis=0), first, axis=0)
 
 
 def windows(classes: list[np.ndarray]) -> np.ndarray:

@@ -493,6 +493,15 @@ def test_lm_every_word_has_its_own_count(made, monkeypatch):
         assert r.log_likelihood == pytest.approx(want, rel=1e-5) and r.n_words == len(classes)
 
 
+def test_lm_endings_are_remembered_up_to_a_bound(monkeypatch):
+    monkeypatch.setattr(lm_score, "ENDINGS", 2)
+    words = lm_score.Lexicon({b"the": (1, 0.0)}, np.zeros(lm_score.N_CLASSES))
+    asked = [b"the", b"walking", b"singing", b"", b"a", b"\xc3\xa9t\xc3\xa9", b"the"]
+    want = [lm_score.N_CLASSES if w == b"the" else lm_score.tail_class(w) for w in asked]
+    assert words.places(asked).tolist() == want and words.places([]).tolist() == []
+    assert list(words._tails) == [b"ing", b""]
+
+
 def test_lm_words_of_a_class_sum_to_one(made):
     draw = random.Random(6)
     odd = ["".join(draw.choices("aé中😀ßя", k=draw.randint(1, 5))) for _ in range(400)]
