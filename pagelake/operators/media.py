@@ -5,7 +5,8 @@
 response body except ``classify_fetch``, which only looks at its length.
 
 The optimizer sizes an exploded table by the file it comes from, and might broadcast one
-that is many times larger. Inner joins of candidates therefore ask for a merge join.
+that is many times larger. Inner joins of candidates therefore ask for a merge join, or for
+a hash join by the judgements of ``fetch_plan``, one small row per distinct URL.
 """
 
 from __future__ import annotations
