@@ -199,24 +199,27 @@ _DETAIL = T.StructType(
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SELF_CLOSING = frozenset("p li tr td th option dt dd".split())
 class _Node:
-    """An element: tag, source of its attributes, parent, pieces of its first text node.
+    """An element: tag, source of its attributes, parent, pieces of its first text node, what its children add to.
 
     Elements name their parents only, never the reverse, so that a page is freed as soon as it is done.
     """
 
-    __slots__ = ("tag", "source", "parent", "texts")
+    __slots__ = ("tag", "source", "parent", "texts", "row", "cell", "images")
 
     def __init__(self, tag, source, parent):
-        self.tag, self.source, self.parent, self.texts = tag, source, parent, None
+        self.tag, self.source, self.parent = tag, source, parent
+        self.texts = self.row = self.cell = self.images = None
 
     def attribute(self, wanted):
         value = markup.attribute_of(self.source, wanted) if self.source else None
-        return unescape(value) if value else value
+        return unescape(value) if value and "&" in value else value
 
     def text(self):
-        if self.texts is None:
+        texts = self.texts
+        if texts is None:
             return None
-        return unescape(self.texts[0] if len(self.texts) == 1 else "".join(self.texts))
+        text = texts[0] if len(texts) == 1 else "".join(texts)
+        return unescape(text) if "&" in text else text
 
 
 def _elements(html: str) -> list[_Node]:
@@ -225,7 +228,7 @@ def _elements(html: str) -> list[_Node]:
     An end tag is looked for only while an element of that tag is open, so the time is linear.
     """
     top = _Node("", "", None)
-    found, around, still_open = [], [top], {}
+    found, still_open = [], {}
     pieces = None  # of the text that goes on
     for end, tag, source, closed, lone, text, left, behind in markup.TOKEN_WITH_TEXT.findall(html):
         if lone:  # it goes on with the text around it; a tag or comment cuts that
@@ -238,15 +241,14 @@ def _elements(html: str) -> list[_Node]:
                     if still_open.get(tag):
                         shut = None
                         while shut != tag:
-                            shut = around.pop().tag
+                            shut = top.tag
                             still_open[shut] -= 1
-                        top = around[-1]
+                            top = top.parent
                 else:
                     above = top.tag
                     if (above == tag and tag in _SELF_CLOSING) or (above == "p" and tag == "div"):
                         still_open[above] -= 1
-                        around.pop()
-                        top = around[-1]
+                        top = top.parent
                     node = _Node(tag, source, top)
                     found.append(node)
                     if left:
@@ -256,7 +258,6 @@ def _elements(html: str) -> list[_Node]:
                         text = behind
                     elif tag not in _VOID:
                         still_open[tag] = still_open.get(tag, 0) + 1
-                        around.append(node)
                         top = node
         if text:
             if pieces is not None:
@@ -292,9 +293,10 @@ def _first(values):
 
 
 @lru_cache(4096)
-def _class_of(source: str) -> str | None:
-    """The class in the source of attributes; sites repeat theirs."""
-    return _Node("", source, None).attribute("class")
+def _class_of(source: str) -> tuple[str | None, bool]:
+    """The class in the source of attributes, and whether it is that of a table of downloads; sites repeat theirs."""
+    cls = _Node("", source, None).attribute("class")
+    return cls, cls is not None and fixed.DOWNLOAD_CLASS_PART in cls
 
 
 def _detail_of(html: str | None) -> tuple | None:
@@ -302,45 +304,61 @@ def _detail_of(html: str | None) -> tuple | None:
     if html is None:
         return None
     # for every parent, its first div of exactly this class
-    firsts = {c: [] for c in (fixed.NAME_CLASS, fixed.AUTHOR_CLASS, fixed.DESCRIPTION_CLASS)}
-    seen, covers, rows, cells = set(), {}, {}, {}
+    firsts = {c: [] for c in (fixed.NAME_CLASS, fixed.AUTHOR_CLASS, fixed.DESCRIPTION_CLASS, fixed.COVER_CLASS)}
+    seen, images, rows = set(), [], []
     for node in _elements(html):
-        tag, above = node.tag, id(node.parent)
+        tag, above = node.tag, node.parent
         if tag == "div":
-            if above in rows:
-                cells[id(node)] = cell = [node.text(), None, None]
-                rows[above].append(cell)
+            if above.row is not None:
+                node.cell = cell = [node.text(), None, None]
+                above.row.append(cell)
             source = node.source
-            cls = (_class_of(source) if len(source) < 256 else node.attribute("class")) if source else None
-            if cls is None:
+            if not source:
                 continue
-            if fixed.DOWNLOAD_CLASS_PART in cls:
-                rows[id(node)] = []
-            if (cls in firsts or cls == fixed.COVER_CLASS) and (cls, above) not in seen:
+            cls, table = (_class_of if len(source) < 256 else _class_of.__wrapped__)(source)
+            if table:
+                node.row = []
+                rows.append(node.row)
+            if cls in firsts and (cls, above) not in seen:
                 seen.add((cls, above))
+                firsts[cls].append(node)
                 if cls == fixed.COVER_CLASS:
-                    covers[id(node)] = []
-                else:
-                    firsts[cls].append(node)
+                    node.images = []
+                    images.append(node.images)
         elif tag == "a":
-            if above in cells:
-                cell = cells[above]
+            cell = above.cell
+            if cell is not None:
                 if cell[1] is None:
                     cell[1] = node.attribute("href")
                 if cell[2] is None:
                     cell[2] = node.text()
-        elif tag == "img" and above in covers:
-            covers[above].append(node)
+        elif tag == "img" and above.images == []:
+            src = node.attribute("src")
+            if src is not None:
+                above.images.append(src)
     return (
-        *(_first(e.text() for e in found) for found in firsts.values()),
-        _first(i.attribute("src") for images in covers.values() for i in images),
-        list(rows.values()),
+        _first_text(firsts[fixed.NAME_CLASS]),
+        _first_text(firsts[fixed.AUTHOR_CLASS]),
+        _first_text(firsts[fixed.DESCRIPTION_CLASS]),
+        _first(src for some in images for src in some),
+        rows,
     )
 
 
+def _first_text(nodes: list[_Node]) -> str | None:
+    for node in nodes:
+        if node.texts is not None:
+            return node.text()
+    return None
+
+
 _ARROW_LINKS = pa.list_(pa.struct([(n, pa.string()) for n in ("href", "text", "cls", "outer_cls")]))
 
 
+#: Pages that are read before their records are laid out as columns.
+_PAGES = 256
+
+
 # Marked as not deterministic, so that a filter on the result does not parse a page again.
 @F.arrow_udf(_LINKS)
 def _page_links(html: pa.Array) -> pa.Array:
@@ -349,7 +367,13 @@ def _page_links(html: pa.Array) -> pa.Array:
 
 @F.arrow_udf(_DETAIL)
 def _page_detail(html: pa.Array) -> pa.Array:
-    details = [_detail_of(h) for h in html.to_pylist()]
+    # a few pages at a time, so that what is read of them stays in the processor's caches
+    starts = range(0, len(html), _PAGES) or [0]
+    return pa.concat_arrays([_details(html.slice(i, _PAGES).to_pylist()) for i in starts])
+
+
+def _details(pages: list[str | None]) -> pa.Array:
+    details = [_detail_of(h) for h in pages]
     *texts, tables = zip(*((None, None, None, None, []) if d is None else d for d in details), strict=True) if details else [()] * 5
     rows = [row for table in tables for row in table]
     cells = list(zip(*(cell for row in rows for cell in row), strict=True)) or [()] * 3

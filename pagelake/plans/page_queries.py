@@ -120,8 +120,8 @@ def first_elements(spark, sf):
 
 
 #: Tasks that parse the pages made from orders, whatever their number: a file of one row group
-#: would leave all parsing to one task.
-PARSE_TASKS = 32
+#: would leave all parsing to one task. Several for a core, so that few cores wait for the last ones.
+PARSE_TASKS = 96
 
 
 def _orders(spark: SparkSession, sf: str) -> DataFrame:

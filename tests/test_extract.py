@@ -3,10 +3,12 @@
 import gc
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pagelake.operators import extract as ex
+from pagelake.plans import page_queries
 
 LISTING = (
     '<div class="k2"><div><a href="sitemap_0.html">上一页</a><a href=" sitemap_2.html ">下一页</a></div></div>'
@@ -199,3 +201,26 @@ def test_lone_brackets_take_linear_time():
         return time.perf_counter() - start
 
     assert seconds(400_000) < 20 * min(seconds(50_000) for _ in range(3))
+
+
+def test_a_batch_is_read_a_few_pages_at_a_time(monkeypatch):
+    sizes, read = [], ex._details
+    monkeypatch.setattr(ex, "_details", lambda pages: sizes.append(len(pages)) or read(pages))
+    some = [None if i % 7 == 0 else f'<div class="zizida">{i}</div>{DETAIL}' for i in range(1000)]
+    found = ex._page_detail.func(pa.array([DETAIL, *some]).slice(1)).to_pylist()
+    assert len(sizes) > 1 and sum(sizes) == 1000
+    assert [d and d["name"] for d in found] == [None if h is None else str(i) for i, h in enumerate(some)]
+    assert len(ex._page_detail.func(pa.array([], pa.string()))) == 0
+
+
+@pytest.mark.parametrize("cores", [8, 12, 16])
+def test_few_cores_wait_for_the_last_pages(cores):
+    rounds = -(-page_queries.PARSE_TASKS // cores)
+    assert page_queries.PARSE_TASKS >= 0.9 * rounds * cores
+
+
+def test_first_attribute_by_a_short_way():
+    assert ex.markup.attribute_of(' href="/a>b" href=/c', "href") == "/a>b"
+    assert ex.markup.attribute_of(' hrefs="/a" href=\'/c"\'', "href") == '/c"'
+    assert ex.markup.attribute_of(' HREF="/a"', "href") == "/a" and ex.markup.attribute_of(' href=""', "href") == ""
+    assert ex.markup.attribute_of(' href="/a', "href") == ""
